@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import cases_filters, cases_sources  # noqa: F401
+from gleaner.plans import cases_filters, cases_sources, cases_state  # noqa: F401
 from gleaner.plans.cases import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

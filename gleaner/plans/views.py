@@ -196,14 +196,25 @@ class Tables:
             return self.derive(DERIVED[name])
         raise AttributeError(name)
 
-    def derive(self, sql: str) -> DataFrame:
+    def derive(self, sql: str, **given: DataFrame) -> DataFrame:
         """Run a view text; the tables it names are passed in, no catalog entry is made."""
-        used = {n: getattr(self, n) for n in (*GIVEN, *DERIVED) if _names(sql, n)}
+        used = {
+            n: given[n] if n in given else getattr(self, n)
+            for n in (*GIVEN, *DERIVED)
+            if _names(sql, n)
+        }
         sql = sql.replace("{", "{{").replace("}", "}}")
         for name in used:
             sql = _replace_word(sql, name)
         return self.spark.sql(sql, **used)
 
+    def postings_of(self, orders: DataFrame) -> DataFrame:
+        """The postings view over other orders, such as a micro-batch."""
+        return Tables(orders.sparkSession, self.folder).derive(POSTINGS, orders=orders)
+
+    def status_events_of(self, events: DataFrame) -> DataFrame:
+        return Tables(events.sparkSession, self.folder).derive(STATUS_EVENTS, events=events)
+
     @cached_property
     def identified(self) -> DataFrame:
         from gleaner.operators.identity import with_identity
