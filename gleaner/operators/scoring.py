@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from gleaner import params as P
 from gleaner.functions import text as X
 from gleaner.operators.keyed import spread_join
-from gleaner.session import ensure_checkpoint_dir
+from gleaner.session import ensure_checkpoint_dir, is_small
 
 # Stands for "this record has terms"; no real term is empty.
 ANY_TERM = ""
@@ -28,25 +29,23 @@ def term_counts(
 ) -> DataFrame:
     """(key, term, tf) of unigrams and bigrams, counted inside the row: no shuffle."""
     s = F.col("_terms")
+    # positions where a new term starts in the sorted list
     starts = F.array_compact(
         F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i))
     )
+    # the pairs are built before exploding, so no exploded row drags the arrays along
+    pairs = F.transform(
+        "_starts",
+        lambda at, k: F.struct(
+            F.get(s, at).alias("term"),
+            (F.coalesce(F.get("_starts", k + 1), F.size(s)) - at).alias("tf"),
+        ),
+    )
     return (
         _terms(df, key, text, stop)
         .withColumn("_starts", starts)
-        .select(
-            key,
-            "_terms",
-            F.posexplode("_starts").alias("_k", "_at"),
-            "_starts",
-        )
-        .select(
-            key,
-            F.get("_terms", F.col("_at")).alias("term"),
-            (
-                F.coalesce(F.get("_starts", F.col("_k") + 1), F.size("_terms")) - F.col("_at")
-            ).alias("tf"),
-        )
+        .select(key, F.explode(pairs).alias("_p"))
+        .select(key, "_p.term", "_p.tf")
     )
 
 
@@ -160,24 +159,21 @@ def score_against(docs: DataFrame, query: DataFrame, key: str = "doc_id", text:
     return docs.join(hits, key, "left").withColumn("base", F.coalesce("_s", F.lit(0.0))).drop("_s")
 
 
-def semantic_cosine(df: DataFrame, vector: str, query: Column) -> DataFrame:
-    """Cosine with a unit query vector (array<double>), negatives cut to 0."""
+def semantic_cosine(df: DataFrame, vector: str, query: Sequence[float]) -> DataFrame:
+    """Cosine with one query vector, negatives cut to 0."""
+    length = math.sqrt(sum(float(x) * float(x) for x in query)) or 1.0
+    unit = F.array(*[F.lit(float(x) / length) for x in query])
+
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
     v = F.transform(vector, lambda x: x.cast("double"))
     staged = df.withColumn("_v", v)
     norm = F.sqrt(dot(F.col("_v"), F.col("_v")))
-    cos = F.when(norm > 0, dot(F.col("_v"), query) / norm).otherwise(F.lit(0.0))
+    cos = F.when(norm > 0, dot(F.col("_v"), unit) / norm).otherwise(F.lit(0.0))
     return staged.withColumn("score", F.greatest(cos, F.lit(0.0))).drop("_v")
 
 
-def unit_vector(vector: Column) -> Column:
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / norm)
-
-
 # -- keyword terms and boosts ----------------------------------------------------------
 
 
