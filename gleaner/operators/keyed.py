@@ -73,28 +73,26 @@ def spread_join(
     key: str,
     weight: str,
     row_id: str,
+    rows: int,
+    total: int,
     slices: int = 2000,
     small: int = SMALL_SIDE_ROWS,
 ) -> DataFrame:
     """Equi-join of a large table with one row per key whose fact count (``weight``) is known.
 
-    A small table is broadcast. Otherwise keys with more than 1/``slices`` of all facts are split
-    into as many parts as they need; there are fewer than ``slices`` of them by construction, so
-    the list that tags the facts can be broadcast.
+    ``rows`` and ``total`` are the counted keys and facts. A small table is broadcast. Otherwise
+    keys with more than 1/``slices`` of all facts are split into as many parts as they need; there
+    are fewer than ``slices`` of them by construction, so the list that tags the facts can be
+    broadcast.
     """
-    if is_small(table, small):
+    if rows <= small:
         return facts.join(F.broadcast(table), key)
-    total = table.agg(F.sum(weight)).first()[0] or 0
     limit = max(total // slices, 1)
     parts = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
     hot = table.where(F.col(weight) > limit).select(key, parts.alias("_parts"))
-    tagged = (
-        facts.join(F.broadcast(hot), key, "left")
-        .withColumn(
-            "_slice",
-            F.pmod(F.xxhash64(row_id), F.coalesce("_parts", F.lit(1)).cast("bigint")).cast("int"),
-        )
-        .drop("_parts")
+    slice_of = F.pmod(F.xxhash64(row_id), F.coalesce("_parts", F.lit(1)).cast("bigint"))
+    tagged = facts.join(F.broadcast(hot), key, "left").withColumn("_slice", slice_of.cast("int"))
+    copies = table.withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
     )
-    copies = table.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    return tagged.join(copies, [key, "_slice"]).drop("_slice")
+    return tagged.drop("_parts").join(copies, [key, "_slice"]).drop("_slice")

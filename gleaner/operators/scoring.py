@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from gleaner import params as P
@@ -15,13 +15,13 @@ from gleaner.session import ensure_checkpoint_dir, is_small
 
 # Stands for "this record has terms"; no real term is empty.
 ANY_TERM = ""
+# Queries scored in one pass; more are scored in further passes.
+MAX_QUERIES = 2_000
 
 
 def _terms(df: DataFrame, key: str, text: str, stop: Sequence[str]) -> DataFrame:
     words = X.tokens(F.col(text), stop)
-    return df.select(key, F.sort_array(X.with_bigrams(words)).alias("_terms")).where(
-        F.size("_terms") > 0
-    )
+    return df.select(key, F.sort_array(X.with_bigrams(words)).alias("_terms"))
 
 
 def term_counts(
@@ -53,7 +53,8 @@ def document_frequency(
     df: DataFrame, key: str, text: str, stop: Sequence[str] = P.STOP_WORDS
 ) -> DataFrame:
     """(term, df), with the number of non-empty records under the empty term."""
-    terms = F.array_append(F.array_distinct("_terms"), F.lit(ANY_TERM))
+    some = F.size("_terms") > 0
+    terms = F.when(some, F.array_append(F.array_distinct("_terms"), F.lit(ANY_TERM)))
     return (
         _terms(df, key, text, stop)
         .select(F.explode(terms).alias("term"))
@@ -75,82 +76,97 @@ def tfidf_cosine(
 
     Each query is fitted with the records on its own, as if it were one more record: smooth idf,
     1 + ln(tf), unit length. A record's length under a query differs from its plain length only in
-    the shared terms, so lengths are computed once and corrected per pair.
+    the shared terms, so lengths are summed once and corrected per pair.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    # vocabulary-sized and read three times below: cut here, so texts are tokenised twice only
+    # vocabulary-sized and read several times below: cut here, so texts are tokenised twice only
     freq = document_frequency(docs, key, text, stop).checkpoint()
-    row = freq.where(F.col("term") == ANY_TERM).first()
-    n = (row["df"] if row else 0) + 1
+    own = F.col("term") == ANY_TERM
+    sizes = freq.agg(
+        F.coalesce(F.max(F.when(own, F.col("df"))), F.lit(0)).alias("records"),
+        F.count_if(~own).alias("terms"),
+        F.coalesce(F.sum(F.when(~own, F.col("df"))), F.lit(0)).alias("facts"),
+    ).first()
+    freq = freq.where(~own)
+    rounds = max(-(-queries.count() // MAX_QUERIES), 1)
+    out = None
+    for r in range(rounds):
+        mine = F.pmod(F.xxhash64(query_key), F.lit(rounds)) == r
+        some = queries if rounds == 1 else queries.where(mine)
+        part = _cosines(docs, some, freq, sizes, key, text, query_key, query_text, stop)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _cosines(
+    docs: DataFrame,
+    queries: DataFrame,
+    freq: DataFrame,
+    sizes: Row,
+    key: str,
+    text: str,
+    query_key: str,
+    query_text: str,
+    stop: Sequence[str],
+) -> DataFrame:
+    """Scores of one set of at most about MAX_QUERIES queries."""
+    kind = queries.schema[query_key].dataType.simpleString()
+    n = sizes["records"] + 1
 
     def idf(seen: Column) -> Column:
         return F.log(F.lit(1.0 + n) / (F.lit(1.0) + seen)) + F.lit(1.0)
 
-    freq = freq.where(F.col("term") != ANY_TERM)
-    # query side: the query counts as a record holding the term
+    # query side: the query counts as a record holding the term; weights of unit length
     q = term_counts(queries, query_key, query_text, stop).join(freq, "term", "left")
-    q = q.select(
-        query_key,
-        "term",
-        idf(F.coalesce("df", F.lit(0)) + 1).alias("_idf_q"),
-        ((F.lit(1.0) + F.log("tf")) * F.col("_idf_q")).alias("_wq"),
-    )
-    q_norm = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("_wq") * F.col("_wq"))).alias("_q_norm"))
-    # per term: its idf among the records and the list of queries that hold it
+    q = q.withColumn("_idf_q", idf(F.coalesce("df", F.lit(0)) + 1))
+    q = q.withColumn("_wq", (F.lit(1.0) + F.log("tf")) * F.col("_idf_q"))
+    one_text = Window.partitionBy(query_key)
+    length = F.sqrt(F.sum(F.col("_wq") * F.col("_wq")).over(one_text))
+    q = q.withColumn("_wq", F.col("_wq") / length)
     by_term = q.groupBy("term").agg(
         F.collect_list(F.struct(F.col(query_key).alias("q"), "_idf_q", "_wq")).alias("_queries")
     )
+    # per term: its idf among the records and the queries that hold it
     table = freq.join(by_term, "term", "left").select(
         "term", "df", idf(F.col("df")).alias("_idf"), "_queries"
     )
-
-    weighted = spread_join(term_counts(docs, key, text, stop), table, "term", "df", key).select(
-        key, (F.lit(1.0) + F.log("tf")).alias("_w"), "_idf", "_queries"
-    )
+    facts = term_counts(docs, key, text, stop)
+    joined = spread_join(facts, table, "term", "df", key, sizes["terms"], sizes["facts"])
+    weighted = joined.select(key, (F.lit(1.0) + F.log("tf")).alias("_w"), "_idf", "_queries")
     w2 = F.col("_w") * F.col("_w")
     idf2 = F.col("_idf") * F.col("_idf")
-    # one aggregation gives lengths (query null) and pair sums (query set) of every record
-    entries = F.explode(
-        F.array_append(
-            F.coalesce(
-                F.transform(
-                    "_queries",
-                    lambda e: F.struct(
-                        e["q"].alias("q"),
-                        (F.col("_w") * e["_idf_q"] * e["_wq"]).alias("dot"),
-                        (w2 * (e["_idf_q"] * e["_idf_q"] - idf2)).alias("len2"),
-                    ),
-                ),
-                F.array().cast(f"array<struct<q:{_type_of(queries, query_key)},dot:double,len2:double>>"),
-            ),
-            F.struct(
-                F.lit(None).cast(_type_of(queries, query_key)).alias("q"),
-                F.lit(0.0).alias("dot"),
-                (w2 * idf2).alias("len2"),
-            ),
-        )
+    pair = f"array<struct<q:{kind},dot:double,len2:double>>"
+    shared = F.transform(
+        "_queries",
+        lambda e: F.struct(
+            e["q"].alias("q"),
+            (F.col("_w") * e["_idf_q"] * e["_wq"]).alias("dot"),
+            (w2 * (e["_idf_q"] * e["_idf_q"] - idf2)).alias("len2"),
+        ),
     )
+    plain = F.struct(
+        F.lit(None).cast(kind).alias("q"), F.lit(0.0).alias("dot"), (w2 * idf2).alias("len2")
+    )
+    # one entry with null for the record's own length, one per query holding the term
+    entries = F.concat(F.array(plain).cast(pair), F.coalesce(shared, F.array().cast(pair)))
     sums = (
-        weighted.select(key, entries.alias("_e"))
-        .groupBy(key, F.col("_e.q").alias(query_key))
-        .agg(F.sum("_e.dot").alias("_dot"), F.sum("_e.len2").alias("_len2"))
+        weighted.select(key, F.explode(entries).alias("_e"))
+        .groupBy(key, F.col("_e.q").alias("q"))
+        .agg(F.sum("_e.dot").alias("dot"), F.sum("_e.len2").alias("len2"))
     )
-    # both sides are unique per key here
-    length = sums.where(F.col(query_key).isNull()).select(key, F.col("_len2").alias("_base"))
-    pairs = sums.where(F.col(query_key).isNotNull())
-    return (
-        pairs.join(length, key)
-        .join(q_norm, query_key)
-        .select(
-            query_key,
-            key,
-            (F.col("_dot") / (F.sqrt(F.col("_base") + F.col("_len2")) * F.col("_q_norm"))).alias("score"),
-        )
+    # at most one row per query and record meets here
+    per_record = sums.groupBy(key).agg(
+        F.max(F.when(F.col("q").isNull(), F.col("len2"))).alias("_base"),
+        F.collect_list(
+            F.when(F.col("q").isNotNull(), F.struct("q", "dot", "len2"))
+        ).alias("_pairs"),
+    )
+    e = F.col("_e")
+    return per_record.select(key, "_base", F.explode("_pairs").alias("_e")).select(
+        e["q"].alias(query_key),
+        key,
+        (e["dot"] / F.sqrt(F.col("_base") + e["len2"])).alias("score"),
     )
-
-
-def _type_of(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
 
 
 def score_against(docs: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

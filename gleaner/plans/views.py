@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.session import use_all_cores
+
 POSTINGS = """
 SELECT o_orderkey AS arrival,
  'board' || CAST(o_orderkey % 5 AS STRING) AS source,
@@ -191,7 +193,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in GIVEN:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return use_all_cores(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
         if name in DERIVED:
             return self.derive(DERIVED[name])
         raise AttributeError(name)

@@ -7,7 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # A side is only ever broadcast by hand after its row count was checked against this.
-SMALL_SIDE_ROWS = 200_000
+SMALL_SIDE_ROWS = 500_000
+# use_all_cores leaves smaller scans alone, and larger ones make splits enough of their own.
+MIN_SPREAD_BYTES = 256 * 1024
+MAX_SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def build_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +42,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def is_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over the cores when its files make fewer splits than there are.
+
+    Judged by the planner's size estimate, without running anything. A scan that fills the cores
+    on its own is returned as it is, so large tables never pay for an extra shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < MIN_SPREAD_BYTES or size > cores * MAX_SPLIT_BYTES:
+        return df
+    return df.repartition(cores)

@@ -18,6 +18,7 @@ from gleaner.functions import text as X
 from gleaner.operators import identity, scoring
 from gleaner.operators.keyed import flag_match, top_per_group
 from gleaner.operators.state import notify_once
+from gleaner.session import ensure_checkpoint_dir
 from gleaner.sources.tables import conform
 
 
@@ -32,8 +33,8 @@ class ScanRules:
 
 
 def enrich(df: DataFrame) -> DataFrame:
-    """Identity, skills, pay (only when both bounds are missing) and deadline (only when missing)."""
-    out = identity.with_identity(df)
+    """Skills, pay (only when both bounds are missing) and deadline (only when missing)."""
+    out = df
     for name, kind in (("salary_min", "bigint"), ("salary_max", "bigint"), ("deadline", "date")):
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast(kind))
@@ -55,7 +56,9 @@ def scan_rows(batch: DataFrame, known: DataFrame, query: DataFrame, rules: ScanR
     ``known`` has the stored (id, job_hash); ``query`` one (query_id, text) row. Only new rows
     that pass the exclusion rules are scored, against each other's term frequencies.
     """
-    seen = identity.dedup_keep_latest(enrich(batch))
+    ensure_checkpoint_dir(batch.sparkSession)
+    # duplicates go before the costly extraction; the result is read by every step below
+    seen = enrich(identity.dedup_keep_latest(identity.with_identity(batch))).checkpoint()
     narrow = seen.select("arrival", "id", "job_hash")
     unknown = identity.anti_known_hash(narrow, known.select("job_hash"))
     first = top_per_group(unknown, ["id"], [F.col("arrival").asc()])
@@ -71,7 +74,7 @@ def scan_rows(batch: DataFrame, known: DataFrame, query: DataFrame, rules: ScanR
                 ),
             ),
         }
-    ).drop("_unknown")
+    ).drop("_unknown").checkpoint()
     to_score = F.col("is_new") & F.col("exclude_reason").isNull()
     hits = scoring.tfidf_cosine(
         judged.where(to_score).select("arrival", "description"), query, "arrival", "description"
