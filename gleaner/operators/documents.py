@@ -105,33 +105,31 @@ def item_line(item_id: Column, section: Column, title: Column, sub: Column, bull
 # -- weights and selection --------------------------------------------------------------
 
 
-def weight_map(profile: Column, overlay: Mapping[str, Mapping[str, float]] | None = None) -> Column:
-    """Tag weights of the profile in the column; an overlay replaces or adds single tags."""
-    def literal(name: str) -> Column:
-        merged = {**P.TAG_WEIGHTS[name], **((overlay or {}).get(name, {}))}
-        return F.create_map(*[F.lit(x) for k, v in merged.items() for x in (k, float(v))])
-
-    out = literal("general")
-    for name in P.DOCUMENT_PROFILES:
-        if name != "general":
-            out = F.when(profile == name, literal(name)).otherwise(out)
-    return out
+def weights_of(profile: str, overlay: Mapping[str, Mapping[str, float]] | None = None) -> dict[str, float]:
+    """Tag weights of a profile; an overlay replaces or adds single tags."""
+    base = P.TAG_WEIGHTS.get(profile, P.TAG_WEIGHTS["general"])
+    return {**base, **((overlay or {}).get(profile, {}))}
 
 
-def item_weight(tags: Column, item_id: Column, weights: Column, covered: Column) -> Column:
-    base = F.aggregate(
-        tags, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(weights, t), F.lit(0.0))
-    )
-    bonus = F.when(F.array_contains(covered, item_id), F.lit(P.COVERED_BONUS)).otherwise(F.lit(0.0))
-    return base + bonus
+def _profile_table(items: Sequence[Item], overlay: Mapping[str, Mapping[str, float]] | None) -> Column:
+    """map(profile -> one entry per item): weight without bonus, drop flag, place of its section.
 
+    All of it is known when the plan is made, so a row only looks its profile up.
+    """
+    def entry(profile: str, item: Item) -> Column:
+        weights = weights_of(profile, overlay)
+        sections = P.SECTION_ORDER[profile]
+        place = sections.index(item.section) + 1 if item.section in sections else None
+        return F.struct(
+            F.lit(float(sum(weights.get(t, 0.0) for t in item.tags))).alias("weight"),
+            F.lit(bool(set(item.tags) & set(P.DROP_TAGS[profile]))).alias("dropped"),
+            F.lit(place).cast("int").alias("place"),
+        )
 
-def _by_profile(profile: Column, table: Mapping[str, Sequence[str]]) -> Column:
-    out = X.string_array(table["general"])
-    for name, values in table.items():
-        if name != "general":
-            out = F.when(profile == name, X.string_array(values)).otherwise(out)
-    return out
+    pairs = []
+    for profile in P.DOCUMENT_PROFILES:
+        pairs += [F.lit(profile), F.array(*[entry(profile, i) for i in items])]
+    return F.create_map(*pairs)
 
 
 def weigh_items(
@@ -142,66 +140,50 @@ def weigh_items(
     covered: str = "covered",
 ) -> DataFrame:
     """Adds ``weighed``: every item with its weight for the row's profile, in the row itself."""
-    staged = df.withColumns({"_w": weight_map(F.col(profile), overlay)})
-    return staged.withColumn(
-        "weighed",
-        F.transform(
-            items_literal(items),
-            lambda i: F.struct(
-                item_weight(i["tags"], i["id"], F.col("_w"), F.col(covered)).alias("weight"),
-                i.alias("item"),
-            ),
-        ),
-    ).drop("_w")
+    def weigh(item: Column, e: Column) -> Column:
+        bonus = F.when(F.array_contains(F.col(covered), item["id"]), P.COVERED_BONUS).otherwise(0.0)
+        return F.struct(
+            (e["weight"] + bonus).alias("weight"),
+            e["dropped"].alias("dropped"),
+            e["place"].alias("place"),
+            item.alias("item"),
+        )
+
+    entries = F.try_element_at(_profile_table(items, overlay), F.col(profile))
+    return df.withColumn("weighed", F.zip_with(items_literal(items), entries, weigh))
 
 
 def select_items(df: DataFrame, max_bullets: int = 3, max_other: int = P.MAX_OTHER_ITEMS) -> DataFrame:
-    """Adds ``chosen``: the items to print, in print order, from ``weighed`` and ``profile``.
+    """Adds ``chosen``: the items to print, in print order, from ``weighed``.
 
     Core items always stay; others need a positive weight and no dropped tag, and the best
     ``max_other`` stay. Order: section order of the profile, weight, position.
     """
-    def by_weight(c: Column) -> Column:
+    def ordered(c: Column, by_place: bool) -> Column:
+        place = (lambda e: e["place"]) if by_place else (lambda e: F.lit(0))
         keyed = F.transform(
-            c, lambda e: F.struct((-e["weight"]).alias("o"), e["item"]["pos"].alias("p"), e.alias("e"))
+            c,
+            lambda e: F.struct(
+                place(e).alias("s"), (-e["weight"]).alias("w"), e["item"]["pos"].alias("p"), e.alias("e")
+            ),
         )
         return F.transform(F.array_sort(keyed), lambda k: k["e"])
 
-    sections = _by_profile(F.col("profile"), P.SECTION_ORDER)
-    drops = _by_profile(F.col("profile"), P.DROP_TAGS)
-    staged = df.withColumns({"_sections": sections, "_drops": drops}).withColumn(
-        "_others",
-        F.slice(
-            by_weight(
-                F.filter(
-                    "weighed",
-                    lambda e: ~e["item"]["core"]
-                    & (e["weight"] > 0)
-                    & ~F.arrays_overlap(e["item"]["tags"], F.col("_drops")),
-                )
-            ),
-            1,
-            max_other,
-        ),
-    )
-    staged = staged.withColumn(
-        "_kept",
-        by_weight(F.concat(F.filter("weighed", lambda e: e["item"]["core"]), F.col("_others"))),
+    eligible = F.filter(
+        "weighed", lambda e: ~e["item"]["core"] & (e["weight"] > 0) & ~e["dropped"]
     )
+    others = F.slice(ordered(eligible, False), 1, max_other)
+    core = F.filter("weighed", lambda e: e["item"]["core"])
+    printed = F.filter(F.concat(core, others), lambda e: e["place"].isNotNull())
     cap = max(1, max_bullets)
-    chosen = F.flatten(
-        F.transform(
-            "_sections",
-            lambda s: F.transform(
-                F.filter("_kept", lambda e: e["item"]["section"] == s),
-                lambda e: F.struct(
-                    e["weight"].alias("weight"),
-                    e["item"].withField("bullets", F.slice(e["item"]["bullets"], 1, cap)).alias("item"),
-                ),
-            ),
-        )
+    chosen = F.transform(
+        ordered(printed, True),
+        lambda e: F.struct(
+            e["weight"].alias("weight"),
+            e["item"].withField("bullets", F.slice(e["item"]["bullets"], 1, cap)).alias("item"),
+        ),
     )
-    return staged.withColumn("chosen", chosen).drop("_sections", "_drops", "_others", "_kept")
+    return df.withColumn("chosen", chosen)
 
 
 def render_resume(name: str, contact: str, profile: Column, summary: Column, chosen: Column) -> Column:

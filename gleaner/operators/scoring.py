@@ -44,8 +44,10 @@ def term_counts(
     return (
         _terms(df, key, text, stop)
         .withColumn("_starts", starts)
-        .select(key, F.explode(pairs).alias("_p"))
+        # outer: a plain explode makes the planner test the array before building it, twice over
+        .select(key, F.explode_outer(pairs).alias("_p"))
         .select(key, "_p.term", "_p.tf")
+        .where(F.col("term").isNotNull())
     )
 
 
@@ -57,7 +59,8 @@ def document_frequency(
     terms = F.when(some, F.array_append(F.array_distinct("_terms"), F.lit(ANY_TERM)))
     return (
         _terms(df, key, text, stop)
-        .select(F.explode(terms).alias("term"))
+        .select(F.explode_outer(terms).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )

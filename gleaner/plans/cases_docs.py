@@ -77,7 +77,7 @@ def profiled(t: Tables) -> DataFrame:
 
 @case("items_cross_jobs", _ITEM_CTES + "SELECT arrival, id AS item_id, profile, round(weight, 6) AS weight FROM weighed")
 def _(t: Tables) -> DataFrame:
-    e = profiled(t).select("arrival", "profile", F.explode("weighed").alias("e"))
+    e = profiled(t).select("arrival", "profile", F.explode_outer("weighed").alias("e"))
     return e.select("arrival", c("e.item.id").alias("item_id"), "profile", r6("e.weight").alias("weight"))
 
 
@@ -101,7 +101,7 @@ chosen AS (SELECT *, list_position({_ORDERS}, section) AS so, row_number() OVER
     _SELECTED + "SELECT arrival, at_pos AS position, id AS item_id, section, array_to_string(bullets[1:3], '|') AS bullets FROM chosen",
 )
 def _(t: Tables) -> DataFrame:
-    s = DOC.select_items(profiled(t), 3).select("arrival", F.posexplode("chosen").alias("p", "e"))
+    s = DOC.select_items(profiled(t), 3).select("arrival", F.posexplode_outer("chosen").alias("p", "e")).where(c("p").isNotNull())
     return s.select(
         "arrival",
         (c("p") + 1).cast("bigint").alias("position"),
