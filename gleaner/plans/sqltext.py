@@ -123,10 +123,10 @@ def unsuitable(gate: str = "none") -> str:
     prov, y = province("location"), years(both, P.EXPERIENCE_YEARS_PATTERN)
 
     def word(label: str, words) -> str:
-        hit = (
-            f"list_filter({sql_list(words)}, lambda v: regexp_matches({low}, '(^|[^a-z])' || v || '($|[^a-z])'))[1]"
+        return " ".join(
+            f"WHEN regexp_matches({low}, '(^|[^a-z]){w}($|[^a-z])') THEN {sql_text(label + ' ' + chr(39) + w + chr(39))}"
+            for w in words
         )
-        return f"WHEN {hit} IS NOT NULL THEN '{label} ''' || {hit} || ''''"
 
     graduate = (
         r"(?i)(?:^|[^a-z])(?:ph\.?\s?d|doctoral|post-?doc|master'?s|m\.?sc|graduate student|bs/ms|ms/phd)(?:$|[^a-z])"
