@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner import params as P
-from gleaner.functions.text import text_of
+from gleaner.functions.text import let, text_of
 
 
 def parse_number(c: Column) -> Column:
@@ -20,40 +20,52 @@ def parse_number(c: Column) -> Column:
 def parse_salary(c: Column) -> Column:
     """struct(min, max, currency, hourly) from an amount string: first and last number."""
     text = text_of(c)
-    numbers = F.array_compact(
-        F.transform(F.regexp_extract_all(text, F.lit(P.NUMBER_PATTERN), F.lit(0)), parse_number)
-    )
-    first = F.get(numbers, F.lit(0))
-    last = F.get(numbers, F.size(numbers) - 1)
+    found = F.regexp_extract_all(text, F.lit(P.NUMBER_PATTERN), F.lit(0))
+    numbers = F.array_compact(F.transform(found, parse_number))
     symbol = F.regexp_extract(text, f"({P.CURRENCY_PATTERN})", 1)
-    currency = F.lit("USD")
-    for sign, code in P.CURRENCY.items():
-        currency = F.when(symbol == sign, F.lit(code)).otherwise(currency)
-    return F.struct(
-        F.least(first, last).alias("min"),
-        F.greatest(first, last).alias("max"),
-        currency.alias("currency"),
-        text.rlike(P.HOURLY_IN_AMOUNT).alias("hourly"),
-    )
+
+    def currency(sign: Column) -> Column:
+        out = F.lit("USD")
+        for known, code in P.CURRENCY.items():
+            out = F.when(sign == known, F.lit(code)).otherwise(out)
+        return out
+
+    def bounds(n: Column) -> Column:
+        first, last = F.get(n, F.lit(0)), F.get(n, F.size(n) - 1)
+        return F.struct(
+            F.least(first, last).alias("min"),
+            F.greatest(first, last).alias("max"),
+            let(symbol, currency).alias("currency"),
+            text.rlike(P.HOURLY_IN_AMOUNT).alias("hourly"),
+        )
+
+    return let(numbers, bounds)
 
 
 def salary_from_text(text: Column) -> Column:
     """struct(min, max): yearly bounds of the first amount in the text."""
     body = text_of(text)
-    snippet = F.regexp_extract(body, f"({P.MONEY_PATTERN})", 1)
-    info = parse_salary(snippet)
-    # the earliest copy of the snippet is the match itself
-    start = F.instr(body, snippet)
-    left = F.greatest(start - P.MONEY_CONTEXT, F.lit(1))
-    window = F.substring(
-        body, left, start - left + F.length(snippet) + P.MONEY_CONTEXT
-    )
-    hourly = info["hourly"] | window.rlike(P.HOURLY_NEARBY) | (info["min"] < P.HOURLY_BELOW)
-    factor = F.when(F.coalesce(hourly, F.lit(False)), F.lit(P.HOURS_PER_YEAR)).otherwise(F.lit(1))
-    found = snippet != ""
-    return F.struct(
-        F.when(found, info["min"] * factor).alias("min"),
-        F.when(found, info["max"] * factor).alias("max"),
+
+    def yearly(snippet: Column, info: Column) -> Column:
+        # the earliest copy of the snippet is the match itself
+        start = F.instr(body, snippet)
+        left = F.greatest(start - P.MONEY_CONTEXT, F.lit(1))
+        size = start - left + F.length(snippet) + P.MONEY_CONTEXT
+        hourly = (
+            info["hourly"]
+            | (info["min"] < P.HOURLY_BELOW)
+            | F.substring(body, left, size).rlike(P.HOURLY_NEARBY)
+        )
+        factor = F.when(hourly, F.lit(P.HOURS_PER_YEAR)).otherwise(F.lit(1))
+        return let(
+            factor,
+            lambda f: F.struct((info["min"] * f).alias("min"), (info["max"] * f).alias("max")),
+        )
+
+    none = F.struct(F.lit(None).cast("bigint").alias("min"), F.lit(None).cast("bigint").alias("max"))
+    return let(
+        F.regexp_extract(body, f"({P.MONEY_PATTERN})", 1),
+        lambda s: F.when(s == "", none).otherwise(let(parse_salary(s), lambda i: yearly(s, i))),
     )
 
 

@@ -13,7 +13,9 @@ from gleaner.functions.text import (
     contains_any,
     first_contained,
     first_email,
+    first_hit,
     first_title_word,
+    let,
     term_alternation,
     text_of,
     title_and_text,
@@ -21,18 +23,16 @@ from gleaner.functions.text import (
 
 
 def is_closed(description: Column, phrases: Iterable[str] = P.CLOSED_PHRASES) -> Column:
-    return contains_any(F.lower(text_of(description)), phrases)
+    return let(F.lower(text_of(description)), lambda d: contains_any(d, phrases))
 
 
 def matched_phrase(text: Column, phrases: Iterable[str], case_sensitive: bool = False) -> Column:
     phrases = list(phrases)
     if case_sensitive:
         return first_contained(text, phrases)
-    hay = F.lower(text)
-    out = F.lit(None).cast("string")
-    for p in reversed(phrases):
-        out = F.when(F.contains(hay, F.lit(p.lower())), F.lit(p)).otherwise(out)
-    return out
+    return let(
+        F.lower(text), lambda t: first_hit((F.contains(t, F.lit(p.lower())), p) for p in phrases)
+    )
 
 
 def credential_block(text: Column) -> Column:
@@ -77,10 +77,9 @@ def extract_province(location: Column) -> Column:
     loc = text_of(location)
     low = F.lower(loc)
     codes = sorted(set(P.PROVINCES.values()))
-    named = None
-    for name, code in P.PROVINCES.items():
-        cond = F.contains(low, F.lit(name))
-        named = F.when(cond, F.lit(code)) if named is None else named.when(cond, F.lit(code))
+    named = let(
+        low, lambda p: first_hit((F.contains(p, F.lit(n)), code) for n, code in P.PROVINCES.items())
+    )
     in_brackets = F.regexp_extract(loc, r"\(([A-Z]{2})\)", 1)
     after_comma = F.regexp_extract(loc, r",\s*([A-Z]{2})\b", 1)
     return F.coalesce(
@@ -109,44 +108,43 @@ def title_matches(title: Column, pattern: str) -> Column:
 def exclude_reason(
     title: Column, description: Column, company: Column, location: Column, rules: P.ExcludeRules
 ) -> Column:
-    text = title_and_text(title, description)
-    steps = [F.when(is_closed(description), F.lit("posting closed"))]
-    if rules.phrases:
-        hit = matched_phrase(text, rules.phrases, rules.case_sensitive)
-        steps.append(F.concat(F.lit("matched phrase: '"), hit, F.lit("'")))
-    steps.append(credential_block(text))
-    if rules.max_years > 0:
-        years = max_years(text)
-        steps.append(
-            F.when(
-                years > rules.max_years,
-                F.concat(
-                    F.lit("requires "),
-                    years.cast("string"),
-                    F.lit(f" years experience (max allowed: {rules.max_years})"),
-                ),
-            )
-        )
-    if rules.provinces:
-        province = extract_province(location)
-        steps.append(
-            F.when(
-                ~province.isin(list(rules.provinces)),
-                F.concat(F.lit("out-of-province ("), province, F.lit(")")),
+    def cascade(text: Column) -> Column:
+        steps = [F.when(is_closed(description), F.lit("posting closed"))]
+        if rules.phrases:
+            hit = matched_phrase(text, rules.phrases, rules.case_sensitive)
+            steps.append(F.concat(F.lit("matched phrase: '"), hit, F.lit("'")))
+        steps.append(credential_block(text))
+        if rules.max_years > 0:
+            note = F.lit(f" years experience (max allowed: {rules.max_years})")
+            steps.append(let(max_years(text), lambda y: _above(y, rules.max_years, note)))
+        if rules.provinces:
+            steps.append(let(extract_province(location), lambda p: _outside(p, rules.provinces)))
+        if rules.companies:
+            steps.append(
+                F.when(
+                    company_blocked(company, rules.companies),
+                    F.concat(F.lit("blocked company: '"), text_of(company), F.lit("'")),
+                )
             )
-        )
-    if rules.companies:
-        steps.append(
-            F.when(
-                company_blocked(company, rules.companies),
-                F.concat(F.lit("blocked company: '"), text_of(company), F.lit("'")),
+        if rules.title_pattern:
+            steps.append(
+                F.when(
+                    title_matches(title, rules.title_pattern), F.lit("title matches exclude pattern")
+                )
             )
-        )
-    if rules.title_pattern:
-        steps.append(
-            F.when(title_matches(title, rules.title_pattern), F.lit("title matches exclude pattern"))
-        )
-    return F.coalesce(*steps)
+        return F.coalesce(*steps)
+
+    return let(title_and_text(title, description), cascade)
+
+
+def _above(years: Column, limit: int, note: Column) -> Column:
+    return F.when(years > limit, F.concat(F.lit("requires "), years.cast("string"), note))
+
+
+def _outside(province: Column, allowed: Iterable[str]) -> Column:
+    return F.when(
+        ~province.isin(list(allowed)), F.concat(F.lit("out-of-province ("), province, F.lit(")"))
+    )
 
 
 def domain_gate(
@@ -155,16 +153,20 @@ def domain_gate(
     off_terms: Iterable[str] = P.OFF_DOMAIN_TERMS,
     on_terms: Iterable[str] = P.ON_DOMAIN_TERMS,
 ) -> Column:
-    text = title_and_text(title, description)
     off, on = term_alternation(off_terms), term_alternation(on_terms)
-    off_term = F.lower(F.regexp_extract(text, f"({off})", 1))
-    return (
-        F.when(
-            (off_term != "") & ~text_of(title).rlike(on),
-            F.concat(F.lit("non-medical domain ('"), off_term, F.lit("')")),
+
+    def gate(text: Column) -> Column:
+        off_term = F.lower(F.regexp_extract(text, f"({off})", 1))
+        found = let(
+            off_term,
+            lambda o: F.when(
+                (o != "") & ~text_of(title).rlike(on),
+                F.concat(F.lit("non-medical domain ('"), o, F.lit("')")),
+            ),
         )
-        .when(~text.rlike(on), F.lit("no pre-med relevance signal"))
-    )
+        return F.coalesce(found, F.when(~text.rlike(on), F.lit("no pre-med relevance signal")))
+
+    return let(title_and_text(title, description), gate)
 
 
 def unsuitable_reason(
@@ -177,43 +179,43 @@ def unsuitable_reason(
     max_experience: int = P.MAX_EXPERIENCE_YEARS,
 ) -> Column:
     low_title, low_text = F.lower(text_of(title)), F.lower(text_of(description))
-    combined = F.concat(low_title, F.lit(" "), low_text)
-    province = extract_province(location)
-    years = max_years(combined, P.EXPERIENCE_YEARS_PATTERN)
 
     def titled(label: str, words: list[str]) -> Column:
-        return F.concat(F.lit(f"{label} '"), first_title_word(low_title, words), F.lit("'"))
+        hit = let(low_title, lambda t: first_title_word(t, words))
+        return F.concat(F.lit(f"{label} '"), hit, F.lit("'"))
 
-    steps = [
-        F.when(
-            company_blocked(company, P.SPAM_COMPANIES),
-            F.concat(F.lit("spam company '"), text_of(company), F.lit("'")),
-        ),
-        F.when(text_of(title).rlike(P.COURSE_CODE_PATTERN), F.lit("course-code teaching posting")),
-        titled("senior title", P.SENIOR_TITLE_WORDS),
-        titled("regulated-profession title", P.REGULATED_TITLE_WORDS),
-        titled("declined role type", P.DECLINED_TITLE_WORDS),
-        F.when(
-            text_of(title).rlike(P.GRADUATE_TITLE_PATTERN),
-            F.lit("requires graduate/degree standing (title)"),
-        ),
-        F.when(
-            contains_any(combined, P.LICENCE_PHRASES),
-            F.lit("requires professional licence/credential"),
-        ),
-        F.when(
-            province != home_province,
-            F.concat(F.lit("out-of-province ("), province, F.lit(")")),
-        ),
-        F.when(
-            years > max_experience,
-            F.concat(F.lit("requires "), years.cast("string"), F.lit(" yrs experience")),
-        ),
-        credential_block(combined),
-    ]
-    if gate != "none":
-        steps.append(domain_gate(title, description))
-    return F.coalesce(*steps)
+    def cascade(combined: Column) -> Column:
+        steps = [
+            F.when(
+                company_blocked(company, P.SPAM_COMPANIES),
+                F.concat(F.lit("spam company '"), text_of(company), F.lit("'")),
+            ),
+            F.when(
+                text_of(title).rlike(P.COURSE_CODE_PATTERN), F.lit("course-code teaching posting")
+            ),
+            titled("senior title", P.SENIOR_TITLE_WORDS),
+            titled("regulated-profession title", P.REGULATED_TITLE_WORDS),
+            titled("declined role type", P.DECLINED_TITLE_WORDS),
+            F.when(
+                text_of(title).rlike(P.GRADUATE_TITLE_PATTERN),
+                F.lit("requires graduate/degree standing (title)"),
+            ),
+            F.when(
+                contains_any(combined, P.LICENCE_PHRASES),
+                F.lit("requires professional licence/credential"),
+            ),
+            let(extract_province(location), lambda p: _outside(p, [home_province])),
+            let(
+                max_years(combined, P.EXPERIENCE_YEARS_PATTERN),
+                lambda y: _above(y, max_experience, F.lit(" yrs experience")),
+            ),
+            credential_block(combined),
+        ]
+        if gate != "none":
+            steps.append(domain_gate(title, description))
+        return F.coalesce(*steps)
+
+    return let(F.concat(low_title, F.lit(" "), low_text), cascade)
 
 
 def apply_method(source: Column, url: Column, description: Column) -> Column:
@@ -267,7 +269,7 @@ def response_state(
 ) -> Column:
     """struct(state, reason, full_text) of a re-fetched posting."""
     portal = source.endswith(P.PORTAL_SUFFIX)
-    dead = first_contained(F.lower(text_of(body)), P.DEAD_PHRASES)
+    dead = let(F.lower(text_of(body)), lambda b: first_contained(b, P.DEAD_PHRASES))
 
     def out(state: str, reason: Column, text: Column | None = None) -> Column:
         text = F.lit(None).cast("string") if text is None else text

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +28,11 @@ def title_and_text(title: Column, description: Column) -> Column:
     return F.concat(text_of(title), F.lit(" "), text_of(description))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     out = F.lit(False)
     for c in conditions:
@@ -174,9 +179,12 @@ def skills(
     limit: int = P.MAX_SKILLS,
 ) -> Column:
     hay = F.lower(F.concat(title_and_text(title, description), F.lit(" "), text_of(company)))
-    hits = [F.when(whole_word(hay, a), F.lit(s)) for a, s in aliases.items()]
-    hits += [F.when(whole_word(hay, s), F.lit(s)) for s in names]
-    return F.slice(F.array_distinct(F.array_compact(F.array(*hits))), 1, limit)
+    pairs = [*aliases.items(), *((s, s) for s in names)]
+
+    def hits(h: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(whole_word(h, k), F.lit(s)) for k, s in pairs]))
+
+    return F.slice(F.array_distinct(let(hay, hits)), 1, limit)
 
 
 def first_email(text: Column, blocked: Iterable[str] = P.BLOCKED_ADDRESS_PARTS) -> Column:
@@ -207,13 +215,14 @@ def keyword_phrases(
     limit: int = 4,
 ) -> Column:
     hay = F.lower(title_and_text(title, description))
-    hits = [
-        F.when(F.contains(hay, F.lit(k)), F.lit(phrases.get(k, k)))
-        for k in keywords
-        if phrases.get(k, k)
-    ]
-    found = F.slice(F.array_distinct(F.array_compact(F.array(*hits))), 1, limit)
-    return F.array_join(F.when(F.size(found) > 0, found).otherwise(string_array(default)), ", ")
+    usable = [(k, phrases.get(k, k)) for k in keywords if phrases.get(k, k)]
+
+    def hits(h: Column) -> Column:
+        found = F.array(*[F.when(F.contains(h, F.lit(k)), F.lit(v)) for k, v in usable])
+        return F.slice(F.array_distinct(F.array_compact(found)), 1, limit)
+
+    chosen = let(let(hay, hits), lambda f: F.when(F.size(f) > 0, f).otherwise(string_array(default)))
+    return F.array_join(chosen, ", ")
 
 
 def labelled_lines(*pairs: tuple[str, Column]) -> Column:

@@ -200,13 +200,18 @@ def keyword_hits(
     title: Column, description: Column, keywords: Iterable[str], title_weight: float = 2.0
 ) -> Column:
     """Sum over keywords: ``title_weight`` for a title hit, else 1 for a description hit."""
+    words = list(keywords)
+
+    def total(t: Column, d: Column) -> Column:
+        hits = F.lit(0.0)
+        for k in words:
+            hits = hits + F.when(X.whole_word(t, k), F.lit(float(title_weight))).when(
+                X.whole_word(d, k), F.lit(1.0)
+            ).otherwise(F.lit(0.0))
+        return hits
+
     low_title, low_text = F.lower(X.text_of(title)), F.lower(X.text_of(description))
-    hits = F.lit(0.0)
-    for k in keywords:
-        hits = hits + F.when(X.whole_word(low_title, k), F.lit(float(title_weight))).when(
-            X.whole_word(low_text, k), F.lit(1.0)
-        ).otherwise(F.lit(0.0))
-    return hits
+    return X.let(low_title, lambda t: X.let(low_text, lambda d: total(t, d)))
 
 
 def expanded_query(query: Column, focus: P.FocusRules, blend_active: bool) -> Column:
@@ -321,7 +326,9 @@ def score_profiles(
 
 def best_category(title: Column, description: Column, categories: Sequence[P.Category]) -> Column:
     """Enabled category with a title hit and the most 2*title + description hits; else null."""
-    low_title, low_text = F.lower(X.text_of(title)), F.lower(X.text_of(description))
+    enabled = [c for c in categories if c.enabled]
+    if not enabled:
+        return F.lit(None).cast("string")
 
     def count(hay: Column, words: Sequence[str]) -> Column:
         total = F.lit(0)
@@ -329,33 +336,54 @@ def best_category(title: Column, description: Column, categories: Sequence[P.Cat
             total = total + F.when(X.whole_word(hay, k), 1).otherwise(0)
         return total
 
-    entries = []
-    enabled = [c for c in categories if c.enabled]
-    for pos, c in enumerate(enabled):
-        t, d = count(low_title, c.keywords), count(low_text, c.keywords)
-        entries.append(
-            F.when(t > 0, F.struct((t * 2 + d).alias("hits"), F.lit(-pos).alias("pos"), F.lit(c.name).alias("name")))
+    def entry(pos: int, c: P.Category, t: Column, d: Column) -> Column:
+        return X.let(
+            count(t, c.keywords),
+            lambda n: F.when(
+                n > 0,
+                F.struct(
+                    (n * 2 + count(d, c.keywords)).alias("hits"),
+                    F.lit(-pos).alias("pos"),
+                    F.lit(c.name).alias("name"),
+                ),
+            ),
         )
-    if not entries:
-        return F.lit(None).cast("string")
-    return F.array_max(F.array_compact(F.array(*entries)))["name"]
+
+    def best(t: Column, d: Column) -> Column:
+        entries = [entry(pos, c, t, d) for pos, c in enumerate(enabled)]
+        return F.array_max(F.array_compact(F.array(*entries)))["name"]
+
+    low_title, low_text = F.lower(X.text_of(title)), F.lower(X.text_of(description))
+    return X.let(low_title, lambda t: X.let(low_text, lambda d: best(t, d)))
 
 
 def best_profile(title: Column, description: Column) -> Column:
     """Document profile with the most keyword occurrences, title keywords counting two more."""
-    low_title = F.lower(X.text_of(title))
-    low_text = F.lower(X.title_and_text(title, description))
-    entries = []
-    for pos, (name, words) in enumerate(P.PROFILE_KEYWORDS.items()):
-        hits = F.lit(0)
+
+    def hits(t: Column, d: Column, words: Sequence[str]) -> Column:
+        total = F.lit(0)
         for k in words:
             pattern = rf"(?U)\b{X.escape(k)}\b"
-            present = F.contains(low_text, F.lit(k))
-            hits = hits + F.when(present, F.regexp_count(low_text, F.lit(pattern))).otherwise(0)
-            hits = hits + F.when(X.whole_word(low_title, k), 2).otherwise(0)
-        entries.append(F.struct(hits.alias("hits"), F.lit(-pos).alias("pos"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*entries))
-    return F.when(best["hits"] > 0, best["name"]).otherwise(F.lit("general"))
+            # title words occur in the text too, so one substring test guards both
+            total = total + F.when(
+                F.contains(d, F.lit(k)),
+                F.regexp_count(d, F.lit(pattern)) + F.when(X.whole_word(t, k), 2).otherwise(0),
+            ).otherwise(0)
+        return total
+
+    def best(t: Column, d: Column) -> Column:
+        entries = [
+            F.struct(hits(t, d, words).alias("hits"), F.lit(-pos).alias("pos"), F.lit(name).alias("name"))
+            for pos, (name, words) in enumerate(P.PROFILE_KEYWORDS.items())
+        ]
+        return X.let(
+            F.array_max(F.array(*entries)),
+            lambda b: F.when(b["hits"] > 0, b["name"]).otherwise(F.lit("general")),
+        )
+
+    low_title = F.lower(X.text_of(title))
+    low_text = F.lower(X.title_and_text(title, description))
+    return X.let(low_title, lambda t: X.let(low_text, lambda d: best(t, d)))
 
 
 # -- several query texts ----------------------------------------------------------------
