@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 # A side is only ever broadcast by hand after its row count was checked against this.
 SMALL_SIDE_ROWS = 500_000
-# use_all_cores leaves smaller scans alone, and larger ones make splits enough of their own.
+# use_all_cores touches scans between these sizes only: dealing out a gigabyte is cheap, and
+# larger tables make splits enough of their own.
 MIN_SPREAD_BYTES = 256 * 1024
-MAX_SPLIT_BYTES = 128 * 1024 * 1024
+MAX_SPREAD_BYTES = 1024 * 1024 * 1024
 
 
 def build_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,6 +54,6 @@ def use_all_cores(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < MIN_SPREAD_BYTES or size > cores * MAX_SPLIT_BYTES:
+    if size < MIN_SPREAD_BYTES or size > MAX_SPREAD_BYTES:
         return df
     return df.repartition(cores)
