@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import simhash
+from gleaner.llm import packing, simhash, suffix
 from gleaner.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,27 @@ def query(name: str, sql: str | None = None):
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", simhash.hex_digits(groups["fp"]).alias("fingerprint"), "component_id")
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix.without_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_pack_sequences")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file())
