@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import packing, simhash, suffix
+from gleaner.llm import langid, packing, simhash, suffix
 from gleaner.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,12 @@ def tokenizer_file() -> str:
 @query("op8_pack_sequences")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file())
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = langid.fold(F.col("doc_id")) == 2
+    model = langid.fit(docs.where(~held_out))
+    rows = langid.identify(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
