@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid, packing, simhash, suffix
+from gleaner.llm import langid, mixing, packing, simhash, sqltext, suffix
 from gleaner.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs.where(~held_out))
     rows = langid.identify(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op1_mix_sources", sqltext.OP1)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
