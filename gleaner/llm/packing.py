@@ -33,6 +33,13 @@ Bin = tuple[tuple[int, int], ...]  # (length, how many of it), in the order they
 Plan = list[tuple[Bin, int]]  # a way to fill a bin, and how many bins are filled so
 
 
+def public_tokenizer() -> str:
+    """The installed file whose ids the registered queries take."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @lru_cache(maxsize=2)
 def _words(path: str):
     from gleaner.llm.tokens import WordTokens

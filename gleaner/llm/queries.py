@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid, mixing, packing, simhash, sqltext, suffix
+import corpus_pipeline
+from gleaner.llm import langid, mixing, packing, simhash, sqltext, suffix, urls
 from gleaner.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
 @query("op9_simhash_groups")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, folder, "documents"))
@@ -43,15 +47,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def tokenizer_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op8_pack_sequences")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file())
+    return packing.pack_documents(table(spark, folder, "documents"), packing.public_tokenizer())
 
 
 @query("op6_language_id")
@@ -67,3 +65,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_url_filter", sqltext.OP2)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark))

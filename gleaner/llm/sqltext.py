@@ -37,3 +37,21 @@ x AS (
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN chosen OR coalesce(extra = 1, false) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM x
 """
+
+# A rule is an expression's host suffix and the start of the path, so plain conditions say the same.
+OP2 = r"""
+WITH u AS (
+ SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), v AS (SELECT page_id, regexp_extract(rest, '^([^?#]*)', 1) AS place FROM u),
+p AS (
+ SELECT page_id, translate(regexp_extract(place, '^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  substr(place, length(regexp_extract(place, '^([^/]*)', 1)) + 1) AS path FROM v
+), r(rhost, rpath, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m AS (
+ SELECT page_id, host, path, rhost || rpath AS rule, verdict,
+  row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost || rpath) DESC, length(rhost) DESC, rhost || rpath DESC) AS nth
+ FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.host = p.host AND m.path = p.path AND m.nth = 1
+"""
