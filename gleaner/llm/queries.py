@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import langid, mixing, packing, simhash, sqltext, suffix, urls
+from gleaner.llm import langid, mixing, packing, quality, simhash, sqltext, suffix, urls
 from gleaner.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_url_filter", sqltext.OP2)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark))
+
+
+@query(
+    "op7_quality_rules",
+    sqltext.op7(quality.SENTENCE_WORDS, quality.END_MARKS, quality.NAVIGATION, quality.BOILERPLATE, quality.MAX_LOST_PERCENT),
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.clean(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -55,3 +55,37 @@ m AS (
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.host = p.host AND m.path = p.path AND m.nth = 1
 """
+
+# The base figures by unnesting words, lines and windows; the line rules as the same patterns.
+OP7 = rf"""
+WITH d AS (
+ SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+ SELECT doc_id, i, list_slice(w, i, i + 7) AS g FROM d, unnest(range(1, len(w) - 6)) AS x(i) WHERE len(w) >= 8
+), twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (
+ SELECT doc_id, sum(n)::BIGINT AS n FROM (
+  SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM twice
+ ) GROUP BY doc_id
+), lines AS (
+ SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM d, unnest(string_split(text, chr(10))) AS x(line)
+), by_line AS (
+ SELECT doc_id, (count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0))::BIGINT AS n_dup_lines,
+  coalesce(sum(n) FILTER (WHERE n > 0 AND ((n >= {{sentence}} AND NOT regexp_matches(line, {{ends}})) OR regexp_matches(line, {{navigation}}) OR regexp_matches(line, {{boilerplate}}))), 0)::BIGINT AS lost
+ FROM lines GROUP BY doc_id
+), f AS (
+ SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, lost
+ FROM d JOIN by_line USING (doc_id) LEFT JOIN rep USING (doc_id)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND 100 * lost <= {{max_lost}} * n_words AS kept
+FROM b
+"""
+
+
+def op7(sentence: int, ends: str, navigation: str, boilerplate: str, max_lost: int) -> str:
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    return OP7.replace("{sentence}", str(sentence)).replace("{ends}", quoted(ends)).replace("{navigation}", quoted(navigation)).replace("{boilerplate}", quoted(boilerplate)).replace("{max_lost}", str(max_lost))
