@@ -1,7 +1,7 @@
 """Line-first cleaning of texts, and the base figures of whole texts.
 
-Every line is judged alone: punctuation (a line of several words ends like a sentence), navigation
-(bars, arrows, link words) and boilerplate (notices of sites and scripts). Lines that fail are
+Every line is judged alone: punctuation (a line of several words ends like a sentence, and has no
+more symbols than words), navigation (bars, arrows, link words) and boilerplate (notices of sites and scripts). Lines that fail are
 removed; a text that loses too much of its words, or fails the base rule, is rejected.
 
 All of it is expressions inside the row: no shuffle, no Python. Repeated 8-word windows are found
@@ -105,8 +105,9 @@ def n_repeat_words(words: Column, width: int = WINDOW) -> Column:
 def line_fails(line: Column) -> Column:
     """Does the line break a rule? Lines without a word break none."""
     ends = F.rlike(line, F.lit(END_MARKS))
-    long = F.regexp_count(line, F.lit(WORD)) >= SENTENCE_WORDS
-    return has_word(line) & ((long & ~ends) | F.rlike(line, F.lit(NAVIGATION)) | F.rlike(line, F.lit(BOILERPLATE)))
+    words = F.regexp_count(line, F.lit(WORD))
+    unlike_text = ((words >= SENTENCE_WORDS) & ~ends) | (F.length(line) - F.length(without(line, SYMBOLS)) > words)
+    return has_word(line) & (unlike_text | F.rlike(line, F.lit(NAVIGATION)) | F.rlike(line, F.lit(BOILERPLATE)))
 
 
 def cleaned(text: Column) -> Column:

@@ -71,7 +71,7 @@ rep AS (
  SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM d, unnest(string_split(text, chr(10))) AS x(line)
 ), by_line AS (
  SELECT doc_id, (count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0))::BIGINT AS n_dup_lines,
-  coalesce(sum(n) FILTER (WHERE n > 0 AND ((n >= {{sentence}} AND NOT regexp_matches(line, {{ends}})) OR regexp_matches(line, {{navigation}}) OR regexp_matches(line, {{boilerplate}}))), 0)::BIGINT AS lost
+  coalesce(sum(n) FILTER (WHERE n > 0 AND ((n >= {{sentence}} AND NOT regexp_matches(line, {{ends}})) OR length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > n OR regexp_matches(line, {{navigation}}) OR regexp_matches(line, {{boilerplate}}))), 0)::BIGINT AS lost
  FROM lines GROUP BY doc_id
 ), f AS (
  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
