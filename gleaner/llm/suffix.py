@@ -11,11 +11,13 @@ is a hashed run of bytes, so that groups, not their order, come out.
 * Digit 2 is the anchor's context: the bytes of every window that could hold it. All of an equal
   group but the first are covered over their whole context.
 * Digit 3 is the window itself. It is needed only for the first of each context, and only where a
-  run occurs in different contexts, such as at the edges of a shared passage.
+  run occurs in different contexts, such as at the edges of a shared passage. There the contexts
+  are sent once, and the windows in them are sorted where the contexts of one run meet.
 
 Each pass keeps the first of equal entries inside a task before the shuffle, so a passage found in
-a third of all documents sends one entry per task. Runs that meet very many contexts in one task
-are dealt out by context, not by run. Equality is that of two 64-bit hashes together.
+a third of all documents sends one entry per task. A run that meets very many contexts in one task
+is hot: its contexts are dealt out by context, and its windows one by one by their own hash, so no
+task gets all of them. Equality is that of two 64-bit hashes together.
 
 Defined cases: a null text is empty; texts under ``WINDOW`` bytes lose nothing; a repeated doc_id
 counts once, with its smallest text; a null doc_id is a document before all others; columns other
@@ -27,8 +29,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.base import release, small_batches, stored
@@ -40,13 +43,15 @@ BEFORE, AFTER = WINDOW - DIGIT, WINDOW
 # Empty bytes between the texts of a block, so that no run or context reaches the next text.
 PAD = WINDOW
 # Longer texts are hashed in pieces of so many window starts.
-PIECE = 1 << 22
+PIECE = 1 << 20
 # Anchors or windows that a task holds before it sends them.
-FLUSH = 600_000
+FLUSH = 300_000
 # Contexts of one run in one task from which they are dealt out by context.
 HOT_RUN = 64
+# Contexts of one run that may meet in one task.
+HOT_MEET = 5_000
 # Text bytes for each bucket of the sort.
-PER_BUCKET = 24_000_000
+PER_BUCKET = 16_000_000
 NO_ID = -(1 << 63)
 
 U64 = np.uint64
@@ -60,6 +65,29 @@ def mix(x: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
+def run_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hash of the ``DIGIT`` bytes from each position on, along the last axis."""
+    h = ODD[0] * (raw.astype(U64) + U64(1))
+    step, k = 1, 1
+    while step < DIGIT:  # ever longer runs by doubling
+        h = mix(h[..., :-step] + h[..., step:] * ODD[k], k + 8)
+        step, k = 2 * step, k + 1
+    return h
+
+
+def window_hashes(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of windows, from the hashes of the four runs that cover them."""
+    a = np.zeros(len(runs[0]), dtype=U64)
+    b = np.zeros(len(runs[0]), dtype=U64)
+    for k, r in enumerate(runs):
+        a = mix(a + r * ODD[k + 1], k + 12)
+        b = mix(b ^ (r * ODD[k + 6]), k + 3)
+    return a, b
+
+
+RUNS_OF_WINDOW = (0, DIGIT, 2 * DIGIT, WINDOW - DIGIT)
+
+
 class Block:
     """Texts in one padded byte array, with the hash of every run and the anchor of every window.
 
@@ -81,12 +109,8 @@ class Block:
         raw = np.zeros(PAD + int((lengths + PAD).sum()) + DIGIT, dtype=np.uint8)
         for i, lo, n, at in zip(self.text.tolist(), self.low.tolist(), lengths.tolist(), self.place.tolist(), strict=True):
             raw[at : at + n] = np.frombuffer(texts[i], dtype=np.uint8, count=n, offset=lo)
-        h = ODD[0] * (raw.astype(U64) + U64(1))
-        step, k = 1, 1
-        while step < DIGIT:  # hashes of ever longer runs by doubling
-            h = mix(h[:-step] + h[step:] * ODD[k], k + 8)
-            step, k = 2 * step, k + 1
-        self.runs = h
+        self.raw = raw
+        self.runs = run_hashes(raw)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the start, place of the anchor, part) of every window."""
@@ -120,26 +144,30 @@ class Block:
         return out
 
     def window(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit hash of the windows."""
-        a = np.zeros(len(start), dtype=U64)
-        b = np.zeros(len(start), dtype=U64)
-        for k, d in enumerate((0, DIGIT, 2 * DIGIT, WINDOW - DIGIT)):
-            a = mix(a + self.runs[start + d] * ODD[k + 1], k + 12)
-            b = mix(b ^ (self.runs[start + d] * ODD[k + 6]), k + 3)
-        return a, b
+        return window_hashes([self.runs[start + d] for d in RUNS_OF_WINDOW])
+
+    def context_bytes(self, anchor: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The context of each anchor and, as a last byte, how much of the text follows its start."""
+        view = np.lib.stride_tricks.sliding_window_view(self.raw, BEFORE + AFTER)
+        right = np.minimum(AFTER, self.size[part] - self.offset(anchor, part)).astype(np.uint8)
+        return np.ascontiguousarray(np.concatenate((view[anchor - BEFORE], right[:, None]), axis=1)).view(CONTEXT_BYTES)[:, 0]
 
 
 # One entry of a sort: two hashes, the document and the place in it.
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+CONTEXT_BYTES = np.dtype(f"V{BEFORE + AFTER + 1}")
 TYPES = (np.dtype("<u8"), np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4"))
+CONTEXT_TYPES = (TYPES[0], CONTEXT_BYTES, TYPES[2], TYPES[3])
 PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in "abdp"]])
-MARKS = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("pos", pa.int32())])
 PACKED_DDL = "bucket int, kind int, a binary, b binary, d binary, p binary"
-MARKS_DDL = "kind int, doc long, pos int"
-# Kinds of packed entries: to be sorted; of a run known to meet many contexts; known to be covered.
-SORT, MANY, COVERED = 0, 1, 2
-# Kinds of marks: everything around is covered; the windows of this anchor are to be sorted.
-COVER, WINDOWS = 0, 1
+# Kinds of packed entries: to be sorted; of a hot run; news for its bucket that a run is hot; known
+# to be covered; contexts whose windows are to be sorted.
+SORT, HOT, HOT_NEWS, COVERED, CONTEXT = range(5)
+MARKS = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+MARKS_DDL = "kind int, doc long, lo int, hi int"
+# Kinds of marks: bytes lo to hi are covered; anchors (lo) whose windows are to be sorted, where
+# contexts meet or, for hot runs, one by one.
+COVER, MEET, SINGLE = range(3)
 
 
 def in_order(e: Entries) -> Entries:
@@ -190,12 +218,11 @@ def send_anchors(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
     late = later_copies(e)
     yield from packed(tuple(c[late] for c in e), COVERED, dealt(e[1][late], buckets))
     e = tuple(c[~late] for c in e)
-    group = np.cumsum(~equal_before(e[0])) - 1
-    many = (np.bincount(group) > HOT_RUN)[group] if len(group) else np.zeros(0, dtype=bool)
-    # two contexts of such a run tell its bucket that there are several
-    told = ~many | ~equal_before(group) | (equal_before(group) & ~np.roll(equal_before(group), 1))
-    yield from packed(tuple(c[many] for c in e), MANY, dealt(e[1][many], buckets))
-    yield from packed(tuple(c[told] for c in e), SORT, dealt(e[0][told], buckets))
+    again = equal_before(e[0])
+    group = np.cumsum(~again) - 1
+    hot = (np.bincount(group) > HOT_RUN)[group] if len(group) else np.zeros(0, dtype=bool)
+    for kind, some, h in ((HOT, hot, e[1]), (HOT_NEWS, hot & ~again, e[0]), (SORT, ~hot, e[0])):
+        yield from packed(tuple(c[some] for c in e), kind, dealt(h[some], buckets))
 
 
 def send_windows(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -205,125 +232,219 @@ def send_windows(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
     yield from packed(tuple(c[~late] for c in e), SORT, dealt(e[0][~late], buckets))
 
 
-def hashed(buckets: int, windows_of: str | None):
-    """Entries of every partition, packed by bucket: of all anchors, or of the windows of some."""
+def send_contexts(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
+    yield from packed(e, CONTEXT, dealt(e[0], buckets))
+
+
+def blocks(rb: pa.RecordBatch) -> Iterator[tuple[int, int, Block]]:
+    """Row ranges of a batch and their texts."""
+    texts = [t.encode("utf-8", "surrogatepass") for t in rb.column("text").to_pylist()]
+    i = 0
+    while i < len(texts):
+        j, total = i, 0
+        while j < len(texts) and (j == i or total + len(texts[j]) <= PIECE):
+            total += len(texts[j])
+            j += 1
+        yield i, j, Block(texts[i:j])
+        i = j
+
+
+class Held:
+    """Entries of a task, sent on when there are ``FLUSH`` of them."""
+
+    def __init__(self, send, buckets: int) -> None:
+        self.send, self.buckets, self.parts, self.n = send, buckets, [], 0
+
+    def add(self, e: Entries, weight: int = 1) -> Iterator[pa.RecordBatch]:
+        self.parts.append(e)
+        self.n += weight * len(e[0])
+        if self.n >= FLUSH:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            parts, self.parts, self.n = self.parts, [], 0
+            yield from self.send(tuple(map(np.concatenate, zip(*parts, strict=True))), self.buckets)
+
+
+def anchor_entries(buckets: int):
+    """All anchors of every partition, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        send = send_windows if windows_of else send_anchors
-        held: list[Entries] = []
-        n = 0
+        held = Held(send_anchors, buckets)
         for rb in batches:
             ids = rb.column("doc").to_numpy(zero_copy_only=False)
-            texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in rb.column("text").to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, total = i, 0
-                while j < len(texts) and (j == i or total + len(texts[j]) <= PIECE):
-                    total += len(texts[j])
-                    j += 1
-                block = Block(texts[i:j])
-                start, anchor, part = block.windows()
-                if windows_of:
-                    chosen = rb.column(windows_of).slice(i, j - i)
-                    row = np.repeat(np.arange(j - i), pa.compute.list_value_length(chosen).to_numpy())
-                    pos = chosen.flatten().to_numpy().astype(np.int64)
-                    here = np.isin((block.text[part] << 32) | block.offset(anchor, part), (row << 32) | pos)
-                    start, part = start[here], part[here]
-                    a, b = block.window(start)
-                else:
-                    new = ~equal_before(anchor, part)
-                    start, part = anchor[new], part[new]
-                    a, b = block.runs[start], block.context(start, part)
-                doc = ids[i:j][block.text[part]] if len(part) else np.empty(0, np.int64)
-                held.append((a, b, doc.astype(np.int64), block.offset(start, part).astype(np.int32)))
-                n += len(a)
-                i = j
-                if n >= FLUSH:
-                    yield from send(tuple(map(np.concatenate, zip(*held, strict=True))), buckets)
-                    held, n = [], 0
-        if n:
-            yield from send(tuple(map(np.concatenate, zip(*held, strict=True))), buckets)
+            for i, j, block in blocks(rb):
+                _, anchor, part = block.windows()
+                new = ~equal_before(anchor, part)
+                anchor, part = anchor[new], part[new]
+                doc = ids[i:j][block.text[part]].astype(np.int64)
+                pos = block.offset(anchor, part).astype(np.int32)
+                yield from held.add((block.runs[anchor], block.context(anchor, part), doc, pos))
+        yield from held.rest()
 
     return run
 
 
-def marks(kind: int, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind), pa.int32()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32())], schema=MARKS)
+def window_entries(buckets: int):
+    """Contexts of the anchors in ``meet`` and windows of those in ``single``, packed by bucket."""
 
+    def chosen(rb: pa.RecordBatch, column: str, i: int, j: int, block: Block, anchor: np.ndarray, part: np.ndarray) -> np.ndarray:
+        lists = rb.column(column).slice(i, j - i)
+        row = np.repeat(np.arange(j - i), pa.compute.list_value_length(lists).fill_null(0).to_numpy())
+        pos = lists.flatten().to_numpy().astype(np.int64)
+        return np.isin((block.text[part] << 32) | block.offset(anchor, part), (row << 32) | pos)
 
-def sort_bucket(windows: bool):
-    """Marks of one bucket. Its size is set by the number of buckets, hot runs being dealt apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, singles = Held(send_contexts, buckets), Held(send_windows, buckets)
+        for rb in batches:
+            ids = rb.column("doc").to_numpy(zero_copy_only=False)
+            for i, j, block in blocks(rb):
+                start, anchor, part = block.windows()
 
-    def of_kind(t: pa.Table, kind: int) -> Entries:
-        part = t.filter(pa.compute.equal(t["kind"], kind))
-        return tuple(np.frombuffer(b"".join(part[c].to_pylist()), dtype=d) for c, d in zip("abdp", TYPES, strict=True))
+                def of(place: np.ndarray, p: np.ndarray, ids=ids, i=i, j=j, block=block) -> tuple[np.ndarray, np.ndarray]:
+                    return ids[i:j][block.text[p]].astype(np.int64), block.offset(place, p).astype(np.int32)
 
-    def run(t: pa.Table) -> pa.Table:
-        out = []
-        known = of_kind(t, COVERED)
-        out.append(marks(COVER, known[2], known[3]))
-        many = in_order(of_kind(t, MANY))
-        late = later_copies(many)
-        out.append(marks(COVER, many[2][late], many[3][late]))
-        out.append(marks(WINDOWS, many[2][~late], many[3][~late]))
-        e = of_kind(t, SORT)
-        # first digit: groups of one are done
-        o = np.argsort(e[0])
-        same = equal_before(e[0][o])
-        several = same | np.append(same[1:], False) if len(same) else same
-        e = in_order(tuple(c[o[several]] for c in e))
-        late = later_copies(e)
-        out.append(marks(COVER, e[2][late], e[3][late]))
-        if not windows:
-            group = np.cumsum(~equal_before(e[0])) - 1
-            contexts = np.bincount(group, weights=~equal_before(e[0], e[1])) if len(group) else group
-            todo = ~late & (contexts[group] > 1)
-            out.append(marks(WINDOWS, e[2][todo], e[3][todo]))
-        return pa.Table.from_batches(out, schema=MARKS)
+                one = np.flatnonzero(chosen(rb, "single", i, j, block, anchor, part))
+                a, b = block.window(start[one])
+                yield from singles.add((a, b, *of(start[one], part[one])))
+                new = np.flatnonzero(~equal_before(anchor, part))
+                new = new[chosen(rb, "meet", i, j, block, anchor[new], part[new])]
+                at, p = anchor[new], part[new]
+                yield from contexts.add((block.runs[at], block.context_bytes(at, p), *of(at, p)), weight=8)
+        yield from singles.rest()
+        yield from contexts.rest()
 
     return run
 
 
-def sorted_marks(docs: DataFrame, buckets: int, windows_of: str | None = None) -> DataFrame:
-    sent = docs.mapInArrow(hashed(buckets, windows_of), PACKED_DDL)
-    return sent.groupBy("bucket").applyInArrow(sort_bucket(windows_of is not None), MARKS_DDL)
+def marks(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    cols = (np.full(len(doc), kind), doc, np.maximum(lo, 0), hi)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, MARKS, strict=True)], schema=MARKS)
 
 
-def one_per_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, text) with one row per id; only rows that repeat an id are shuffled with their text."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    twice = stored(rows.groupBy("doc").count().where("count > 1").select("doc"))
-    if not twice.take(1):
-        return rows
-    single = rows.join(twice, "doc", "left_anti")
-    return single.unionByName(rows.join(twice, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
+def around(kind: int, e: Entries) -> pa.RecordBatch:
+    """Marks of anchors: their contexts if covered, else their places."""
+    cover = kind == COVER
+    return marks(kind, e[2], e[3] - (BEFORE if cover else 0), e[3] + (AFTER if cover else 0))
+
+
+def of_kind(t: pa.Table, kind: int, types: tuple[np.dtype, ...] = TYPES) -> Entries:
+    part = t.filter(pa.compute.equal(t["kind"], kind))
+    return tuple(np.frombuffer(b"".join(part[c].to_pylist()), dtype=d) for c, d in zip("abdp", types, strict=True))
+
+
+def several(h: np.ndarray) -> np.ndarray:
+    """Positions of values that occur more than once."""
+    o = np.argsort(h)
+    same = equal_before(h[o])
+    return o[same | np.append(same[1:], False)] if len(o) else o
 
 
-def covered_spans(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc, kind, pos): where windows of (doc, text) rows are covered.
+def sort_anchors(t: pa.Table) -> pa.Table:
+    """Marks of one bucket of anchors."""
+    out = [around(COVER, of_kind(t, COVERED))]
+    e = in_order(of_kind(t, HOT))
+    late = later_copies(e)
+    out += [around(COVER, tuple(c[late] for c in e)), around(SINGLE, tuple(c[~late] for c in e))]
+    news = np.unique(of_kind(t, HOT_NEWS)[0])
+    e = of_kind(t, SORT)
+    some = np.zeros(len(e[0]), dtype=bool)
+    some[several(e[0])] = True  # first digit: groups of one are done, but for those hot elsewhere
+    some |= np.isin(e[0], news)
+    e = in_order(tuple(c[some] for c in e))
+    late = later_copies(e)
+    out.append(around(COVER, tuple(c[late] for c in e)))
+    group = np.cumsum(~equal_before(e[0])) - 1
+    contexts = np.bincount(group, weights=~equal_before(e[0], e[1]))[group] if len(group) else group
+    hot = np.isin(e[0], news) | (contexts > HOT_MEET)
+    out.append(around(SINGLE, tuple(c[~late & hot] for c in e)))
+    out.append(around(MEET, tuple(c[~late & ~hot & (contexts > 1)] for c in e)))
+    return pa.Table.from_batches(out, schema=MARKS)
+
 
-    ``COVER`` marks an anchor whose whole context is covered, ``WINDOWS`` a covered window.
+def sort_windows(t: pa.Table) -> pa.Table:
+    """Marks of one bucket of contexts and single windows."""
+
+    def windows(e: Entries) -> pa.RecordBatch:
+        return marks(COVER, e[2], e[3], e[3] + WINDOW)
+
+    out = [windows(of_kind(t, COVERED))]
+    e = of_kind(t, SORT)
+    e = in_order(tuple(c[several(e[0])] for c in e))
+    late = later_copies(e)
+    out.append(windows(tuple(c[late] for c in e)))
+    run, raw, doc, pos = of_kind(t, CONTEXT, CONTEXT_TYPES)
+    order = np.argsort(run, kind="stable")
+    for some in np.split(order, meeting_cuts(run[order])):
+        out.append(sort_contexts(raw[some], doc[some], pos[some].astype(np.int64)))
+    return pa.Table.from_batches(out, schema=MARKS)
+
+
+def meeting_cuts(run: np.ndarray, size: int = 20_000) -> np.ndarray:
+    """Where to cut sorted runs into parts of about ``size`` without parting equal ones."""
+    starts = np.flatnonzero(~equal_before(run))
+    return starts[np.flatnonzero(np.diff(starts // size)) + 1] if len(starts) else starts
+
+
+def sort_contexts(raw: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Marks of the windows in contexts, each as long as consecutive windows are covered."""
+    n = len(raw)
+    data = np.frombuffer(raw.tobytes(), dtype=np.uint8).reshape(n, CONTEXT_BYTES.itemsize)
+    runs, right = run_hashes(data[:, :-1]), data[:, -1].astype(np.int64)
+    covered = np.zeros((n, BEFORE + 2), dtype=bool)
+    for o in range(BEFORE + 1):
+        inside = np.flatnonzero((pos - BEFORE + o >= 0) & (o + DIGIT <= right))
+        a, b = window_hashes([runs[inside, o + d] for d in RUNS_OF_WINDOW])
+        again = several(a)
+        at = inside[again]
+        order = np.lexsort((pos[at], doc[at], b[again], a[again]))
+        at, again = at[order], again[order]
+        covered[at[later_copies((a[again], b[again], doc[at], pos[at]))], o + 1] = True
+    # runs of covered windows: where a column begins to be covered and where it ends
+    edge = np.diff(covered.astype(np.int8), axis=1, append=0)
+    row, first = np.nonzero(edge == 1)
+    _, last = np.nonzero(edge == -1)
+    lo = pos[row] - BEFORE + first
+    return marks(COVER, doc[row], lo, lo + (last - first - 1) + WINDOW)
+
+
+def repeated_ids(rows: DataFrame) -> DataFrame | None:
+    """(doc, chosen) of ids that several rows have, with the smallest text; None if there are none.
+
+    Only such rows are shuffled with their text.
     """
-    first = stored(sorted_marks(docs, buckets))
-    release(docs.sparkSession)
-    chosen = first.where(F.col("kind") == WINDOWS).groupBy("doc").agg(F.collect_list("pos").alias("chosen"))
-    second = stored(sorted_marks(docs.join(chosen, "doc").select("doc", "text", "chosen"), buckets, "chosen"))
-    release(docs.sparkSession)
-    return first.where(F.col("kind") == COVER).unionByName(second.withColumn("kind", F.lit(WINDOWS)))
+    twice = stored(rows.groupBy("doc").count().where("count > 1").select("doc"))
+    if not twice.take(1):
+        return None
+    return stored(rows.join(twice, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("chosen")))
+
+
+def covered_spans(rows: DataFrame, buckets: int) -> DataFrame:
+    """(doc, lo, hi): covered bytes of the texts of ``rows`` (doc, text, further columns)."""
+    sent = rows.select("doc", "text").mapInArrow(anchor_entries(buckets), PACKED_DDL)
+    first = stored(sent.groupBy("bucket").applyInArrow(sort_anchors, MARKS_DDL))
+    release(rows.sparkSession)
+    chosen = first.where(F.col("kind") != COVER).groupBy("doc").agg(
+        F.collect_list(F.when(F.col("kind") == MEET, F.col("lo"))).alias("meet"),
+        F.collect_list(F.when(F.col("kind") == SINGLE, F.col("lo"))).alias("single"),
+    )
+    # all columns of rows, so that this shuffle of the texts serves the join with the marks too
+    sent = rows.join(chosen, "doc").mapInArrow(window_entries(buckets), PACKED_DDL)
+    second = sent.groupBy("bucket").applyInArrow(sort_windows, MARKS_DDL)
+    return first.where(F.col("kind") == COVER).unionByName(second).drop("kind")
 
 
 KEPT_DDL = "doc long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
 KEPT = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary())])
 
 
-def spans_of(n: int, around: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Maximal covered runs [start, end) of a text of n bytes."""
-    lo = np.concatenate((np.maximum(around.astype(np.int64) - BEFORE, 0), windows.astype(np.int64)))
-    hi = np.concatenate((np.minimum(around.astype(np.int64) + AFTER, n), windows.astype(np.int64) + WINDOW))
-    if not len(lo):
+def spans_of(n: int, marks_of: np.ndarray) -> np.ndarray:
+    """Maximal covered runs [start, end) of a text of n bytes; marks hold lo and hi in one number."""
+    if not len(marks_of):
         return np.empty((0, 2), dtype=np.int64)
-    o = np.argsort(lo, kind="stable")
-    lo, hi = lo[o], np.maximum.accumulate(hi[o])
+    marks_of = np.sort(marks_of.astype(np.int64))
+    lo, hi = marks_of >> 32, np.minimum(np.maximum.accumulate(marks_of & ((1 << 32) - 1)), n)
     new = np.append(True, lo[1:] > hi[:-1])
     last = np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)
     return np.stack([lo[new], hi[last]], axis=1)
@@ -332,26 +453,83 @@ def spans_of(n: int, around: np.ndarray, windows: np.ndarray) -> np.ndarray:
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         out = []
-        cols = [rb.column(c).to_pylist() for c in ("doc", "text", "around", "windows")]
-        for doc, text, around, windows in zip(*cols, strict=True):
+        cols = [rb.column(c).to_pylist() for c in ("doc", "text", "marks")]
+        for doc, text, marks_of in zip(*cols, strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            spans = spans_of(len(data), np.array(around or [], dtype=np.int64), np.array(windows or [], dtype=np.int64))
+            spans = spans_of(len(data), np.array(marks_of or [], dtype=np.int64))
             edges = [0, *spans.ravel().tolist(), len(data)]
             kept = b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
             out.append((doc, len(data), [{"start": s, "end": e} for s, e in spans.tolist()], kept))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), KEPT, strict=True)] if out else [pa.array([], f.type) for f in KEPT], schema=KEPT)
 
 
+def doc_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    return docs.select(key.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def covered_by_doc(rows: DataFrame, per_bucket: int) -> DataFrame:
+    """(doc, marks): the marks of each document that has any; ``rows`` has unique ids."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    spans = covered_spans(rows, max(12, -(-total // per_bucket)))
+    mark = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
+    return spans.groupBy("doc").agg(F.collect_list(mark).alias("marks"))
+
+
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_bucket: int = PER_BUCKET) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): removed runs of bytes and the bytes that stay."""
+    """(doc_id, n_bytes, spans, kept), one row per id: removed runs of bytes and the bytes that stay."""
     small_batches(docs.sparkSession)
-    rows = one_per_id(docs, doc_id, text)
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(12, -(-total // per_bucket))
-    spans = covered_spans(rows, buckets)
-    by_doc = spans.groupBy("doc").agg(
-        F.collect_list(F.when(F.col("kind") == COVER, F.col("pos"))).alias("around"),
-        F.collect_list(F.when(F.col("kind") == WINDOWS, F.col("pos"))).alias("windows"),
-    )
-    cut = rows.join(by_doc, "doc", "left").select("doc", "text", "around", "windows").mapInArrow(cut_texts, KEPT_DDL)
+    rows = doc_rows(docs, doc_id, text)
+    if (chosen := repeated_ids(rows)) is not None:
+        single = rows.join(chosen, "doc", "left_anti")
+        rows = single.unionByName(chosen.withColumnRenamed("chosen", "text"))
+    marked = rows.join(covered_by_doc(rows, per_bucket), "doc", "left")
+    cut = marked.select("doc", "text", "marks").mapInArrow(cut_texts, KEPT_DDL)
     return cut.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "spans", "kept")
+
+
+def cut_text(text: Column, marks_of: Column) -> Column:
+    """What stays of a text, less characters of which a part is removed."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for t, m in zip(texts, lists, strict=True):
+            if t is None or m is None:
+                out.append(t)
+                continue
+            data = t.encode("utf-8", "surrogatepass")
+            edges = [0, *spans_of(len(data), np.asarray(m)).ravel().tolist(), len(data)]
+            out.append("".join(data[i:j].decode("utf-8", "ignore") for i, j in zip(edges[::2], edges[1::2], strict=True)))
+        return pd.Series(out, dtype=object)
+
+    return of(text, marks_of)
+
+
+def cut_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_bucket: int = PER_BUCKET) -> DataFrame:
+    """``docs`` with repeated windows cut out of their texts; rows and other columns stay.
+
+    Of rows that repeat an id with different texts, only those with the smallest text are cut.
+    """
+    small_batches(docs.sparkSession)
+    all_columns = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(all_columns).select(
+        F.coalesce(F.col("row")[doc_id].cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.coalesce(F.col("row")[text], F.lit("")).alias("text"),
+        F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c != text]).alias("rest"),
+        F.col("row")[text].isNull().alias("no_text"),
+    )
+    chosen = repeated_ids(rows)
+    searched = rows
+    if chosen is not None:
+        once = chosen.select("doc", F.col("chosen").alias("text"))
+        searched = rows.join(chosen, "doc", "left_anti").select("doc", "text").unionByName(once)
+    out = rows.join(covered_by_doc(searched, per_bucket), "doc", "left")
+    if chosen is not None:
+        out = out.join(chosen, "doc", "left")
+        same = F.col("chosen").isNull() | (F.col("chosen") == F.col("text"))
+        out = out.withColumn("marks", F.when(same, F.col("marks")))
+    left = F.when(~F.col("no_text"), cut_text(F.col("text"), F.col("marks")))
+    return out.select("rest", left.alias("left")).select(
+        *[F.col("left" if c == text else f"rest.`{c}`").alias(c) for c in docs.columns]
+    )
