@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import langid, mixing, packing, quality, simhash, sqltext, suffix, urls
+from gleaner.llm import chat, langid, mixing, packing, quality, simhash, sqltext, suffix, urls
 from gleaner.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.clean(table(spark, folder, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_chat_format")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    turns = chat.with_marked_conversation(spark, table(spark, folder, "conversations"))
+    return chat.read_back(chat.segments(turns))
