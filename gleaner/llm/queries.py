@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import chat, langid, mixing, packing, quality, simhash, sqltext, suffix, urls
+from gleaner.llm import chat, langid, mixing, packing, quality, simhash, sqltext, suffix, topk, urls
 from gleaner.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     turns = chat.with_marked_conversation(spark, table(spark, folder, "conversations"))
     return chat.read_back(chat.segments(turns))
+
+
+@query("op5_exact_top_k", sqltext.OP5)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -89,3 +89,16 @@ def op7(sentence: int, ends: str, navigation: str, boilerplate: str, max_lost: i
         return "'" + pattern.replace("'", "''") + "'"
 
     return OP7.replace("{sentence}", str(sentence)).replace("{ends}", quoted(ends)).replace("{navigation}", quoted(navigation)).replace("{boilerplate}", quoted(boilerplate)).replace("{max_lost}", str(max_lost))
+
+# Brute force: every query with every other row.
+OP5 = """
+WITH v AS (
+ SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+ SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+ FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
