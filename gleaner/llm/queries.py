@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import chat, langid, mixing, packing, quality, simhash, sqltext, suffix, topk, urls
+from gleaner.llm import chat, langid, mixing, packing, quality, simhash, sqltext, suffix, topk, urls, wrapper
 from gleaner.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_exact_top_k", sqltext.OP5)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    rows = wrapper.main_text(table(spark, folder, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
