@@ -41,9 +41,19 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
-    """Words of a text as the word rule counts them; null: 0. Runs of white space are squeezed to
-    one blank by ``translate`` and ``replace``-free counting of word starts."""
+    """Words of a text as the word rule counts them; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.base import small_batches, stored
+from gleaner.llm.base import free_names, small_batches, stored
 from gleaner.operators.keyed import top_per_group
 
 SAMPLE = 400
@@ -174,8 +174,9 @@ def judged(model: Model, text: Column) -> Column:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected."""
     small_batches(docs.sparkSession)
-    got = docs.withColumn("_judged", judged(model, F.col(text)))
-    return got.withColumns({c: F.col("_judged")[c] for c in ("lang_pred", "score", "rejected")}).drop("_judged")
+    (verdict,) = free_names(docs, "verdict")
+    got = docs.withColumn(verdict, judged(model, F.col(text)))
+    return got.withColumns({c: F.col(verdict)[c] for c in ("lang_pred", "score", "rejected")}).drop(verdict)
 
 
 def fold(doc_id: Column) -> Column:

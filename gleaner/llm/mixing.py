@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.base import n_words, stored
+from gleaner.llm.base import free_names, n_words, stored
 from gleaner.operators.keyed import global_rank
 
 WEIGHTS = (3, 1, 2)
@@ -159,6 +159,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def take(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them; a repeated doc_id as its largest number."""
-    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    found = docs.join(times, F.col(doc_id).eqNullSafe(F.col("_id")))
-    return found.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    key, times, nth = free_names(docs, "key", "times", "nth")
+    wanted = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    found = docs.join(wanted, F.col(doc_id).eqNullSafe(F.col(key)))
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))
+    return found.withColumn(nth, each).select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.base import small_batches, stored
+from gleaner.llm.base import free_names, small_batches, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -207,26 +207,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("d
     # at most one row per length
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     listed = places(pack_plan(counts, capacity))
-    plan = spark.createDataFrame(listed, "_length long, _lo long, _hi long, _sequence long, _offset long, _each long")
+    names = free_names(pieces, "for_length", "lo", "hi", "first", "at", "each", "part", "rank", "before")
+    for_length, lo, hi, first, at, each, part, rank, before = names
+    plan = spark.createDataFrame(listed, ", ".join(f"{c} long" for c in names[:6]))
     spread = -(-max(counts.values(), default=1) // RANK_GROUP)
-    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(spread)))
-    parts = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_part").orderBy(*key)
-    ranked = dealt.withColumn("_rank", F.row_number().over(inside)).join(parts, ["length", "_part"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
+    dealt = pieces.withColumn(part, F.pmod(F.xxhash64(*key), F.lit(spread)))
+    parts = dealt.groupBy("length", part).agg(F.count("*").alias(rank))
+    earlier = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("length", part, F.coalesce(F.sum(rank).over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy("length", part).orderBy(*key)
+    ranked = dealt.withColumn(rank, F.row_number().over(inside)).join(parts, ["length", part])
+    ranked = ranked.withColumn(rank, F.col(rank) - 1 + F.col(before))
     # the plan has a few rows per length, whatever the number of pieces
-    at = F.col("_rank") - F.col("_lo")
     found = ranked.join(
         F.broadcast(plan),
-        (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")),
+        (F.col("length") == F.col(for_length)) & (F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)),
     )
-    nth = F.pmod(at, F.col("_each"))
+    place = F.col(rank) - F.col(lo)
+    nth = F.pmod(place, F.col(each))
     return found.select(
         *pieces.columns,
-        (F.col("_sequence") + (at - nth) / F.col("_each")).cast("long").alias("sequence_id"),
-        (F.col("_offset") + nth * F.col("length")).alias("offset"),
+        (F.col(first) + (place - nth) / F.col(each)).cast("long").alias("sequence_id"),
+        (F.col(at) + nth * F.col("length")).alias("offset"),
     )
 
 

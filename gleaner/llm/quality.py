@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import let
-from gleaner.llm.base import SPACES, WORD
+from gleaner.llm.base import SPACES, WORD, free_names
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -119,19 +119,20 @@ def clean(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST_PERCENT)
     """``docs`` with cleaned_text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, lost_words and kept."""
     t = F.col(text)
-    words = docs.withColumn("_words", words_of(t))
+    (held,) = free_names(docs, "words")
+    words = docs.withColumn(held, words_of(t))
     figures = words.withColumns(
         {
             "cleaned_text": cleaned(t),
-            "n_words": F.size("_words").cast("bigint"),
+            "n_words": F.size(held).cast("bigint"),
             "word_chars": F.length(without(t, SPACES)).cast("bigint"),
             "n_symbols": (F.length(F.coalesce(t, F.lit(""))) - F.length(without(t, SYMBOLS))).cast("bigint"),
             "n_dup_lines": n_duplicate_lines(t),
-            "n_repeat_words": let(F.col("_words"), n_repeat_words),
+            "n_repeat_words": let(F.col(held), n_repeat_words),
         }
     )
     left = F.coalesce(F.regexp_count("cleaned_text", F.lit(WORD)), F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = figures.withColumn("lost_words", F.col("n_words") - left).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (100 * F.col("lost_words") <= max_lost * F.col("n_words"))
-    return out.withColumn("kept", kept).drop("_words")
+    return out.withColumn("kept", kept).drop(held)

@@ -21,10 +21,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.base import small_batches, stored
+from gleaner.llm.base import free_names, small_batches, stored
 from gleaner.llm.graph import components
 from gleaner.operators.keyed import spread_join
 
@@ -239,11 +239,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
 
     Of rows that repeat this doc_id the one with the smallest text stays; rows without doc_id stay.
     """
-    from pyspark.sql import Window
-
+    kept_id, nth = free_names(docs, "kept_id", "nth")
     groups = near_groups(docs, doc_id, text, radius)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs[doc_id] == F.col("_kept"), "left_semi")
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.join(first, docs[doc_id] == F.col(kept_id), "left_semi")
     order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first())
-    kept = kept.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    kept = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
