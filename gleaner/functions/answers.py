@@ -38,11 +38,9 @@ def parse_verdict(raw: Column) -> Column:
         F.try_parse_json(block).isNotNull() & (block != ""),
         F.struct(
             F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"),
-            F.substring(F.coalesce(_variant_text(j["reason"]), F.lit("")), 1, 200).alias("reason"),
+            F.coalesce(_variant_text(j["reason"]), F.lit("")).alias("reason"),
             F.when(verdict.isin(P.VERDICTS), verdict).alias("verdict"),
-            F.transform(
-                F.filter(items, lambda u: strip(u) != ""), lambda u: F.substring(u, 1, 80)
-            ).alias("unmet"),
+            F.filter(items, lambda u: strip(u) != "").alias("unmet"),
         ),
     )
 

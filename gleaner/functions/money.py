@@ -59,7 +59,9 @@ def salary_from_text(text: Column) -> Column:
         factor = F.when(hourly, F.lit(P.HOURS_PER_YEAR)).otherwise(F.lit(1))
         return let(
             factor,
-            lambda f: F.struct((info["min"] * f).alias("min"), (info["max"] * f).alias("max")),
+            lambda f: F.struct(
+                F.try_multiply(info["min"], f).alias("min"), F.try_multiply(info["max"], f).alias("max")
+            ),
         )
 
     none = F.struct(F.lit(None).cast("bigint").alias("min"), F.lit(None).cast("bigint").alias("max"))

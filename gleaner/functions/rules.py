@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -94,13 +93,21 @@ def company_blocked(company: Column, blocked: Iterable[str]) -> Column:
     return contains_any(F.lower(text_of(company)), [b.lower() for b in blocked])
 
 
+def compiles(pattern: str) -> bool:
+    """Does the engine that runs the pattern accept it? Asked of Java, whose rules differ from re."""
+    from pyspark.errors import IllegalArgumentException
+    from pyspark import SparkContext
+
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile("(?i)" + pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def title_matches(title: Column, pattern: str) -> Column:
     """Case-insensitive search; a pattern that does not compile matches nothing."""
-    try:
-        re.compile(pattern)
-    except re.error:
-        return F.lit(False)
-    if not pattern:
+    if not pattern or not compiles(pattern):
         return F.lit(False)
     return text_of(title).rlike("(?i)" + pattern)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable, Iterable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,7 +178,7 @@ def skills(
     company: Column,
     names: Iterable[str] = P.SKILLS,
     aliases: Mapping[str, str] = P.SKILL_ALIASES,
-    limit: int = P.MAX_SKILLS,
+    limit: int | None = None,
 ) -> Column:
     hay = F.lower(F.concat(title_and_text(title, description), F.lit(" "), text_of(company)))
     pairs = [*aliases.items(), *((s, s) for s in names)]
@@ -184,7 +186,8 @@ def skills(
     def hits(h: Column) -> Column:
         return F.array_compact(F.array(*[F.when(whole_word(h, k), F.lit(s)) for k, s in pairs]))
 
-    return F.slice(F.array_distinct(let(hay, hits)), 1, limit)
+    found = F.array_distinct(let(hay, hits))
+    return F.slice(found, 1, limit) if limit else found
 
 
 def first_email(text: Column, blocked: Iterable[str] = P.BLOCKED_ADDRESS_PARTS) -> Column:
@@ -212,14 +215,15 @@ def keyword_phrases(
     keywords: Iterable[str] = P.FOCUS_KEYWORDS,
     phrases: Mapping[str, str] = P.KEYWORD_PHRASES,
     default: Iterable[str] = P.DEFAULT_PHRASES,
-    limit: int = 4,
+    limit: int | None = None,
 ) -> Column:
     hay = F.lower(title_and_text(title, description))
     usable = [(k, phrases.get(k, k)) for k in keywords if phrases.get(k, k)]
 
     def hits(h: Column) -> Column:
         found = F.array(*[F.when(F.contains(h, F.lit(k)), F.lit(v)) for k, v in usable])
-        return F.slice(F.array_distinct(F.array_compact(found)), 1, limit)
+        known = F.array_distinct(F.array_compact(found))
+        return F.slice(known, 1, limit) if limit else known
 
     chosen = let(let(hay, hits), lambda f: F.when(F.size(f) > 0, f).otherwise(string_array(default)))
     return F.array_join(chosen, ", ")
@@ -245,32 +249,31 @@ def fold_space(c: Column) -> Column:
 
 # -- plain text of a page -------------------------------------------------------------
 
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&amp;", "&"),
-]
 
+def _unescaped(page: Column) -> Column:
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
 
-def main_text(
-    html: Column,
-    drop: Iterable[str] = P.DROPPED_TAGS,
-    max_chars: int | None = P.MAX_PAGE_TEXT,
-) -> Column:
-    out = text_of(html)
+    return of(page)
+
+
+def main_text(page: Column, drop: Iterable[str] = P.DROPPED_TAGS, max_chars: int | None = None) -> Column:
+    """Text of a page; a dropped tag that never ends drops the rest of the page."""
+    out = text_of(page)
     for tag in drop:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}>", " ")
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)", " ")
     return _strip_markup(out, max_chars)
 
 
-def snippet_text(html: Column) -> Column:
-    return _strip_markup(text_of(html), None)
+def snippet_text(page: Column) -> Column:
+    return _strip_markup(text_of(page), None)
 
 
-def _strip_markup(html: Column, max_chars: int | None) -> Column:
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+def _strip_markup(page: Column, max_chars: int | None) -> Column:
+    out = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for entity, sign in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(sign))
+    # all named and numeric references, for which Spark has no function
+    out = F.translate(_unescaped(out), "\u00a0", " ")
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     return F.substring(out, 1, max_chars) if max_chars else out

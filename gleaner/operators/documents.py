@@ -153,11 +153,11 @@ def weigh_items(
     return df.withColumn("weighed", F.zip_with(items_literal(items), entries, weigh))
 
 
-def select_items(df: DataFrame, max_bullets: int = 3, max_other: int = P.MAX_OTHER_ITEMS) -> DataFrame:
+def select_items(df: DataFrame, max_bullets: int | None = None, max_other: int | None = None) -> DataFrame:
     """Adds ``chosen``: the items to print, in print order, from ``weighed``.
 
     Core items always stay; others need a positive weight and no dropped tag, and the best
-    ``max_other`` stay. Order: section order of the profile, weight, position.
+    ``max_other`` stay, or all. Order: section order of the profile, weight, position.
     """
     def ordered(c: Column, by_place: bool) -> Column:
         place = (lambda e: e["place"]) if by_place else (lambda e: F.lit(0))
@@ -172,15 +172,19 @@ def select_items(df: DataFrame, max_bullets: int = 3, max_other: int = P.MAX_OTH
     eligible = F.filter(
         "weighed", lambda e: ~e["item"]["core"] & (e["weight"] > 0) & ~e["dropped"]
     )
-    others = F.slice(ordered(eligible, False), 1, max_other)
+    others = ordered(eligible, False)
+    others = F.slice(others, 1, max_other) if max_other else others
     core = F.filter("weighed", lambda e: e["item"]["core"])
     printed = F.filter(F.concat(core, others), lambda e: e["place"].isNotNull())
-    cap = max(1, max_bullets)
     chosen = F.transform(
         ordered(printed, True),
         lambda e: F.struct(
             e["weight"].alias("weight"),
-            e["item"].withField("bullets", F.slice(e["item"]["bullets"], 1, cap)).alias("item"),
+            (
+                e["item"].withField("bullets", F.slice(e["item"]["bullets"], 1, max_bullets))
+                if max_bullets
+                else e["item"]
+            ).alias("item"),
         ),
     )
     return df.withColumn("chosen", chosen)
@@ -337,11 +341,11 @@ def verdict_prompt(resume: Column, title: Column, company: Column, location: Col
     return X.fill(
         F.lit(P.VERDICT_PROMPT),
         {
-            "resume": F.substring(resume, 1, 3000),
+            "resume": resume,
             "title": X.text_of(title),
             "company": X.text_of(company),
             "location": X.text_of(location),
-            "description": F.substring(X.text_of(description), 1, 2000),
+            "description": X.text_of(description),
         },
     )
 
@@ -354,6 +358,6 @@ def gap_prompt(items: Column, title: Column, company: Column, location: Column,
             "title": X.text_of(title),
             "company": X.text_of(company),
             "location": X.text_of(location),
-            "description": F.substring(X.text_of(description), 1, 3000),
+            "description": X.text_of(description),
         },
     )

@@ -67,7 +67,7 @@ def distinct_hashes(df: DataFrame, key: str = "job_hash") -> DataFrame:
 
 
 def cap_per_source(
-    df: DataFrame, listings: int = 100, enriched: int = 40, order: Sequence[str] = ("page", "pos")
+    df: DataFrame, listings: int, enriched: int, order: Sequence[str] = ("page", "pos")
 ) -> DataFrame:
     """First sighting of a URL inside its source, then the first ``listings`` of every source."""
     order_by = [F.col(c).asc() for c in order]

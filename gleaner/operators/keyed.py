@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.session import SMALL_SIDE_ROWS, ensure_checkpoint_dir, is_small
+from gleaner.session import ensure_checkpoint_dir
 
 
 def top_per_group(
@@ -51,10 +51,13 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> D
 
 
 def anti_join(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
-    """left_anti; the right side is broadcast only after its row count was checked."""
+    """left_anti against the distinct keys of the right side.
+
+    Nothing is counted beforehand and no side is broadcast by hand: the adaptive planner sees the
+    bytes of both shuffled sides, broadcasts below its threshold and splits skewed partitions.
+    """
     keys = [on] if isinstance(on, str) else on
-    known = right.select(*keys).distinct()
-    return left.join(F.broadcast(known) if is_small(known) else known, keys, "left_anti")
+    return left.join(right.select(*keys).distinct(), keys, "left_anti")
 
 
 def flag_match(left: DataFrame, right: DataFrame, key: str, flag: str) -> DataFrame:
@@ -73,20 +76,16 @@ def spread_join(
     key: str,
     weight: str,
     row_id: str,
-    rows: int,
     total: int,
     slices: int = 2000,
-    small: int = SMALL_SIDE_ROWS,
 ) -> DataFrame:
     """Equi-join of a large table with one row per key whose fact count (``weight``) is known.
 
-    ``rows`` and ``total`` are the counted keys and facts. A small table is broadcast. Otherwise
-    keys with more than 1/``slices`` of all facts are split into as many parts as they need; there
-    are fewer than ``slices`` of them by construction, so the list that tags the facts can be
-    broadcast.
+    ``total`` is the counted number of facts. Keys with more than 1/``slices`` of them are split
+    into as many parts as they need; there are fewer than ``slices`` of them by construction, and
+    the list that tags the facts holds the key and one number each, so it can be broadcast. The
+    table itself is left to the adaptive planner.
     """
-    if rows <= small:
-        return facts.join(F.broadcast(table), key)
     limit = max(total // slices, 1)
     parts = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
     hot = table.where(F.col(weight) > limit).select(key, parts.alias("_parts"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleaner import params as P
 from gleaner.functions import text as X
 from gleaner.operators.keyed import spread_join
-from gleaner.session import ensure_checkpoint_dir, is_small
+from gleaner.session import ensure_checkpoint_dir
 
 # Stands for "this record has terms"; no real term is empty.
 ANY_TERM = ""
@@ -134,7 +134,7 @@ def _cosines(
         "term", "df", idf(F.col("df")).alias("_idf"), "_queries"
     )
     facts = term_counts(docs, key, text, stop)
-    joined = spread_join(facts, table, "term", "df", key, sizes["terms"], sizes["facts"])
+    joined = spread_join(facts, table, "term", "df", key, sizes["facts"])
     weighted = joined.select(key, (F.lit(1.0) + F.log("tf")).alias("_w"), "_idf", "_queries")
     w2 = F.col("_w") * F.col("_w")
     idf2 = F.col("_idf") * F.col("_idf")

@@ -101,7 +101,7 @@ chosen AS (SELECT *, list_position({_ORDERS}, section) AS so, row_number() OVER
     _SELECTED + "SELECT arrival, at_pos AS position, id AS item_id, section, array_to_string(bullets[1:3], '|') AS bullets FROM chosen",
 )
 def _(t: Tables) -> DataFrame:
-    s = DOC.select_items(profiled(t), 3).select("arrival", F.posexplode_outer("chosen").alias("p", "e")).where(c("p").isNotNull())
+    s = DOC.select_items(profiled(t), 3, P.MAX_OTHER_ITEMS).select("arrival", F.posexplode_outer("chosen").alias("p", "e")).where(c("p").isNotNull())
     return s.select(
         "arrival",
         (c("p") + 1).cast("bigint").alias("position"),
@@ -126,7 +126,7 @@ SELECT arrival, '# {NAME}' || chr(10) || '{CONTACT}' || chr(10) || chr(10) || '_
 """,
 )
 def _(t: Tables) -> DataFrame:
-    top = DOC.select_items(profiled(t).where(c("score") >= 0.5), 3)
+    top = DOC.select_items(profiled(t).where(c("score") >= 0.5), 3, P.MAX_OTHER_ITEMS)
     summaries = F.create_map(*[F.lit(x) for kv in SUMMARIES.items() for x in kv])
     summary = F.coalesce(F.try_element_at(summaries, c("profile")), DOC.summary_for(summaries, "general"))
     master = [x for i in ITEMS for x in (i.title, i.sub, *i.bullets) if x]
@@ -211,8 +211,8 @@ _FIELDS = {"title": "title", "company": "company", "location": "location"}
 @case(
     "build_prompt_rows",
     f"""
-SELECT arrival, {_prompt_sql(P.VERDICT_PROMPT, {'resume': sql_text(RESUME_TEXT[:3000]), **_FIELDS, 'description': 'substring(description, 1, 2000)'})} AS verdict_prompt,
- {_prompt_sql(P.GAP_PROMPT, {'items': sql_text(_LINES), **_FIELDS, 'description': 'substring(description, 1, 3000)'})} AS gap_prompt FROM postings
+SELECT arrival, {_prompt_sql(P.VERDICT_PROMPT, {'resume': sql_text(RESUME_TEXT), **_FIELDS, 'description': 'description'})} AS verdict_prompt,
+ {_prompt_sql(P.GAP_PROMPT, {'items': sql_text(_LINES), **_FIELDS, 'description': 'description'})} AS gap_prompt FROM postings
 """,
 )
 def _(t: Tables) -> DataFrame:
@@ -258,6 +258,3 @@ def alert(matched: DataFrame, send) -> DataFrame:
     return log.select("matched_count", "jobs_alerted", "filter_used") if send(matched) else log.limit(0).select(
         "matched_count", "jobs_alerted", "filter_used"
     )
-
-
-__all__ = ["A", "alert"]

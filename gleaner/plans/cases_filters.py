@@ -444,7 +444,7 @@ def phrases_sql() -> str:
     kept = [(k, P.KEYWORD_PHRASES.get(k, k)) for k in P.FOCUS_KEYWORDS if P.KEYWORD_PHRASES.get(k, k)]
     hits = ", ".join(f"CASE WHEN contains(lower{S.FULL}, {sql_text(k)}) THEN {sql_text(v)} END" for k, v in kept)
     found = f"list_filter([{hits}], lambda x: x IS NOT NULL)"
-    distinct = f"list_filter({found}, lambda x, i: list_position({found}, x) = i)[1:4]"
+    distinct = f"list_filter({found}, lambda x, i: list_position({found}, x) = i)"
     return f"CASE WHEN len({distinct}) > 0 THEN array_to_string({distinct}, ', ') ELSE {sql_text(', '.join(P.DEFAULT_PHRASES))} END"
 
 
@@ -522,9 +522,9 @@ def _(t: Tables) -> DataFrame:
     r"""
 WITH b AS (SELECT arrival, regexp_extract(verdict_raw, '(?s)\{[^}]+\}') AS b FROM answers),
 j AS (SELECT arrival, TRY_CAST(nullif(b, '') AS JSON) AS j FROM b)
-SELECT arrival, CASE WHEN j IS NOT NULL THEN round(least(greatest(CAST(j->>'suitability' AS DOUBLE), 0), 1), 6) END AS score, substring(j->>'reason', 1, 200) AS reason,
+SELECT arrival, CASE WHEN j IS NOT NULL THEN round(least(greatest(CAST(j->>'suitability' AS DOUBLE), 0), 1), 6) END AS score, j->>'reason' AS reason,
  CASE WHEN lower(trim(j->>'qualified')) IN ('yes', 'borderline', 'no') THEN lower(trim(j->>'qualified')) END AS verdict,
- array_to_string(list_transform(list_filter(CAST(j->'unmet' AS VARCHAR[]), lambda u: trim(u) <> ''), lambda u: substring(u, 1, 80)), '|') AS unmet FROM j
+ array_to_string(list_filter(CAST(j->'unmet' AS VARCHAR[]), lambda u: trim(u) <> ''), '|') AS unmet FROM j
 """,
 )
 def _(t: Tables) -> DataFrame:

@@ -237,7 +237,7 @@ def _(t: Tables) -> DataFrame:
         words = queries.select(F.array_distinct(X.tokens(c(text))).alias("w"), query_key)
         terms = words.select(query_key, F.explode("w").alias("term"), F.size("w").alias("n"))
         mine = docs.select(key, F.explode(F.array_distinct(X.tokens(c(text)))).alias("term"))
-        shared = mine.join(F.broadcast(terms) if scoring.is_small(terms) else terms, "term")
+        shared = mine.join(terms, "term")
         return shared.groupBy(key, query_key).agg((F.count("*") / F.first("n")).alias("score"))
 
     s = scoring.variant_scores(t.documents, variants(t), score=overlap)

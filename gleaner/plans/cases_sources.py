@@ -60,7 +60,7 @@ def _(t: Tables) -> DataFrame:
 @case(
     "extract_detail_text",
     f"""
-SELECT page_id, {S.main_text("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)", (), None)} AS detail_text FROM pages
+SELECT page_id, {S.main_text("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)", ())} AS detail_text FROM pages
 """,
 )
 def _(t: Tables) -> DataFrame:
@@ -81,7 +81,7 @@ BOARD_POLICIES = {"board0": "longer", "board1": "replace", "board2": "append", "
     "merge_detail_text",
     """
 SELECT arrival, CASE
- WHEN source IN ('board0', 'board3') AND length(coalesce(detail_text, '')) > length(description) THEN substring(detail_text, 1, 8000)
+ WHEN source IN ('board0', 'board3') AND length(coalesce(detail_text, '')) > length(description) THEN detail_text
  WHEN source IN ('board1', 'board4') AND coalesce(detail_text, '') <> '' THEN detail_text
  WHEN source = 'board2' AND coalesce(detail_text, '') <> '' THEN description || chr(10) || chr(10) || detail_text
  ELSE description END AS description
@@ -125,9 +125,8 @@ def _(t: Tables) -> DataFrame:
     + f"""
 , r AS (SELECT arrival, idx, json_extract_string(e, '$.id') AS id, {_str('$.position')} AS title, {_str('$.url')} AS url, coalesce({_str('$.description')}, '') AS d,
  coalesce({_str('$.company')}, '') AS company, coalesce({_str('$.location')}, '') AS location, {_str('$.date')} AS posted_at FROM e WHERE idx > 1)
-SELECT arrival, title, url, {S.main_text('d', (), None)} AS description, company, location, posted_at FROM r
+SELECT arrival, title, url, {S.main_text('d', ())} AS description, company, location, posted_at FROM r
 WHERE coalesce(id, '') <> '' AND title <> '' AND url <> '' AND (location = '' OR len(list_filter({sql_list(P.REMOTE_LOCATION_WORDS)}, lambda w: contains(lower(location), w))) > 0)
-QUALIFY row_number() OVER (PARTITION BY arrival ORDER BY idx) <= 100
 """,
 )
 def _(t: Tables) -> DataFrame:
@@ -211,7 +210,7 @@ def _(t: Tables) -> DataFrame:
         F.floor(F.col("arrival") / 20).alias("page"),
         (F.col("arrival") % 20).alias("pos"),
     )
-    return identity.cap_per_source(rows).select("source", "arrival", "url", "listing", "enrich")
+    return identity.cap_per_source(rows, 100, 40).select("source", "arrival", "url", "listing", "enrich")
 
 
 @case(
@@ -463,6 +462,3 @@ def _(t: Tables) -> DataFrame:
     exported = t.stored.where("notified").select("arrival")
     out = filters.export_candidates(t.postings, 0.17, True, exported)
     return out.select("arrival", "score", "qualification_verdict", text("first_seen").alias("first_seen"))
-
-
-__all__ = ["anti_join", "flat_items", "nested_master", "r6"]

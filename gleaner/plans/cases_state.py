@@ -585,6 +585,3 @@ def _(t: Tables) -> DataFrame:
     scan.run_stream(events, on_batch, f"{folder}/checkpoint").awaitTermination()
     log = t.spark.read.parquet(f"{folder}/log").drop("batch")
     return state.status_updates(log)
-
-
-__all__ = ["A", "X", "boosts_sql", "candidates", "claims_sql", "fresh_folder", "query_row"]

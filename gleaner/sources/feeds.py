@@ -11,8 +11,6 @@ from gleaner import params as P
 from gleaner.functions import rules as R
 from gleaner.functions import text as X
 
-MAX_FEED_ROWS = 100
-
 
 def _string(v: Column, path: str) -> Column:
     """The value at the path if it is a JSON string, else null."""
@@ -48,8 +46,9 @@ def ingest_results(responses: DataFrame, body: str = "body") -> DataFrame:
     return rows.withColumn("url", X.canonical_search_url(F.col("_url"))).drop("_url")
 
 
-def ingest_feed(responses: DataFrame, body: str = "body", limit: int = MAX_FEED_ROWS) -> DataFrame:
-    """Flat feed: element 0 is metadata; the first ``limit`` acceptable entries of each body."""
+def ingest_feed(responses: DataFrame, body: str = "body", limit: int | None = None) -> DataFrame:
+    """Flat feed: element 0 is metadata; all acceptable entries of each body, or the first ``limit``."""
+
     def wanted(e: Column) -> Column:
         value = F.coalesce(F.try_variant_get(e, "$.id", "string"), F.lit(""))
         has_id = _filled(e, "$.id").isNotNull() | (
@@ -63,7 +62,8 @@ def ingest_feed(responses: DataFrame, body: str = "body", limit: int = MAX_FEED_
         )
 
     entries = F.slice(_array(F.col(body), "$"), 2, 2_000_000_000)
-    kept = F.slice(F.filter(entries, wanted), 1, limit)
+    kept = F.filter(entries, wanted)
+    kept = F.slice(kept, 1, limit) if limit else kept
     e = F.col("_e")
     return responses.select(
         *[c for c in responses.columns if c != body], F.posexplode(kept).alias("pos", "_e")
@@ -108,6 +108,13 @@ def ingest_postings(responses: DataFrame, base_url: str, company: str, body: str
     ).where(path.startswith("/") & (title != ""))
 
 
+def unreadable_bodies(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Responses whose body is no JSON, with an ``error``; they yield no entries elsewhere."""
+    bad = F.col(body).isNotNull() & F.try_parse_json(F.col(body)).isNull()
+    others = [c for c in responses.columns if c != body]
+    return responses.where(bad).select(*others, F.lit("body is not JSON").alias("error"))
+
+
 def union_sources(parsed: Sequence[DataFrame]) -> DataFrame:
     """All sources in one frame; columns a source lacks become null."""
     out = parsed[0]

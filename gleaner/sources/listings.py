@@ -199,9 +199,9 @@ DETAILS: dict[str, DetailSpec] = {
 LISTING_SCHEMA = (
     "page_id bigint, source string, pos int, url string, title string, company string,"
     "location string, snippet string, posted_at string, listing_key string,"
-    "extra map<string,string>"
+    "extra map<string,string>, error string"
 )
-DETAIL_SCHEMA = "page_id bigint, source string, url string, detail_text string, posted_at string"
+DETAIL_SCHEMA = "page_id bigint, source string, url string, detail_text string, posted_at string, error string"
 _PLAIN = ("company", "location", "snippet", "posted_at")
 
 
@@ -298,36 +298,65 @@ def read_detail(html: str, spec: DetailSpec) -> tuple[str, str | None]:
     return text, (stamp.attrs["datetime"] or None) if stamp is not None else None
 
 
-def extract_listings(responses: DataFrame, specs: Mapping[str, ListingSpec] = LISTINGS) -> DataFrame:
-    """Every card of every listing page. One parser pass per page, pages stay where they are."""
+NO_SPEC = "no spec for this source"
+
+
+def parse_listings(responses: DataFrame, specs: Mapping[str, ListingSpec] = LISTINGS) -> DataFrame:
+    """Every card of every listing page, and a row with an ``error`` for a page that has no spec or
+    cannot be read. One parser pass per page, pages stay where they are."""
     specs = dict(specs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in LISTING_SCHEMA.replace("map<string,string>", "map").split(",")]
         for pages in batches:
             rows = []
             for page_id, source, url, body in pages.itertuples(index=False):
-                for pos, card in enumerate(read_cards(body or "", url or "", specs[source]), 1):
+                try:
+                    if source not in specs:
+                        raise LookupError(NO_SPEC)
+                    cards = [dict(c) for c in read_cards(body or "", url or "", specs[source])]
+                except (LookupError, ValueError) as e:
+                    rows.append({"page_id": page_id, "source": source, "url": url, "error": str(e)})
+                    continue
+                for pos, card in enumerate(cards, 1):
                     rows.append({"page_id": page_id, "source": source, "pos": pos, **card})
-            names = [c.split()[0] for c in LISTING_SCHEMA.replace("map<string,string>", "map").split(",")]
-            yield pd.DataFrame(rows, columns=names)
+            rows = [tuple(r.get(n) for n in names) for r in rows]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    known = responses.where(F.col("source").isin(list(specs)))
-    return known.select("page_id", "source", "url", "body").mapInPandas(run, LISTING_SCHEMA)
+    return responses.select("page_id", "source", "url", "body").mapInPandas(run, LISTING_SCHEMA)
 
 
-def extract_detail_text(responses: DataFrame, specs: Mapping[str, DetailSpec] = DETAILS) -> DataFrame:
+def extract_listings(responses: DataFrame, specs: Mapping[str, ListingSpec] = LISTINGS) -> DataFrame:
+    """The cards alone; ``page_errors(parse_listings(...))`` tells what is missing."""
+    return parse_listings(responses, specs).where("error IS NULL").drop("error")
+
+
+def parse_details(responses: DataFrame, specs: Mapping[str, DetailSpec] = DETAILS) -> DataFrame:
+    """One row per detail page; those without a spec, or not readable, have an ``error``."""
     specs = dict(specs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pages in batches:
             rows = []
             for page_id, source, url, body in pages.itertuples(index=False):
-                text, posted = read_detail(body or "", specs[source])
-                rows.append((page_id, source, url, text, posted))
-            yield pd.DataFrame(rows, columns=["page_id", "source", "url", "detail_text", "posted_at"])
+                try:
+                    if source not in specs:
+                        raise LookupError(NO_SPEC)
+                    rows.append((page_id, source, url, *read_detail(body or "", specs[source]), None))
+                except (LookupError, ValueError) as e:
+                    rows.append((page_id, source, url, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["page_id", "source", "url", "detail_text", "posted_at", "error"])
 
-    known = responses.where(F.col("source").isin(list(specs)))
-    return known.select("page_id", "source", "url", "body").mapInPandas(run, DETAIL_SCHEMA)
+    return responses.select("page_id", "source", "url", "body").mapInPandas(run, DETAIL_SCHEMA)
+
+
+def extract_detail_text(responses: DataFrame, specs: Mapping[str, DetailSpec] = DETAILS) -> DataFrame:
+    return parse_details(responses, specs).where("error IS NULL").drop("error")
+
+
+def page_errors(parsed: DataFrame) -> DataFrame:
+    """(page_id, source, url, error) of the pages that a parser could not use."""
+    return parsed.where("error IS NOT NULL").select("page_id", "source", "url", "error")
 
 
 # -- joining details back ---------------------------------------------------------------
@@ -338,8 +367,6 @@ MERGE_POLICY = {
     "hamiltonhealth": "replace", "cambridge": "replace", "grandriver": "replace",
     "stmarys": "replace", "conestoga": "append",
 }
-MAX_DETAIL = 8000
-
 
 def fallback_description(snippet: Column, title: Column, company: Column, location: Column) -> Column:
     made = F.concat(title, F.lit(" at "), X.text_of(company), F.lit(". "), X.text_of(location))
@@ -349,13 +376,13 @@ def fallback_description(snippet: Column, title: Column, company: Column, locati
 def merge_detail_text(
     listings: DataFrame, details: DataFrame, policies: Mapping[str, str] = MERGE_POLICY
 ) -> DataFrame:
-    """Detail text joined on url: keep the longer (cut at 8000), replace, or append to the row's
+    """Detail text joined on url: keep the longer, replace, or append to the row's
     own header lines. ``listings`` has one row per url, ``details`` too."""
     j = listings.join(details.select("url", "detail_text"), "url", "left")
     own, found = X.text_of(F.col("description")), X.text_of(F.col("detail_text"))
     policy = F.create_map(*[F.lit(x) for kv in policies.items() for x in kv])[F.col("source")]
     merged = (
-        F.when((policy == "longer") & (F.length(found) > F.length(own)), F.substring(found, 1, MAX_DETAIL))
+        F.when((policy == "longer") & (F.length(found) > F.length(own)), found)
         .when((policy == "replace") & (found != ""), found)
         .when(
             (policy == "append") & (found != ""),

@@ -83,7 +83,8 @@ def scan_rows(batch: DataFrame, known: DataFrame, query: DataFrame, rules: ScanR
     scored = scoring.apply_boosts(
         based, "_s", rules.blend, rules.focus, rules.pay, rules.place, "_score"
     )
-    score = F.when(to_score, F.col("_score")).when(F.col("exclude_reason").isNotNull(), F.lit(-1.0))
+    # twelve digits: sums of doubles taken in another order then store the same number
+    score = F.when(to_score, F.round("_score", 12)).when(F.col("exclude_reason").isNotNull(), F.lit(-1.0))
     return (
         scored.withColumn("score", score)
         .withColumn("notify", F.coalesce(F.col("score") >= rules.threshold, F.lit(False)))
@@ -169,7 +170,3 @@ def run_stream(
     return writer.start()
 
 
-__all__ = [
-    "ScanRules", "ScanState", "conform", "current_postings", "enrich", "run_stream",
-    "scan_micro_batch", "scan_rows",
-]

@@ -159,7 +159,27 @@ def test_skills_order_and_limit(one):
     s = X.skills(F.col("t"), F.col("d"), F.lit(""))
     assert one(s, t="JS dev", d="Python, node and k8s; c++ dev") == ["JavaScript", "Kubernetes", "Node.js", "Python"]
     assert one(s, t="collaborate", d="goal restful") == []
-    assert len(one(s, t="", d=" ".join(P.SKILLS))) == 10
+    assert len(one(s, t="", d=" ".join(P.SKILLS))) > 10
+    assert len(one(X.skills(F.col("t"), F.col("d"), F.lit(""), limit=10), t="", d=" ".join(P.SKILLS))) == 10
+
+
+def test_page_text_decodes_and_drops(one):
+    page = "<p>d&eacute;j&agrave;&nbsp;vu &#8211; it&rsquo;s &hellip; &amp;amp;</p><script>let x = 1"
+    assert one(X.main_text(C), s=page) == "déjà vu – it’s … &amp;"
+    assert len(one(X.main_text(C), s="<p>" + "word " * 5000)) == 24_999
+
+
+def test_amounts_beyond_a_long_are_null(one):
+    pay = one(M.salary_from_text(C), s="$9,000,000,000,000,000,000/hr")
+    assert pay["min"] is None and pay["max"] is None
+
+
+def test_patterns_are_checked_by_java(one):
+    from gleaner.functions.rules import title_matches
+
+    assert one(title_matches(C, "(?P<x>senior)"), s="senior") is False
+    assert one(title_matches(C, "(?<x>senior)"), s="Senior clerk") is True
+    assert one(title_matches(C, "("), s="(") is False
 
 
 @pytest.mark.parametrize(

@@ -125,3 +125,26 @@ def test_audit_log_appends(spark, tmp_path):
     tables.append_audit_log(row, path)
     got = spark.read.json(path)
     assert got.count() == 4 and {r["recipient"] for r in got.collect()} == {"a@b.c", None}
+
+
+def test_pages_that_cannot_be_read_are_told(spark):
+    from gleaner.sources import listings
+
+    spec = listings.ListingSpec(["li"], title=["a"], link="a")
+    page = "<ul><li><a href='http://[x'>A title of some length</a></li></ul>"
+    rows = [(1, "s", "http://h.org/", page), (2, "s", "http://h.org/", page.replace("http://[x", "/ok")), (3, "unknown", "u", page)]
+    parsed = listings.parse_listings(spark.createDataFrame(rows, "page_id long, source string, url string, body string"), {"s": spec})
+    assert [(r.page_id, r.url) for r in parsed.where("error IS NULL").collect()] == [(2, "http://h.org/ok")]
+    errors = {r.page_id: r.error for r in listings.page_errors(parsed).collect()}
+    assert set(errors) == {1, 3} and errors[3] == listings.NO_SPEC
+    counted = {r.source: (r.records, r.errors) for r in feeds.source_errors(parsed, "error").collect()}
+    assert counted == {"s": (2, 1), "unknown": (1, 1)}
+
+
+def test_bodies_that_are_no_json_and_long_feeds(spark):
+    import json
+
+    entries = [{}] + [{"id": str(i), "position": "p", "url": f"u{i}", "location": ""} for i in range(150)]
+    df = spark.createDataFrame([(1, json.dumps(entries)), (2, "<html>"), (3, None)], "arrival long, body string")
+    assert feeds.ingest_feed(df).count() == 150 and feeds.ingest_feed(df, limit=100).count() == 100
+    assert [r.arrival for r in feeds.unreadable_bodies(df).collect()] == [2]
