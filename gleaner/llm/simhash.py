@@ -33,8 +33,6 @@ SHINGLE = 4
 RADIUS = 4
 # A bucket of more fingerprints than this is dealt out again by a second covering.
 HOT_BUCKET = 20_000
-# Groups, of a few numbers each, that a join may broadcast.
-SMALL_GROUPS = 100_000
 # Up to this size all pairs of a bucket are compared at once; larger ones are searched from seeds.
 TINY = 6
 
@@ -228,8 +226,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     groups = reps.join(roots, reps["rep"] == roots["node"], "left").select(
         "fp", "n", F.coalesce("root", "rep").alias("component_id")
     )
-    n_groups, n_docs = reps.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    known = spread_join(marked.where("doc_id IS NOT NULL"), groups, "fp", "n", "doc_id", n_groups, n_docs, small=SMALL_GROUPS)
+    n_docs = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = spread_join(marked.where("doc_id IS NOT NULL"), groups, "fp", "n", "doc_id", n_docs)
     alone = marked.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long"))
     return known.select("doc_id", "fp", "component_id").unionByName(alone)
 
