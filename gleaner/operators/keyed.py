@@ -60,6 +60,15 @@ def anti_join(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFra
     return left.join(right.select(*keys).distinct(), keys, "left_anti")
 
 
+def known_of(history: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Keys of the history that the batch has too.
+
+    The batch is the small side: pass a stored one, whose size the planner knows, and the history
+    is only scanned for its key column, not shuffled.
+    """
+    return history.select(key).join(batch.select(key), key, "left_semi")
+
+
 def flag_match(left: DataFrame, right: DataFrame, key: str, flag: str) -> DataFrame:
     """Left rows with a boolean: is the key on the right side? ``key`` is unique on the left."""
     marks = right.select(key).distinct().withColumn("_hit", F.lit(True))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleaner import params as P
 from gleaner.functions import text as X
 from gleaner.operators.keyed import spread_join
-from gleaner.session import ensure_checkpoint_dir
+from gleaner.session import ensure_checkpoint_dir, stored
 
 # Stands for "this record has terms"; no real term is empty.
 ANY_TERM = ""
@@ -397,42 +397,54 @@ def variant_scores(
     label: str = "label",
     score: Callable[..., DataFrame] = tfidf_cosine,
 ) -> DataFrame:
-    """(key, label, score) for every record and every variant, 0.0 where nothing is shared."""
-    labels = variants.agg(F.array_sort(F.collect_set(label)).alias("labels")).scalar()
-    grid = docs.select(key).withColumn(label, F.explode(labels))
-    hits = score(docs, variants, key, text, query_key=label)
-    return grid.join(hits, [key, label], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """(key, label, score) of the pairs that share something; all other pairs score 0.0."""
+    pairs = score(docs, variants, key, text, query_key=label)
+    return pairs.select(key, label, "score").where("score <> 0")
 
 
-def best_variant(scores: DataFrame, key: str = "doc_id", label: str = "label", position: str | None = None) -> DataFrame:
-    """Best variant per record; the first label (or ``position``) wins ties."""
-    tie = F.col(position or label)
-    best = F.min_by(F.struct(label, "score"), F.struct((-F.col("score")).alias("s"), tie.alias("p")))
-    return (
-        scores.groupBy(key)
-        .agg(best.alias("_b"))
-        .select(key, F.col(f"_b.{label}").alias("best_label"), F.col("_b.score").alias("best_score"))
+def best_variant(pairs: DataFrame, docs: DataFrame, variants: DataFrame, key: str = "doc_id", label: str = "label") -> DataFrame:
+    """Best variant per record; the first label wins ties and takes records that share nothing."""
+    best = F.min_by(F.struct(label, "score"), F.struct((-F.col("score")).alias("s"), F.col(label).alias("l")))
+    top = pairs.where("score > 0").groupBy(key).agg(best.alias("_b"))
+    first = variants.agg(F.min(label)).scalar()
+    return docs.select(key).join(top, key, "left").select(
+        key,
+        F.coalesce(F.col(f"_b.{label}"), first).alias("best_label"),
+        F.coalesce("_b.score", F.lit(0.0)).alias("best_score"),
     )
 
 
-def variant_summary(scores: DataFrame, threshold: float, key: str = "doc_id", label: str = "label") -> DataFrame:
-    """Wins, mean and count above per variant, and whether it is the overall winner."""
-    per = scores.groupBy(label).agg(
-        F.avg("score").alias("avg_score"),
-        F.count_if(F.col("score") >= threshold).alias("above"),
+def variant_summary(
+    pairs: DataFrame, docs: DataFrame, variants: DataFrame, threshold: float, key: str = "doc_id", label: str = "label"
+) -> DataFrame:
+    """Wins, mean over all records and count above per variant, and whether it is the overall winner.
+
+    The pairs are read three times, so they are stored first: one scoring pass.
+    """
+    pairs = stored(pairs)
+    records = docs.agg(F.count("*").alias("n")).scalar()
+    sums = pairs.groupBy(label).agg(
+        F.sum("score").alias("total"), F.count_if(F.col("score") >= threshold).alias("above"), F.count("*").alias("n")
     )
-    wins = best_variant(scores, key, label).groupBy(F.col("best_label").alias(label)).agg(
+    wins = best_variant(pairs, docs, variants, key, label).groupBy(F.col("best_label").alias(label)).agg(
         F.count("*").alias("wins")
     )
+    zero = F.lit(threshold) <= 0
+    per = (
+        variants.select(label)
+        .distinct()
+        .join(sums, label, "left")
+        .join(wins, label, "left")
+        .select(
+            label,
+            F.coalesce("wins", F.lit(0)).cast("bigint").alias("wins"),
+            (F.coalesce("total", F.lit(0.0)) / records).alias("avg_score"),
+            (F.coalesce("above", F.lit(0)) + F.when(zero, records - F.coalesce("n", F.lit(0))).otherwise(0)).alias("above"),
+        )
+    )
+    per = stored(per)
     winner = per.agg(
         F.min_by(F.struct(label, "avg_score"), F.struct((-F.col("avg_score")).alias("s"), F.col(label))).alias("w")
     )
     top = winner.select(F.when(F.col("w.avg_score") > 0, F.col(f"w.{label}"))).scalar()
-    return per.join(wins, label, "left").select(
-        label,
-        F.coalesce("wins", F.lit(0)).cast("bigint").alias("wins"),
-        "avg_score",
-        "above",
-        F.coalesce(F.col(label) == top, F.lit(False)).alias("overall_winner"),
-    )
-
+    return per.withColumn("overall_winner", F.coalesce(F.col(label) == top, F.lit(False)))

@@ -15,8 +15,18 @@ from gleaner.operators.keyed import anti_join
 def upsert_longest(state: DataFrame, batch: DataFrame, key: str = "id", arrival: str = "arrival") -> DataFrame:
     """Insert new keys; a known key keeps its stored row but takes a strictly longer description.
 
-    State rows come before batch rows, batch rows in arrival order.
+    State rows come before batch rows, batch rows in arrival order. Only stored rows whose key is in
+    the batch are merged; all others pass as they are, so a small batch (a stored one, whose size the
+    planner knows) shuffles no more of the state than it touches.
     """
+    keys = batch.select(F.col(key).alias("_key")).distinct()
+    touched = state[key] == F.col("_key")
+    untouched = state.join(keys, touched, "left_anti").withColumn("is_new", F.lit(False))
+    merged = _merge_longest(state.join(keys, touched, "left_semi"), batch, key, arrival)
+    return merged.unionByName(untouched, allowMissingColumns=True)
+
+
+def _merge_longest(state: DataFrame, batch: DataFrame, key: str, arrival: str) -> DataFrame:
     both = state.withColumn("_gen", F.lit(0)).unionByName(
         batch.withColumn("_gen", F.lit(1)), allowMissingColumns=True
     )

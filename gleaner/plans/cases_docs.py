@@ -230,17 +230,25 @@ def _(t: Tables) -> DataFrame:
 # -- pluggable source and sink: rows only -------------------------------------------------
 
 
-@case("plug_source")
+@case(
+    "plug_source",
+    "SELECT page_id, title FROM (SELECT page_id, "
+    + S.main_text("regexp_extract(html, '(?s)<article[^>]*>.*?<h1[^>]*>(.*?)</h1>', 1)", ())
+    + " AS title FROM pages) WHERE title <> ''",
+)
 def _(t: Tables) -> DataFrame:
     """A new source is one spec: here the headline of every saved page."""
-    spec = {"web": listings.ListingSpec(["article"], link="", title=["h1"], href_part="")}
     own = {"web": listings.DetailSpec(["article h1"])}
     pages = t.pages.select("page_id", F.lit("web").alias("source"), "url", F.col("html").alias("body"))
     heads = listings.extract_detail_text(pages, own).select("page_id", c("detail_text").alias("title"))
-    return heads.where(c("title") != "") if spec else heads
+    return heads.where(c("title") != "")
 
 
-@case("plug_sink")
+@case(
+    "plug_sink",
+    """SELECT count(*) AS matched_count, CAST(to_json(list(arrival ORDER BY arrival)) AS VARCHAR) AS jobs_alerted, '{"min_score": 0.9}' AS filter_used
+FROM postings WHERE score >= 0.9 HAVING count(*) > 0""",
+)
 def _(t: Tables) -> DataFrame:
     """Any callable that takes the matched rows and says whether they were sent."""
     folder = fresh_folder(t, "sink")

@@ -9,7 +9,7 @@ from gleaner import params as P
 from gleaner.functions import money as M
 from gleaner.operators import scoring
 from gleaner.plans import sqltext as S
-from gleaner.plans.cases import Tables, case, r6
+from gleaner.plans.cases import Tables, case, r6, sql_list
 from gleaner.plans.cases_filters import with_extracts
 from gleaner.plans.cases_state import QUERY_TEXT, SCAN, boosts_sql, query_row
 
@@ -195,12 +195,12 @@ _GRID = (
 
 
 def grid(t: Tables) -> DataFrame:
-    """Rounded so that equal scores tie in every engine."""
+    """Pairs that score, rounded so that equal scores tie in every engine."""
     s = scoring.variant_scores(t.documents, variants(t))
-    return s.withColumn("score", F.round("score", 9))
+    return s.withColumn("score", F.round("score", 9)).where("score <> 0")
 
 
-@case("variant_scores", _GRID + "SELECT doc_id, label, round(score, 6) AS score FROM grid")
+@case("variant_scores", _GRID + "SELECT doc_id, label, round(score, 6) AS score FROM grid WHERE score <> 0")
 def _(t: Tables) -> DataFrame:
     return grid(t).select("doc_id", "label", r6("score").alias("score"))
 
@@ -210,7 +210,8 @@ def _(t: Tables) -> DataFrame:
     _GRID + "SELECT doc_id, label AS best_label, round(score, 6) AS best_score FROM grid QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1",
 )
 def _(t: Tables) -> DataFrame:
-    return scoring.best_variant(grid(t)).select("doc_id", "best_label", r6("best_score").alias("best_score"))
+    best = scoring.best_variant(grid(t), t.documents, variants(t))
+    return best.select("doc_id", "best_label", r6("best_score").alias("best_score"))
 
 
 @case(
@@ -221,14 +222,26 @@ per AS (SELECT label, avg(score) AS a, count(*) FILTER (score >= 0.05) AS above
 SELECT label, coalesce(wins, 0) AS wins, round(a, 6) AS avg_score, above, a > 0 AND row_number() OVER (ORDER BY a DESC, label) = 1 AS overall_winner FROM per LEFT JOIN wins USING (label)""",
 )
 def _(t: Tables) -> DataFrame:
-    out = scoring.variant_summary(grid(t), 0.05)
+    out = scoring.variant_summary(grid(t), t.documents, variants(t), 0.05)
     return out.select("label", "wins", r6("avg_score").alias("avg_score"), "above", "overall_winner")
 
 
-# -- pluggable parts: rows only -----------------------------------------------------------
+# -- pluggable parts ----------------------------------------------------------------------
 
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]{2,}'), lambda w: NOT list_contains(" + sql_list(P.STOP_WORDS) + ", w)))"
 
-@case("plug_scorer")
+
+@case(
+    "plug_scorer",
+    f"""
+WITH q AS (SELECT label, unnest(w) AS term, len(w) AS n FROM (SELECT q AS label, {_WORDS} AS w FROM ({_VARIANTS}))),
+d AS (SELECT k AS doc_id, unnest({_WORDS}) AS term FROM ({_DOCS})),
+s AS (SELECT doc_id, label, count(*) / any_value(n) AS score FROM d JOIN q USING (term) GROUP BY doc_id, label),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1)
+SELECT doc_id, coalesce(label, (SELECT min('item' || item_id) FROM benchmark)) AS best_label, round(coalesce(score, 0), 6) AS best_score
+FROM documents LEFT JOIN best USING (doc_id)
+""",
+)
 def _(t: Tables) -> DataFrame:
     """Any scorer with the same arguments can stand in: here shared words over query words."""
     from gleaner.functions import text as X
@@ -237,11 +250,11 @@ def _(t: Tables) -> DataFrame:
         words = queries.select(F.array_distinct(X.tokens(c(text))).alias("w"), query_key)
         terms = words.select(query_key, F.explode("w").alias("term"), F.size("w").alias("n"))
         mine = docs.select(key, F.explode(F.array_distinct(X.tokens(c(text)))).alias("term"))
-        shared = mine.join(terms, "term")
-        return shared.groupBy(key, query_key).agg((F.count("*") / F.first("n")).alias("score"))
+        return mine.join(terms, "term").groupBy(key, query_key).agg((F.count("*") / F.first("n")).alias("score"))
 
     s = scoring.variant_scores(t.documents, variants(t), score=overlap)
-    return scoring.best_variant(s).select("doc_id", "best_label", r6("best_score").alias("best_score"))
+    best = scoring.best_variant(s, t.documents, variants(t))
+    return best.select("doc_id", "best_label", r6("best_score").alias("best_score"))
 
 
 def flagship(t: Tables) -> DataFrame:

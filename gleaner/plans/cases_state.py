@@ -472,23 +472,27 @@ def boosts_sql(base: str) -> str:
     return f"CASE WHEN contains(lower(location), 'nation_1') THEN least({s} + 0.05::DOUBLE, 1) ELSE {s} END"
 
 
-_NEW = f"""
- h AS ({_HASHED} arrived), k AS ({_HASHED} stored),
+def _scored(batch: str, known: str) -> str:
+    """CTEs of a scan of one table against another, ending in done(..., final)."""
+    return (
+        f"""WITH h AS ({_HASHED} {batch}), k AS ({_HASHED} {known}),
  seen AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY job_hash ORDER BY nullif(posted_at, '') DESC NULLS LAST, arrival) = 1),
  flagged AS (SELECT *, job_hash IN (SELECT job_hash FROM k) AS cross_duplicate FROM seen),
  judged AS (SELECT * EXCLUDE (score), NOT cross_duplicate AS is_new, CASE WHEN NOT cross_duplicate THEN {S.exclude_reason(P.ExcludeRules())} END AS exclude_reason FROM flagged),
  paid AS ({S.salary_bounds('judged')}),"""
-_SCORED = (
-    "WITH "
-    + _NEW
-    + S.tfidf(
-        "SELECT arrival AS k, description AS t FROM judged WHERE is_new AND exclude_reason IS NULL",
-        f"SELECT 0 AS q, '{QUERY_TEXT}' AS t",
-    )
-    + f""", done AS (SELECT p.*, CASE WHEN is_new AND exclude_reason IS NULL THEN {boosts_sql('coalesce(f.score, 0)')} WHEN exclude_reason IS NOT NULL THEN -1.0 END AS final
+        + S.tfidf(
+            "SELECT arrival AS k, description AS t FROM judged WHERE is_new AND exclude_reason IS NULL",
+            f"SELECT 0 AS q, '{QUERY_TEXT}' AS t",
+        )
+        + f""", done AS (SELECT p.*, CASE WHEN is_new AND exclude_reason IS NULL THEN {boosts_sql('coalesce(f.score, 0)')} WHEN exclude_reason IS NOT NULL THEN -1.0 END AS final
  FROM paid p LEFT JOIN tfidf f ON f.k = p.arrival)
 """
-)
+    )
+
+
+_SCORED = _scored("arrived", "stored")
+# The streams start with nothing stored, and the given orders come in one micro-batch.
+_STREAMED = _scored("postings", "stored WHERE false")
 
 
 def scanned(t: Tables) -> DataFrame:
@@ -523,26 +527,18 @@ def _(t: Tables) -> DataFrame:
     + f"""SELECT p.arrival, p.exclude_reason, round(CASE WHEN exclude_reason IS NULL THEN {boosts_sql('coalesce(f.score, 0)')} ELSE -1.0 END, 6) AS score FROM paid p LEFT JOIN tfidf f ON f.k = p.arrival""",
 )
 def _(t: Tables) -> DataFrame:
-    kept = filters.exclude_with_reason(filters.rescore_set(t.postings), P.ExcludeRules())
-    pay = M.salary_from_text(c("description"))
-    kept = kept.withColumn("_pay", pay).withColumns({"salary_min": c("_pay.min"), "salary_max": c("_pay.max")})
-    ok = c("exclude_reason").isNull()
-    hits = scoring.tfidf_cosine(
-        kept.where(ok).select("arrival", "description"), query_row(t), "arrival", "description"
-    ).select("arrival", c("score").alias("_s"))
-    based = kept.drop("score").join(hits, "arrival", "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
-    out = scoring.apply_boosts(based, "_s", SCAN.blend, SCAN.focus, SCAN.pay, SCAN.place)
-    return out.select("arrival", "exclude_reason", r6(F.when(ok, c("score")).otherwise(F.lit(-1.0))).alias("score"))
+    out = scan.rescore(filters.rescore_set(t.postings), query_row(t), SCAN)
+    return out.select("arrival", "exclude_reason", r6("score").alias("score"))
 
 
-# -- streams: rows-only, compared with the batch result in the tests ----------------------
+# -- streams ------------------------------------------------------------------------------
 
 
 def fresh_folder(t: Tables, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(t.spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def _stream_scan(t: Tables, every: str | None) -> DataFrame:
+def _stream_scan(t: Tables, rounds: int | None = None) -> DataFrame:
     folder = fresh_folder(t, "scan")
     orders = t.spark.readStream.schema(t.orders.schema).option("pathGlobFilter", "orders.parquet").parquet(t.folder)
     state_ = scan.ScanState(t.spark, f"{folder}/state")
@@ -551,29 +547,25 @@ def _stream_scan(t: Tables, every: str | None) -> DataFrame:
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         run(t.postings_of(batch), batch_id)
 
-    q = scan.run_stream(orders, on_batch, f"{folder}/checkpoint", every)
-    if every:
-        q.processAllAvailable()
-        q.stop()
+    if rounds:
+        scan.run_periodically(orders, on_batch, f"{folder}/checkpoint", 0.5, rounds)
     else:
-        q.awaitTermination()
+        scan.run_stream(orders, on_batch, f"{folder}/checkpoint").awaitTermination()
     return scan.current_postings(state_)
 
 
-@case("incremental_scan_stream")
+@case("incremental_scan_stream", _STREAMED + "SELECT id, arrival, exclude_reason, round(final, 6) AS score FROM done")
 def _(t: Tables) -> DataFrame:
-    return _stream_scan(t, None).select("id", "arrival", "exclude_reason", r6("score").alias("score"))
+    return _stream_scan(t).select("id", "arrival", "exclude_reason", r6("score").alias("score"))
 
 
-@case("periodic_trigger")
+@case("periodic_trigger", _STREAMED + "SELECT source, count(*) AS postings FROM done GROUP BY source")
 def _(t: Tables) -> DataFrame:
-    out = _stream_scan(t, "1 second")
+    out = _stream_scan(t, rounds=2)
     return out.groupBy("source").agg(F.count("*").alias("postings"))
 
 
-@case(
-    "status_updates_stream",
-)
+@case("status_updates_stream", FOLD + "SELECT posting_id, application_status, strftime(applied_at, '%Y-%m-%d %H:%M:%S') AS applied_at, application_notes FROM f")
 def _(t: Tables) -> DataFrame:
     """Status events arriving as a stream, folded from the log that the batches append."""
     folder = fresh_folder(t, "status")
@@ -584,4 +576,5 @@ def _(t: Tables) -> DataFrame:
 
     scan.run_stream(events, on_batch, f"{folder}/checkpoint").awaitTermination()
     log = t.spark.read.parquet(f"{folder}/log").drop("batch")
-    return state.status_updates(log)
+    s = state.status_updates(log)
+    return s.select("posting_id", "application_status", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss").alias("applied_at"), "application_notes")

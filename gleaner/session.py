@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -40,3 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="spark-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again: lineage is cut, and the planner knows
+    the size of the files, so it broadcasts them where its threshold allows and only there."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

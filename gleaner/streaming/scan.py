@@ -3,6 +3,7 @@ tables and for every micro-batch of a stream."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,10 +17,10 @@ from gleaner.functions import money as M
 from gleaner.functions import rules as R
 from gleaner.functions import text as X
 from gleaner.operators import identity, scoring
-from gleaner.operators.keyed import flag_match, top_per_group
+from gleaner.operators.filters import exclude_with_reason
+from gleaner.operators.keyed import flag_match, known_of, top_per_group
 from gleaner.operators.state import notify_once
-from gleaner.session import ensure_checkpoint_dir
-from gleaner.sources.tables import conform
+from gleaner.session import stored
 
 
 @dataclass(frozen=True)
@@ -56,13 +57,12 @@ def scan_rows(batch: DataFrame, known: DataFrame, query: DataFrame, rules: ScanR
     ``known`` has the stored (id, job_hash); ``query`` one (query_id, text) row. Only new rows
     that pass the exclusion rules are scored, against each other's term frequencies.
     """
-    ensure_checkpoint_dir(batch.sparkSession)
     # duplicates go before the costly extraction; the result is read by every step below
-    seen = enrich(identity.dedup_keep_latest(identity.with_identity(batch))).checkpoint()
-    narrow = seen.select("arrival", "id", "job_hash")
-    unknown = identity.anti_known_hash(narrow, known.select("job_hash"))
+    seen = stored(enrich(identity.dedup_keep_latest(identity.with_identity(batch))))
+    narrow = stored(seen.select("arrival", "id", "job_hash"))
+    unknown = identity.anti_known_hash(narrow, known_of(known, narrow, "job_hash"))
     first = top_per_group(unknown, ["id"], [F.col("arrival").asc()])
-    fresh = identity.anti_known_id(first, known.select("id").distinct())
+    fresh = identity.anti_known_id(first, known_of(known, narrow, "id"))
     flagged = flag_match(flag_match(seen, unknown, "arrival", "_unknown"), fresh, "arrival", "is_new")
     judged = flagged.withColumns(
         {
@@ -74,7 +74,8 @@ def scan_rows(batch: DataFrame, known: DataFrame, query: DataFrame, rules: ScanR
                 ),
             ),
         }
-    ).drop("_unknown").checkpoint()
+    ).drop("_unknown")
+    judged = stored(judged)
     to_score = F.col("is_new") & F.col("exclude_reason").isNull()
     hits = scoring.tfidf_cosine(
         judged.where(to_score).select("arrival", "description"), query, "arrival", "description"
@@ -126,8 +127,9 @@ def scan_micro_batch(
     """foreachBatch callback: scan, store new rows and longer texts, then notify once."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stored = state.read("postings", STORED, before=batch_id)
-        rows = scan_rows(batch, stored.select("id", "job_hash"), query, rules)
+        history = state.read("postings", STORED, before=batch_id)
+        # written once, read by all that follows: one scoring per batch
+        rows = stored(scan_rows(batch, history.select("id", "job_hash"), query, rules))
         names = [c.split()[0] for c in STORED.split(", ")]
         state.write(rows.where("is_new").select(*names), "postings", batch_id)
         # texts of ids that were stored already, for the longest-description rule
@@ -170,3 +172,36 @@ def run_stream(
     return writer.start()
 
 
+def run_periodically(
+    source: DataFrame,
+    callback: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    pause: float,
+    rounds: int | None = None,
+    wait: Callable[[float], None] = time.sleep,
+) -> None:
+    """Scan all available rows, wait ``pause`` seconds in full after the scan has ended, and again.
+
+    A processing-time trigger keeps a rate instead: after a slow batch it starts at once.
+    """
+    done = 0
+    while rounds is None or done < rounds:
+        run_stream(source, callback, checkpoint).awaitTermination()
+        done += 1
+        if done != rounds:
+            wait(pause)
+
+
+def rescore(postings: DataFrame, query: DataFrame, rules: ScanRules) -> DataFrame:
+    """``postings`` with exclude_reason and score found anew, against the rows that are not excluded."""
+    pay = M.salary_from_text(F.col("description"))
+    kept = exclude_with_reason(postings, rules.exclude)
+    kept = kept.withColumn("_pay", pay).withColumns({"salary_min": F.col("_pay.min"), "salary_max": F.col("_pay.max")})
+    ok = F.col("exclude_reason").isNull()
+    hits = scoring.tfidf_cosine(kept.where(ok).select("arrival", "description"), query, "arrival", "description")
+    hits = hits.select("arrival", F.col("score").alias("_s"))
+    based = kept.drop("score", "_pay").join(hits, "arrival", "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    out = scoring.apply_boosts(based, "_s", rules.blend, rules.focus, rules.pay, rules.place)
+    return out.withColumn("score", F.when(ok, F.col("score")).otherwise(F.lit(-1.0))).drop("_s")
+
+

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from gleaner.operators.state import status_updates
 from gleaner.plans.cases_state import SCAN
 from gleaner.streaming import scan
 
@@ -69,8 +68,30 @@ def test_longer_text_of_known_id_is_kept(spark, tmp_path):
 
 def test_status_stream_equals_batch(spark):
     from gleaner.plans.catalog import QUERIES
-    from gleaner.plans.views import Tables
 
-    folder = "/root/testdata/sf0.001"
-    stream = sorted(map(str, QUERIES["status_updates_stream"](spark, folder).collect()))
-    assert stream == sorted(map(str, status_updates(Tables(spark, folder).status_events).collect()))
+    stream, batch = (
+        sorted(map(str, QUERIES[n](spark, "/root/testdata/sf0.001").collect()))
+        for n in ("status_updates_stream", "status_updates")
+    )
+    assert stream == batch
+
+
+def test_waits_in_full_after_each_scan(spark, tmp_path):
+    source = spark.readStream.schema("event_id long").parquet("/root/testdata/sf0.001/events.parquet*")
+    told = []
+    scan.run_periodically(
+        source, lambda batch, i: told.append(("scan", i)), str(tmp_path / "c"), 7.5, rounds=3, wait=lambda s: told.append(("wait", s))
+    )
+    assert told == [("scan", 0), ("wait", 7.5), ("wait", 7.5)]
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    from gleaner.operators.keyed import known_of
+    from gleaner.session import stored
+
+    path = str(tmp_path / "history")
+    spark.range(100_000).selectExpr("cast(id as string) AS job_hash", "repeat('x', 50) AS title").write.parquet(path)
+    batch = stored(spark.range(5).selectExpr("cast(id * 3 as string) AS job_hash"))
+    hits = known_of(spark.read.parquet(path), batch, "job_hash")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and hits.count() == 5
