@@ -213,6 +213,26 @@ def render_resume(name: str, contact: str, profile: Column, summary: Column, cho
     return F.concat(F.rtrim(F.regexp_replace(F.concat(head, body), r"\s+$", "")), F.lit("\n"))
 
 
+def untraceable_count(chosen: Column, items: Sequence[Item]) -> Column:
+    """Lines of the chosen items that no master item has, white space and case aside."""
+    master = {" ".join(x.lower().split()) for i in items for x in (i.title, i.sub, *i.bullets) if x}
+    lines = F.flatten(
+        F.transform(chosen, lambda e: F.concat(F.array(e["item"]["title"], e["item"]["sub"]), e["item"]["bullets"]))
+    )
+    off = F.filter(lines, lambda x: (x != "") & ~F.array_contains(X.string_array(sorted(master)), X.fold_space(x)))
+    return F.size(off).cast("bigint")
+
+
+def tailored_resumes(
+    df: DataFrame, items: Sequence[Item], name: str, contact: str, summaries: Mapping[str, str], profile: str = "profile"
+) -> DataFrame:
+    """Adds ``resume`` from ``chosen``; a row with a line that no master item has is rejected."""
+    known = F.create_map(*[F.lit(x) for kv in summaries.items() for x in kv])
+    summary = F.coalesce(F.try_element_at(known, F.col(profile)), summary_for(known, "general"))
+    good = df.where(untraceable_count(F.col("chosen"), items) == 0)
+    return good.withColumn("resume", render_resume(name, contact, F.col(profile), summary, F.col("chosen")))
+
+
 def anti_untraceable(lines: DataFrame, master: DataFrame, line: str = "line") -> DataFrame:
     """Lines that do not occur among the master lines, white space and case aside."""
     key = "_line"

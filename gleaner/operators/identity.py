@@ -112,13 +112,9 @@ def lookup_by_prefix(df: DataFrame, keys: DataFrame, key: str = "lookup") -> Dat
     prefixes = ids.withColumn("_n", F.explode(lengths)).select(
         "id", F.substring("id", F.lit(1), F.col("_n")).alias(key)
     )
-    unique = (
-        rest.join(prefixes, key)
-        .groupBy(key)
-        .agg(F.count("*").alias("_n"), F.min("id").alias("id"))
-        .where(F.col("_n") == 1)
-        .select(key, "id")
-    )
+    # counted before the join: a prefix that many ids share is one row by then
+    counted = prefixes.groupBy(key).agg(F.count("*").alias("_n"), F.min("id").alias("id"))
+    unique = rest.join(counted.where(F.col("_n") == 1), key).select(key, "id")
     return exact.unionByName(unique)
 
 

@@ -122,26 +122,17 @@ NAME, CONTACT = "Robin Doe", "Springfield · robin@example.org"
  || '**' || title || '**' || CASE WHEN sub <> '' THEN ' — ' || sub ELSE '' END || chr(10) || array_to_string(list_transform(bullets[1:3], lambda b: '- ' || b || chr(10)), '') AS block FROM chosen),
 texts AS (SELECT arrival, any_value(profile) AS profile, string_agg(block, chr(10) ORDER BY at_pos) AS body FROM lines GROUP BY arrival)
 SELECT arrival, '# {NAME}' || chr(10) || '{CONTACT}' || chr(10) || chr(10) || '_Profile: ' || profile || '_' || chr(10) || chr(10) || CASE WHEN profile = 'research' THEN 'Careful at the bench.' ELSE 'Reliable and curious.' END || chr(10) || chr(10)
- || rtrim(body, chr(10)) || chr(10) AS resume, 0::BIGINT AS untraceable FROM texts JOIN postings USING (arrival) WHERE score >= 0.5
+ || rtrim(body, chr(10)) || chr(10) AS resume FROM texts JOIN postings USING (arrival) WHERE score >= 0.5 AND arrival % 17 <> 0
 """,
 )
 def _(t: Tables) -> DataFrame:
+    """A drafting step may change items; here it adds to every 17th record, which is then rejected."""
     top = DOC.select_items(profiled(t).where(c("score") >= 0.5), 3, P.MAX_OTHER_ITEMS)
-    summaries = F.create_map(*[F.lit(x) for kv in SUMMARIES.items() for x in kv])
-    summary = F.coalesce(F.try_element_at(summaries, c("profile")), DOC.summary_for(summaries, "general"))
-    master = [x for i in ITEMS for x in (i.title, i.sub, *i.bullets) if x]
-    from gleaner.functions.text import fold_space, string_array
-
-    known = string_array(sorted({" ".join(x.lower().split()) for x in master}))
-    lines = F.flatten(
-        F.transform("chosen", lambda e: F.concat(F.array(e["item"]["title"], e["item"]["sub"]), e["item"]["bullets"]))
-    )
-    off = F.size(F.filter(lines, lambda x: (x != "") & ~F.array_contains(known, fold_space(x))))
-    return top.select(
-        "arrival",
-        DOC.render_resume(NAME, CONTACT, c("profile"), summary, c("chosen")).alias("resume"),
-        off.cast("bigint").alias("untraceable"),
+    added = F.transform(
+        "chosen", lambda e: e.withField("item", e["item"].withField("sub", F.concat(e["item"]["sub"], F.lit(" with honours"))))
     )
+    drafted = top.withColumn("chosen", F.when(c("arrival") % 17 == 0, added).otherwise(c("chosen")))
+    return DOC.tailored_resumes(drafted, ITEMS, NAME, CONTACT, SUMMARIES).select("arrival", "resume")
 
 
 _PAGE_HEAD = "'# {kind} — ' || title || chr(10) || chr(10) || '- **Company:** ' || company || chr(10) || '- **Location:** ' || location || chr(10) || '- **Source:** ' || source || chr(10) || '- **URL:** ' || url || chr(10) || '- **Generated:** 2024-03-15{note}' || chr(10) || chr(10) || '---' || chr(10) || chr(10)"
