@@ -81,7 +81,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@query("op3_chat_format")
+@query("op3_chat_format", sqltext.OP3)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     turns = chat.with_marked_conversation(spark, table(spark, folder, "conversations"))
     return chat.read_back(chat.segments(turns))
