@@ -5,7 +5,7 @@ more symbols than words), navigation (bars, arrows, link words) and boilerplate
 removed; a text that loses too much of its words, or fails the base rule, is rejected.
 
 All of it is expressions inside the row: no shuffle, no Python. Repeated 8-word windows are found
-from the windows' hashes, 96 bits each, combined from the words' hashes by doubling; only texts
+from the windows' 64-bit hashes, combined from the words' hashes by doubling; only texts
 with an equal pair are looked at further, by sorting.
 
 Defined cases: a null or empty text has no words, fails the base rule and has a null or empty
