@@ -9,7 +9,9 @@ pages, then over the tasks' different wrappers, first by salt, then by host.
 
 The wrapper tells which element of a host's pages is the article: going down from the body, the
 element that holds most of the text, known furniture not counted; an ``article`` or ``main`` is
-taken as such. Fixed texts inside it are part of the layout, not of the article.
+taken as such. Fixed texts inside it are part of the layout, not of the article: those that stood once
+on every page of the host, in the same place, where other text of the article changes from page to
+page. They are left out in that place only; what only some pages have is never layout.
 
 Pages are read by a small reader of tokens; wrappers hold no page text but fixed strings, and have
 a size set by the layout, not by the number of pages.
@@ -25,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,8 +79,6 @@ LINK_BOXES = frozenset("ul ol div section table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An element is gone into while one child holds this share of its text.
 MAIN_SHARE = 0.6
-# Pages a host needs before its fixed texts count as layout.
-FEW_PAGES = 5
 # Wrappers kept in a task before they are sent on, and tasks' wrappers of one host merged at once.
 HELD_HOSTS = 5_000
 SALTS = 16
@@ -274,14 +275,19 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
             out.append(merged(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            out.append([*a[i][:OPTIONAL], True, *a[i][REPEATED:]])
+            out.append(optional(a[i]))
             i += 1
         else:
-            out.append([*b[j][:OPTIONAL], True, *b[j][REPEATED:]])
+            out.append(optional(b[j]))
             j += 1
     return out
 
 
+def optional(w: list) -> list:
+    """An element that only some pages have."""
+    return [*w[:OPTIONAL], True, *w[REPEATED:]]
+
+
 def shape(w: list) -> str:
     """The wrapper as the regular expression it stands for; texts as #, fixed ones quoted."""
     inner = [] if w[FIXED] == "" else ["#" if w[FIXED] is None else json.dumps(w[FIXED])]
@@ -322,28 +328,35 @@ def _paths(w: list, path: list[str], tag: str) -> Iterator[tuple[int, list[str]]
                 yield from _paths(c, here, tag)
 
 
-def fixed_texts(w: list) -> set[str]:
-    """Texts of elements outside repeated groups that never change on a host."""
-    out = set()
+def fixed_texts(w: list, path: list[str]) -> list[str]:
+    """Places and texts of elements that every page of a host has once and with the same text."""
+    out = []
     for c in w[CHILDREN]:
-        if not c[REPEATED] and not c[FURNITURE]:
+        if not c[OPTIONAL] and not c[REPEATED] and not c[FURNITURE]:
+            here = [*path, c[KIND]]
             if c[FIXED]:
-                out.add(f"{c[KIND]}\n{c[FIXED]}")
-            out |= fixed_texts(c)
+                out.append(placed(here, c[FIXED]))
+            out += fixed_texts(c, here)
     return out
 
 
-def has_slots(w: list) -> bool:
-    return any(c[FIXED] is None or has_slots(c) for c in w[CHILDREN] if not c[FURNITURE])
+def placed(path: list[str], text: str) -> str:
+    return "\n".join([*path, text])
+
+
+def varies(w: list) -> bool:
+    """Do texts change from page to page? Those of a repeated group may differ on a single page."""
+    return any(c[OPTIONAL] or c[FIXED] is None or varies(c) for c in w[CHILDREN] if not c[FURNITURE] and not c[REPEATED])
 
 
 def rule(pages: int, w: list) -> dict:
     """What extraction needs of a wrapper: the article's place and the texts to leave out."""
     path = article_path(w)
-    main = w
+    main, on_all = w, True
     for kind in path:
         main = next(c for c in main[CHILDREN] if c[KIND] == kind)
-    layout = fixed_texts(main) if pages >= FEW_PAGES and has_slots(main) else set()
+        on_all = on_all and not main[OPTIONAL] and not main[REPEATED]
+    layout = fixed_texts(main, path) if pages > 1 and on_all and varies(main) else []
     return {"path": path, "layout": sorted(layout)}
 
 
@@ -357,37 +370,44 @@ def extract(html: str | None, found: dict | None) -> str:
             here = [root]
             break
         here = next_
-    layout = set((found or {}).get("layout", []))
+    layout = Counter((found or {}).get("layout", []))
     blocks: list[str] = []
     current: list[str] = []
     inside = bool((found or {}).get("path")) and here != [root]
 
-    def end(element: Element) -> None:
+    def end(path: list[str]) -> None:
         text = plain("".join(current))
         current.clear()
-        if text and f"{element.kind}\n{text}" not in layout:
+        if text and layout:
+            place = placed(path, text)
+            if layout[place] > 0:
+                layout[place] -= 1
+                return
+        if text:
             blocks.append(text)
 
-    def walk(element: Element, block: Element) -> None:
+    def walk(element: Element, path: list[str]) -> None:
         for item in element.items:
             if isinstance(item, str):
                 current.append(item)
             elif item.furniture or (item.tag == "header" and not inside):
                 continue
             elif item.tag in LINK_BOXES and only_links(item):
-                end(block)
+                end(path)
             elif item.tag == "br":
                 current.append(" ")
             elif item.tag in INLINE:
-                walk(item, block)
+                walk(item, path)
             else:
-                end(block)
-                walk(item, item)
-                end(item)
+                end(path)
+                below = [*path, item.kind]
+                walk(item, below)
+                end(below)
 
     for element in here:
-        walk(element, element)
-        end(element)
+        top = (found or {}).get("path", []) if inside else []
+        walk(element, top)
+        end(top)
     return "\n".join(blocks)
 
 

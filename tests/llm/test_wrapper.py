@@ -67,3 +67,17 @@ def test_odd_rows(spark):
     got = wrapper.main_text(df).collect()
     assert sorted(((r.page_id, r.text[:9]) for r in got), key=str) == sorted([(1, "text"), (1, "text"), (None, "text"), (3, ""), (4, "long long")], key=str)
     assert wrapper.main_text(df.where("false")).count() == 0
+
+
+def test_texts_of_one_page_are_no_layout():
+    def page(i, own=""):
+        return f"<body><article><h1>Title {i}</h1><h2 id=slug-{'abcdefg'[i]}>Heading {i}</h2><p>Text {i}</p>{own}<div><p>Read on</p></div></article></body>"
+
+    own = "<h2>Background</h2><p>b</p><pre>code</pre><blockquote><p>quoted</p></blockquote><p>Read on</p>"
+    for n in (2, 4, 5, 7):
+        pages = [page(0, own), *[page(i) for i in range(1, n)]]
+        found = wrapper.rule(n, infer(pages))
+        assert wrapper.extract(pages[0], found) == "Title 0\nHeading 0\nText 0\nBackground\nb\ncode\nquoted\nRead on"
+        assert wrapper.extract(pages[1], found) == "Title 1\nHeading 1\nText 1"
+    same = ["<body><article><h1>T</h1><p>a</p><p>b</p></article></body>"] * 6
+    assert wrapper.extract(same[0], wrapper.rule(6, infer(same))) == "T\na\nb"
