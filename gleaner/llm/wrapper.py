@@ -7,9 +7,10 @@ side has become optional, neighbours of one kind become a repeated group, and te
 become slots. Merging is associative enough to be done in any order: inside each task over its
 pages, then over the tasks' different wrappers, first by salt, then by host.
 
-The wrapper tells which element of a host's pages is the article: going down from the body, the
-element that holds most of the text, known furniture not counted; an ``article`` or ``main`` is
-taken as such. Fixed texts inside it are part of the layout, not of the article: those that stood once
+A page's ``article`` and ``main`` elements are its article, but for nested ones and for teasers (all
+text in links, or inside furniture while others are not). For pages without them the wrapper tells
+which element is the article: going down from the root as long as a single child holds all the text
+that changes from page to page, known furniture not counted. Fixed texts inside it are part of the layout, not of the article: those that stood once
 on every page of the host, in the same place, where other text of the article changes from page to
 page. They are left out in that place only; what only some pages have is never layout.
 
@@ -18,7 +19,7 @@ a size set by the layout, not by the number of pages.
 
 Defined cases: null html is empty and gives an empty text; a null url has its own host ''; cut-off
 pages end all open elements; unknown or stray tags are kept or skipped as they come; repeated rows
-give repeated results; a table of one page has a wrapper without slots, whose texts all count.
+give repeated results; a host of one page, or of equal ones, has a wrapper without slots, whose texts all count.
 Columns other than the three named ones are ignored.
 """
 
@@ -77,8 +78,6 @@ ARTICLE_TAGS = ("article", "main")
 # Lists and boxes that hold nothing but several links are menus.
 LINK_BOXES = frozenset("ul ol div section table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# An element is gone into while one child holds this share of its text.
-MAIN_SHARE = 0.6
 # Wrappers kept in a task before they are sent on, and tasks' wrappers of one host merged at once.
 HELD_HOSTS = 5_000
 SALTS = 16
@@ -87,10 +86,11 @@ SALTS = 16
 class Element:
     """An element of a page: tag, kind (tag with its class, id and role), children and texts."""
 
-    __slots__ = ("tag", "kind", "furniture", "items")
+    __slots__ = ("tag", "kind", "furniture", "items", "cleared")
 
     def __init__(self, tag: str, kind: str, furniture: bool) -> None:
         self.tag, self.kind, self.furniture, self.items = tag, kind, furniture, []
+        self.cleared = False  # called furniture, but holds an article
 
 
 def describe(tag: str, raw: str) -> tuple[str, bool]:
@@ -152,7 +152,7 @@ def read_page(html: str | None) -> Element:
             stack.append(element)
         if tag in ARTICLE_TAGS:  # what holds an article is no furniture, whatever its name
             for above in stack[:-1]:
-                above.furniture = False
+                above.furniture, above.cleared = False, above.cleared or above.furniture
     return root
 
 
@@ -296,50 +296,48 @@ def shape(w: list) -> str:
     return f"({w[KIND]}{''.join(f' {x}' for x in inner)}){mark}"
 
 
-def weight(w: list) -> int:
-    """Characters of text below an element, furniture not counted."""
-    return 0 if w[FURNITURE] else w[CHARS] + sum(map(weight, w[CHILDREN]))
+def has_text(w: list) -> bool:
+    """Is there text in an element or below it, furniture not counted?"""
+    return not w[FURNITURE] and (w[CHARS] > 0 or any(map(has_text, w[CHILDREN])))
+
+
+def has_slots(w: list) -> bool:
+    """Is there text that other pages of the host lack or have differently?"""
+    if w[FURNITURE]:
+        return False
+    return (w[OPTIONAL] and has_text(w)) or w[FIXED] is None or any(map(has_slots, w[CHILDREN]))
 
 
 def article_path(w: list) -> list[str]:
-    """Kinds from the root to the element that holds the article."""
-    named = [p for tag in ARTICLE_TAGS for p in _paths(w, [], tag)]
-    if named:
-        return max(named, key=lambda p: p[0])[1]
+    """Kinds from the root to the element that holds all of the text that changes."""
+    counts = has_slots if has_slots(w) else has_text
     path: list[str] = []
-    while True:
-        whole = weight(w)
-        heavy = [c for c in w[CHILDREN] if not c[FURNITURE] and not c[REPEATED] and weight(c) >= MAIN_SHARE * whole]
+    while w[FIXED] is not None and (counts is has_slots or not w[CHARS]):
+        holders = [c for c in w[CHILDREN] if counts(c)]
         # a paragraph is not a place for an article: stop above single blocks of text
-        if not whole or not heavy or not heavy[0][CHILDREN]:
-            return path
-        w = heavy[0]
+        if len(holders) != 1 or holders[0][REPEATED] or holders[0][OPTIONAL] or not holders[0][CHILDREN]:
+            break
+        w = holders[0]
         path.append(w[KIND])
+    return path
 
 
-def _paths(w: list, path: list[str], tag: str) -> Iterator[tuple[int, list[str]]]:
-    """(text, path) of elements with a tag that holds more than a teaser would."""
-    for c in w[CHILDREN]:
-        if not c[FURNITURE]:
-            here = [*path, c[KIND]]
-            if c[KIND].split(" ")[0] == tag and weight(c):
-                yield weight(c), here
-            else:
-                yield from _paths(c, here, tag)
-
-
-def fixed_texts(w: list, path: list[str]) -> list[str]:
+def fixed_texts(w: list, path: list[str], articles: bool = True) -> list[str]:
     """Places and texts of elements that every page of a host has once and with the same text."""
     out = []
     for c in w[CHILDREN]:
-        if not c[OPTIONAL] and not c[REPEATED] and not c[FURNITURE]:
+        if not c[OPTIONAL] and not c[REPEATED] and not c[FURNITURE] and (articles or not is_article(c[KIND])):
             here = [*path, c[KIND]]
             if c[FIXED]:
                 out.append(placed(here, c[FIXED]))
-            out += fixed_texts(c, here)
+            out += fixed_texts(c, here, articles)
     return out
 
 
+def is_article(kind: str) -> bool:
+    return kind.split(" ")[0] in ARTICLE_TAGS
+
+
 def placed(path: list[str], text: str) -> str:
     return "\n".join([*path, text])
 
@@ -349,31 +347,76 @@ def varies(w: list) -> bool:
     return any(c[OPTIONAL] or c[FIXED] is None or varies(c) for c in w[CHILDREN] if not c[FURNITURE] and not c[REPEATED])
 
 
+def named_articles(w: list, path: list[str]) -> Iterator[tuple[list, list[str]]]:
+    """The ``article`` and ``main`` elements that every page of a host has once, with their places."""
+    for c in w[CHILDREN]:
+        if not c[OPTIONAL] and not c[REPEATED] and not c[FURNITURE]:
+            here = [*path, c[KIND]]
+            if is_article(c[KIND]):
+                yield c, here
+            else:
+                yield from named_articles(c, here)
+
+
 def rule(pages: int, w: list) -> dict:
     """What extraction needs of a wrapper: the article's place and the texts to leave out."""
     path = article_path(w)
-    main, on_all = w, True
+    main = w
     for kind in path:
         main = next(c for c in main[CHILDREN] if c[KIND] == kind)
-        on_all = on_all and not main[OPTIONAL] and not main[REPEATED]
-    layout = fixed_texts(main, path) if pages > 1 and on_all and varies(main) else []
+    layout = []
+    if pages > 1:
+        for place, at in named_articles(w, []):
+            layout += fixed_texts(place, at) if varies(place) else []
+        if varies(main) and not any(map(is_article, path)):
+            layout += fixed_texts(main, path, articles=False)
     return {"path": path, "layout": sorted(layout)}
 
 
+def page_articles(root: Element) -> list[tuple[Element, list[str]]]:
+    """A page's ``article`` and ``main`` elements with their places: outermost ones that are no teasers."""
+    found: list[tuple[Element, list[str], bool]] = []
+
+    def look(element: Element, path: list[str], beside: bool) -> None:
+        for item in block_children(element):
+            if item.furniture:
+                continue
+            here = [*path, item.kind]
+            if item.tag in ARTICLE_TAGS and not_linked(item):
+                found.append((item, here, beside))
+            elif item.tag not in ARTICLE_TAGS:
+                look(item, here, beside or item.cleared)
+
+    look(root, [], False)
+    inside = [f for f in found if not f[2]]
+    return [(e, path) for e, path, _ in inside or found]
+
+
+def not_linked(element: Element) -> bool:
+    """Is there text outside links and furniture?"""
+    for item in element.items:
+        if isinstance(item, str):
+            if plain(item):
+                return True
+        elif item.tag != "a" and not item.furniture and not_linked(item):
+            return True
+    return False
+
+
 def extract(html: str | None, found: dict | None) -> str:
     """Main text of one page, its blocks joined by line breaks."""
     root = read_page(html)
-    here = [root]
-    for kind in (found or {}).get("path", []):
-        next_ = [c for e in here for c in block_children(e) if c.kind == kind and not c.furniture]
-        if not next_:  # this page lacks the place: take all that is no furniture
-            here = [root]
-            break
-        here = next_
+    places = page_articles(root)
+    if not places:
+        places = [(root, [])]
+        for kind in (found or {}).get("path", []):
+            places = [(c, [*at, kind]) for e, at in places for c in block_children(e) if c.kind == kind and not c.furniture]
+        if not places:  # this page lacks the place: take all that is no furniture
+            places = [(root, [])]
     layout = Counter((found or {}).get("layout", []))
     blocks: list[str] = []
     current: list[str] = []
-    inside = bool((found or {}).get("path")) and here != [root]
+    inside = places[0][0] is not root
 
     def end(path: list[str]) -> None:
         text = plain("".join(current))
@@ -404,10 +447,9 @@ def extract(html: str | None, found: dict | None) -> str:
                 walk(item, below)
                 end(below)
 
-    for element in here:
-        top = (found or {}).get("path", []) if inside else []
-        walk(element, top)
-        end(top)
+    for element, at in places:
+        walk(element, at)
+        end(at)
     return "\n".join(blocks)
 
 

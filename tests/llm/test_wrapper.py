@@ -81,3 +81,18 @@ def test_texts_of_one_page_are_no_layout():
         assert wrapper.extract(pages[1], found) == "Title 1\nHeading 1\nText 1"
     same = ["<body><article><h1>T</h1><p>a</p><p>b</p></article></body>"] * 6
     assert wrapper.extract(same[0], wrapper.rule(6, infer(same))) == "T\na\nb"
+
+
+def test_all_places_of_the_article():
+    def texts(pages):
+        found = wrapper.rule(len(pages), infer(pages))
+        return [wrapper.extract(p, found) for p in pages]
+
+    two = [f'<body><nav>m</nav><article class="a"><p>long text {i} {i}</p></article><article class="b"><p>note {i}</p></article></body>' for i in range(6)]
+    assert texts(two) == [f"long text {i} {i}\nnote {i}" for i in range(6)]
+    slugs = [f'<body><div>Site</div><article id="s-{c}"><header><h1>T {c}</h1></header><p>text {c}</p></article><div>more {c}</div></body>' for c in "abcdef"]
+    assert texts(slugs) == [f"T {c}\ntext {c}" for c in "abcdef"]
+    boxes = [f'<body><div id="top">Site</div><div id="page"><h1>T {i}</h1><div id="intro"><p>In short {i}</p></div><div id="body"><p>a {i}{" long" * 50}</p><p>b</p></div></div></body>' for i in range(6)]
+    assert texts(boxes) == [f"T {i}\nIn short {i}\na {i}{' long' * 50}\nb" for i in range(6)]
+    cards = '<aside><article><a href="">Other</a><p>in short</p></article></aside><article class="card"><a href="">Next</a></article>'
+    assert texts([f"<body><article><p>text {i}</p></article>{cards}</body>" for i in range(2)]) == ["text 0", "text 1"]
