@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
 DataFrame; all but the last return the columns of ``documents``. Defined cases are those of the
-operators; rows without doc_id pass the duplicate stages, and texts that lost all their bytes stay
-as empty documents.
+operators; rows without doc_id pass the near-duplicate stage and are cut, each as a document of its
+own, by the passage stage; texts that lost all their bytes stay as empty documents.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators.keyed import global_rank
 from gleaner.session import ensure_checkpoint_dir
 
 # The white space of the word rule [^\x20\x09-\x0D]+.
@@ -52,6 +53,26 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(rows: DataFrame, doc_id: str, text: str, number: str, no_id: int) -> DataFrame:
+    """``rows`` with a number per document, in the order of doc_id, nulls first, then text.
+
+    Rows with one id and one text are one document; a row without id is a document of its own. Where
+    no id repeats, the id is the number and nothing is moved; else the rows are sorted once.
+    """
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(no_id))
+    if not stored(rows.groupBy(key.alias("key")).count().where("count > 1").select("key")).take(1):
+        return rows.withColumn(number, key)
+    value = F.coalesce(F.col(text), F.lit(""))
+    row, id_, digest, first = free_names(rows.withColumn(number, key), "row_", "id_", "digest", "first_")
+    marked = rows.withColumn(row, F.monotonically_increasing_id())
+    ranked = global_rank(marked, [F.col(doc_id).asc_nulls_first(), value, F.col(row)], number).drop(row)
+    ranked = ranked.withColumn(digest, F.sha2(value, 256))
+    same = ranked.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(id_), F.col(digest).alias(f"{digest}_of"))
+    same = same.agg(F.min(number).alias(first), F.count("*").alias("n")).where("n > 1").drop("n")
+    out = ranked.join(same, (F.col(doc_id) == F.col(id_)) & (F.col(digest) == F.col(f"{digest}_of")), "left")
+    return out.withColumn(number, F.coalesce(first, number)).select(*rows.columns, number)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as the word rule counts them; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -36,7 +36,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    cut = suffix.without_repeats(table(spark, folder, "documents"))
+    cut = suffix.without_repeats(table(spark, folder, "documents"), each_text=True)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return cut.select(
         "doc_id",

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.base import free_names, small_batches, stored
+from gleaner.llm.base import free_names, numbered, small_batches, stored
 from gleaner.llm.graph import components
 from gleaner.operators.keyed import spread_join
 
@@ -235,12 +235,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id.
 
-    Of rows that repeat this doc_id the one with the smallest text stays; rows without doc_id stay.
+    Texts that share a doc_id are documents of their own, the smaller text first; of rows that repeat
+    doc_id and text one stays; rows without doc_id stay.
     """
-    kept_id, nth = free_names(docs, "kept_id", "nth")
-    groups = near_groups(docs, doc_id, text, radius)
+    kept_id, nth, number = free_names(docs, "kept_id", "nth", "number_")
+    known = numbered(docs.where(F.col(doc_id).isNotNull()), doc_id, text, number, 0)
+    groups = near_groups(known, number, text, radius)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    kept = docs.join(first, docs[doc_id] == F.col(kept_id), "left_semi")
-    order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first())
-    kept = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    kept = known.join(first, F.col(number) == F.col(kept_id), "left_semi")
+    order = Window.partitionBy(number).orderBy(F.col(text).asc_nulls_first())
+    kept = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -19,9 +19,11 @@ a third of all documents sends one entry per task. A run that meets very many co
 is hot: its contexts are dealt out by context, and its windows one by one by their own hash, so no
 task gets all of them. Equality is that of two 64-bit hashes together.
 
-Defined cases: a null text is empty; texts under ``WINDOW`` bytes lose nothing; a repeated doc_id
-counts once, with its smallest text; a null doc_id is a document before all others; columns other
-than the two named ones are ignored.
+Defined cases: a null text is empty; texts under ``WINDOW`` bytes lose nothing; texts that share a
+doc_id are documents in the order of their texts, rows with equal ones are one; rows without doc_id
+are documents before all others, each of its own (``without_repeats`` counts a repeated or null id
+once, with its smallest text, unless it is told ``each_text``); columns other than the two named ones
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.base import release, small_batches, stored
+from gleaner.llm.base import numbered, release, small_batches, stored
 
 WINDOW = 100
 DIGIT = 32
@@ -476,9 +478,27 @@ def covered_by_doc(rows: DataFrame, per_bucket: int) -> DataFrame:
     return spans.groupBy("doc").agg(F.collect_list(mark).alias("marks"))
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_bucket: int = PER_BUCKET) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept), one row per id: removed runs of bytes and the bytes that stay."""
+def searched_once(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc, text, further columns) with one row per number; only repeated ones are shuffled."""
+    twice = stored(rows.groupBy("doc").count().where("count > 1").select("doc"))
+    if not twice.take(1):
+        return rows
+    again = rows.join(twice, "doc", "left_semi").dropDuplicates(["doc"])
+    return rows.join(twice, "doc", "left_anti").select(*rows.columns).unionByName(again)
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_bucket: int = PER_BUCKET, each_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept): removed runs of bytes and the bytes that stay.
+
+    One row per id or, with ``each_text``, one row per document: per row without id, and per text of an id.
+    """
     small_batches(docs.sparkSession)
+    if each_text:
+        rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        rows = searched_once(numbered(rows, "id", "text", "doc", NO_ID))
+        marked = rows.join(covered_by_doc(rows, per_bucket), "doc", "left")
+        cut = marked.select(F.col("id").alias("doc"), "text", "marks").mapInArrow(cut_texts, KEPT_DDL)
+        return cut.withColumnRenamed("doc", "doc_id")
     rows = doc_rows(docs, doc_id, text)
     if (chosen := repeated_ids(rows)) is not None:
         single = rows.join(chosen, "doc", "left_anti")
@@ -507,28 +527,17 @@ def cut_text(text: Column, marks_of: Column) -> Column:
 
 
 def cut_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_bucket: int = PER_BUCKET) -> DataFrame:
-    """``docs`` with repeated windows cut out of their texts; rows and other columns stay.
-
-    Of rows that repeat an id with different texts, only those with the smallest text are cut.
-    """
+    """``docs`` with repeated windows cut out of their texts; rows and other columns stay."""
     small_batches(docs.sparkSession)
     all_columns = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
     rows = docs.select(all_columns).select(
-        F.coalesce(F.col("row")[doc_id].cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.col("row")[doc_id].cast("long").alias("id"),
         F.coalesce(F.col("row")[text], F.lit("")).alias("text"),
         F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c != text]).alias("rest"),
         F.col("row")[text].isNull().alias("no_text"),
     )
-    chosen = repeated_ids(rows)
-    searched = rows
-    if chosen is not None:
-        once = chosen.select("doc", F.col("chosen").alias("text"))
-        searched = rows.join(chosen, "doc", "left_anti").select("doc", "text").unionByName(once)
-    out = rows.join(covered_by_doc(searched, per_bucket), "doc", "left")
-    if chosen is not None:
-        out = out.join(chosen, "doc", "left")
-        same = F.col("chosen").isNull() | (F.col("chosen") == F.col("text"))
-        out = out.withColumn("marks", F.when(same, F.col("marks")))
+    rows = numbered(rows, "id", "text", "doc", NO_ID)
+    out = rows.join(covered_by_doc(searched_once(rows), per_bucket), "doc", "left")
     left = F.when(~F.col("no_text"), cut_text(F.col("text"), F.col("marks")))
     return out.select("rest", left.alias("left")).select(
         *[F.col("left" if c == text else f"rest.`{c}`").alias(c) for c in docs.columns]

@@ -93,3 +93,9 @@ def test_odd_rows(odd_documents, no_documents):
     assert kept.columns == odd_documents.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 5, 7, 8, 9]
     assert simhash.near_groups(no_documents).count() == 0 and simhash.keep_one(no_documents).count() == 0
+
+
+def test_unlike_texts_of_an_id_stay(spark):
+    a, b = " ".join(f"alpha{i}" for i in range(80)), " ".join(f"beta{7 * i}" for i in range(80))
+    df = spark.createDataFrame([(5, a), (5, a), (5, b), (6, b), (7, a)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(df).collect()) == [(5, a), (5, b)]

@@ -102,3 +102,17 @@ def test_kept_digest_of_the_query(spark):
         n, spans, kept = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (n, n - len(kept), len(spans))
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_every_text_of_an_id_is_searched(spark):
+    rng = np.random.default_rng(5)
+    a, b, c, d = ("".join(rng.choice(list("abcdefgh "), n)) for n in (200, 220, 240, 260))
+    rows = [(None, a), (None, a), (None, "x" + b), (1, b + "y"), (1, c), (1, c), (1, None), (2, "z" + c), (3, d), (3, "9" + d), (4, d + a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = sorted([*rows[:5], *rows[6:]], key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = {i: plain_cut([(j, t) for j, (_, t) in enumerate(documents)])[i] for i in range(len(documents))}
+    got = [(r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in suffix.without_repeats(df, each_text=True).collect()]
+    assert sorted(got, key=str) == sorted(((documents[i][0], w[0], tuple(w[1]), w[2]) for i, w in want.items()), key=str)
+    left = [(r.doc_id, r.text) for r in suffix.cut_documents(df).collect()]
+    kept = [(documents[i][0], None if documents[i][1] is None else w[2].decode()) for i, w in want.items()]
+    assert sorted(left, key=str) == sorted([*kept, (1, c)], key=str)
