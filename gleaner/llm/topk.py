@@ -12,7 +12,8 @@ the hash of their id, and every (shard, block) pair is one row of an equi-join.
 broadcast; the driver sees two counts.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows without id,
-take no part; shorter vectors end in zeros; of rows that repeat an id the smallest vector counts;
+take no part; shorter vectors end in zeros; rows with one id and other vectors are
+candidates each, and queries whose scores are ranked together; rows that repeat both count once;
 ties go to the smaller id; a query's own id is no candidate; fewer than k candidates are all
 returned. Columns other than the two named ones are ignored.
 """
@@ -61,10 +62,11 @@ PACKED = "part int, n int, ids binary, vectors binary"
 
 
 def pack(key: int, frame: pd.DataFrame) -> pd.DataFrame:
-    """One row for the vectors of a shard or block, smallest vector of each id."""
+    """One row for the vectors of a shard or block, each (id, vector) once."""
     x, ids = matrix(list(frame["vector"])), frame["vec_id"].to_numpy(dtype=np.int64)
     order = np.lexsort((*x.T[::-1], ids))
-    first = np.append(True, ids[order][1:] != ids[order][:-1])
+    ids_, x_ = ids[order], x[order]
+    first = np.append(True, (ids_[1:] != ids_[:-1]) | (x_[1:] != x_[:-1]).any(axis=1))
     kept = order[first]
     return pd.DataFrame({"part": [key], "n": [len(kept)], "ids": [ids[kept].tobytes()], "vectors": [x[kept].tobytes()]})
 

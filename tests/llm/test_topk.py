@@ -53,3 +53,12 @@ def test_odd_rows(spark, per):
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
     assert len(topk.top_k(df.where("vec_id < 3"), F.lit(True)).collect()) == 6
+
+
+def test_every_vector_of_an_id_is_a_candidate(spark):
+    rows = [(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (3, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 3 == 0, k=3).collect()
+    one = 256 * 256
+    want = [(0, 1, 1, 3 * one), (0, 2, 2, 2 * one), (0, 3, 3, one // 2), (3, 1, 1, 3 * one // 2), (3, 2, 2, one), (3, 3, 0, one // 2)]
+    assert sorted(map(tuple, got)) == want
