@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import chat, langid, mixing, packing, quality, simhash, sqltext, suffix, topk, urls, wrapper
+from gleaner.llm import chat, codes, langid, mixing, packing, quality, simhash, spelling, sqltext, substrings, suffix, topk, urls, wrapper
 from gleaner.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,22 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     rows = wrapper.main_text(table(spark, folder, "pages"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op11_substring_dedup", sqltext.OP11)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.without_passages(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_vector_codes", sqltext.OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = codes.encode(table(spark, folder, "embeddings"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+@query("op13_spelling_variants", sqltext.OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"))

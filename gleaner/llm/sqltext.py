@@ -119,3 +119,104 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  min(n) FILTER (state || '>' || role NOT IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS first_bad_turn
 FROM o GROUP BY conv_id
 """
+
+# Every window as a string; words in a window that exists twice go.
+OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM d, unnest(range(1, len(w) - 33)) AS x(i) WHERE len(w) >= 35),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1),
+edges AS (SELECT doc_id, i AS k, 1 AS step FROM twice UNION ALL SELECT doc_id, i + 35, -1 FROM twice),
+words AS (SELECT doc_id, k, w[k] AS word FROM d, unnest(range(1, len(w) + 1)) AS x(k)),
+marked AS (
+ SELECT doc_id, k, word, sum(step) OVER (PARTITION BY doc_id ORDER BY k, word IS NULL DESC ROWS UNBOUNDED PRECEDING) > 0 AS gone
+ FROM (SELECT doc_id, k, word, 0 AS step FROM words UNION ALL SELECT doc_id, k, NULL, step FROM edges)
+), kept AS (
+ SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (NOT gone) AS kept
+ FROM marked WHERE word IS NOT NULL GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+# Every part with every entry of its position, twice moved.
+_CODES_ROUND = """
+a{r} AS MATERIALIZED (
+ SELECT vec_id, position, any_value(part) AS part, arg_min(entry, d::HUGEINT * 64 + entry) AS entry, min(d) AS d FROM (
+  SELECT p.vec_id, p.position, p.part, entry, list_sum(list_transform(list_zip(p.part, c.part), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d
+  FROM p JOIN c{r} AS c USING (position)
+ ) GROUP BY vec_id, position
+)"""
+_CODES_MOVE = """
+m{r} AS (
+ SELECT position, entry, k, sum(part[k])::BIGINT AS s, count(*) AS n FROM a{r}, unnest(range(1, len(part) + 1)) AS x(k) GROUP BY position, entry, k
+), c{next} AS MATERIALIZED (
+ SELECT c.position, c.entry, coalesce(new.part, c.part) AS part FROM c{r} AS c LEFT JOIN (
+  SELECT position, entry, list((s - ((s % n) + n) % n) // n ORDER BY k) AS part FROM m{r} GROUP BY position, entry
+ ) AS new USING (position, entry)
+)"""
+OP12 = (
+    """
+WITH v AS (
+ SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+ SELECT vec_id, i AS position, list_slice(e, i * (len(e) // 16) + 1, (i + 1) * (len(e) // 16)) AS part FROM v, unnest(range(16)) AS x(i)
+), c0 AS MATERIALIZED (
+ SELECT position, row_number() OVER (PARTITION BY position ORDER BY vec_id) - 1 AS entry, part FROM p QUALIFY entry < 64
+),"""
+    + ",".join(
+        _CODES_ROUND.format(r=r) + ("," + _CODES_MOVE.format(r=r, next=r + 1) if r < 2 else "") for r in range(3)
+    )
+    + """,
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY position) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+digest AS (
+ SELECT sha256(string_agg(part[k]::VARCHAR, ',' ORDER BY position, entry, k)) AS codebooks_sha256
+ FROM c2, unnest(range(1, len(part) + 1)) AS x(k)
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), digest
+"""
+)
+
+# crc32 is a sum without carry: of what each byte adds at its distance from the end, and of what the
+# length adds. Near words by their spellings less one letter.
+OP13 = r"""
+WITH RECURSIVE bits(b, k, v) AS (
+ SELECT b, 0, b FROM range(256) AS x(b)
+ UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), tab AS MATERIALIZED (SELECT b, v FROM bits WHERE k = 8),
+found AS (
+ SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+ FROM documents
+), r AS MATERIALIZED (
+ SELECT row_number() OVER () AS id, run, n, coalesce(doc_id::VARCHAR, '') || ':' || run AS message
+ FROM (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY doc_id, run)
+), most AS (SELECT max(strlen(message)) AS n FROM r),
+far(b, k, v) AS (
+ SELECT b, 0, v FROM tab UNION ALL SELECT far.b, k + 1, xor(far.v >> 8, tab.v) FROM far JOIN tab ON tab.b = far.v & 255 WHERE k < (SELECT n FROM most)
+), start(k, v) AS (
+ SELECT 0, 4294967295 UNION ALL SELECT k + 1, xor(start.v >> 8, tab.v) FROM start JOIN tab ON tab.b = start.v & 255 WHERE k < (SELECT n FROM most)
+), bytes AS (
+ SELECT id, strlen(message) - i AS k, ('0x' || substr(hex(encode(message)), 2 * i - 1, 2))::BIGINT AS b FROM r, unnest(range(1, strlen(message) + 1)) AS x(i)
+), h AS (
+ SELECT r.id, run, n, xor(xor(bit_xor(far.v), any_value(start.v)), 4294967295) AS h
+ FROM bytes JOIN far USING (b, k) JOIN r USING (id) JOIN start ON start.k = strlen(message) GROUP BY r.id, run, n
+), words AS (
+ SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h
+), voc AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM voc, unnest(range(1, length(word) + 1)) AS x(i)),
+near AS MATERIALIZED (
+ SELECT a.word, b.word AS other FROM less AS a JOIN less AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+ UNION SELECT less.word, voc.word FROM less JOIN voc ON rest = voc.word
+ UNION SELECT voc.word, less.word FROM less JOIN voc ON rest = voc.word
+), best AS (
+ SELECT near.word, count(*) AS n_near, arg_min(other, row(-o.n, other)) AS form, max(o.n) AS form_n FROM near JOIN voc AS o ON other = o.word GROUP BY near.word
+), formed AS MATERIALIZED (
+ SELECT voc.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+ FROM voc LEFT JOIN best USING (word)
+), way(word, reached, k) AS (
+ SELECT word, form, 1 FROM formed WHERE form IS NOT NULL
+ UNION ALL SELECT way.word, formed.form, k + 1 FROM way JOIN formed ON reached = formed.word WHERE formed.form IS NOT NULL
+), root AS (SELECT word, arg_max(reached, k) AS root FROM way GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN root USING (word)
+"""
