@@ -277,3 +277,13 @@ def _strip_markup(page: Column, max_chars: int | None) -> Column:
     out = F.translate(_unescaped(out), "\u00a0", " ")
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     return F.substring(out, 1, max_chars) if max_chars else out
+
+
+def json_array(values: Column) -> Column:
+    """A list as it is stored: JSON text, null for an empty one."""
+    return F.when(F.size(values) > 0, F.to_json(values))
+
+
+def array_of_json(text: Column) -> Column:
+    """The list that was stored; null and unreadable texts are empty ones."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

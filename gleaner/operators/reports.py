@@ -68,16 +68,44 @@ def deadline_counters(df: DataFrame, today: date) -> DataFrame:
     )
 
 
-def scan_counters(flagged: DataFrame) -> DataFrame:
-    """One aggregate over the flagged rows of a scan."""
-    return flagged.agg(
-        F.count("*").alias("seen"),
-        F.count_if("cross_duplicate").alias("cross_duplicates"),
-        F.count_if("is_new").alias("new"),
-        F.count_if(F.col("is_new") & F.col("exclude_reason").isNotNull()).alias("excluded"),
-        F.count_if("notify").alias("notified"),
-        F.count_distinct("source").alias("sources"),
-    )
+def scan_metrics() -> dict[str, Column]:
+    """Counters of the flagged rows of a scan, to be observed on the pass that writes them."""
+    return {
+        "seen": F.count("*"),
+        "cross_duplicates": F.count_if("cross_duplicate"),
+        "new": F.count_if("is_new"),
+        "excluded": F.count_if(F.col("is_new") & F.col("exclude_reason").isNotNull()),
+        "notified": F.count_if("notify"),
+        # as many entries as there are sources
+        "sources": F.size(F.collect_set("source")).cast("bigint"),
+    }
+
+
+def rescore_metrics(threshold: float) -> dict[str, Column]:
+    """Counters of a rescoring, over rows with exclude_reason and score."""
+    kept = F.col("exclude_reason").isNull()
+    return {
+        "rescored": F.count_if(kept),
+        "re_excluded": F.count_if(~kept),
+        "above": F.count_if(kept & (F.col("score") >= threshold)),
+    }
+
+
+def batch_metrics() -> dict[str, Column]:
+    """Counters of an application batch, over rows with unsuitable_reason and method."""
+    ok = F.col("unsuitable_reason").isNull()
+    return {
+        "scanned": F.count("*"),
+        "unsuitable": F.count_if(~ok),
+        "applied": F.count_if(ok),
+        "emails": F.count_if(ok & (F.col("method") == "email")),
+        "portals": F.count_if(ok & F.col("method").isin("portal", "linkedin", "indeed")),
+    }
+
+
+def counted(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """One row of counters over rows that are not written; where they are, ``observe`` the same metrics."""
+    return df.agg(*[m.alias(name) for name, m in metrics.items()])
 
 
 def ranked_table(df: DataFrame, threshold: float) -> DataFrame:

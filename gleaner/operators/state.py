@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,39 +12,47 @@ from gleaner.functions import rules as R
 from gleaner.operators.keyed import anti_join
 
 
+def first_and_longest(batch: DataFrame, key: str = "id", arrival: str = "arrival") -> DataFrame:
+    """One row per key of a batch: the first arrival, with the longest description."""
+    columns = [c for c in batch.columns if c != key]
+    longest = F.min_by(F.struct("description"), F.struct(F.coalesce(-F.length("description"), F.lit(1)).alias("n"), F.col(arrival)))
+    folded = batch.groupBy(key).agg(F.min_by(F.struct(*columns), F.col(arrival)).alias("_row"), longest.alias("_text"))
+    return folded.select(*[
+        F.col(key) if c == key else F.col("_text.description" if c == "description" else f"_row.{c}").alias(c) for c in batch.columns
+    ])
+
+
+def longer_text(old: Column, new: Column) -> Column:
+    """The stored description unless a strictly longer one has come."""
+    return F.when(F.coalesce(F.length(new) > F.length(old), old.isNull()), new).otherwise(old)
+
+
+def keep_longest(joined: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of a full outer join of stored rows (struct ``old``) with a batch's (struct ``new``): a stored row
+    stays and takes a strictly longer description, a new one is inserted as it is."""
+    stored = F.col("old").isNotNull()
+    given = joined.schema["new"].dataType.names
+
+    def pick(c: str) -> Column:
+        new = F.col(f"new.{c}") if c in given else F.lit(None)
+        if c == "description":
+            return F.when(stored, longer_text(F.col("old.description"), new)).otherwise(new).alias(c)
+        return F.when(stored, F.col(f"old.{c}")).otherwise(new).alias(c)
+
+    return joined.select(*[pick(c) for c in columns], (~stored).alias("is_new"))
+
+
 def upsert_longest(state: DataFrame, batch: DataFrame, key: str = "id", arrival: str = "arrival") -> DataFrame:
     """Insert new keys; a known key keeps its stored row but takes a strictly longer description.
 
-    State rows come before batch rows, batch rows in arrival order. Only stored rows whose key is in
-    the batch are merged; all others pass as they are, so a small batch (a stored one, whose size the
-    planner knows) shuffles no more of the state than it touches.
+    The batch is folded to one row per key, map-side first, and met with the state in one full outer
+    join, so the state is read once. A state that is bucketed by the key is not shuffled
+    (``sources.keyed_table`` keeps such tables and rewrites the touched buckets only).
     """
-    keys = batch.select(F.col(key).alias("_key")).distinct()
-    touched = state[key] == F.col("_key")
-    untouched = state.join(keys, touched, "left_anti").withColumn("is_new", F.lit(False))
-    merged = _merge_longest(state.join(keys, touched, "left_semi"), batch, key, arrival)
-    return merged.unionByName(untouched, allowMissingColumns=True)
-
-
-def _merge_longest(state: DataFrame, batch: DataFrame, key: str, arrival: str) -> DataFrame:
-    both = state.withColumn("_gen", F.lit(0)).unionByName(
-        batch.withColumn("_gen", F.lit(1)), allowMissingColumns=True
-    )
-    order = F.struct("_gen", arrival)
-    longest = F.min_by(
-        F.struct("description"),
-        F.struct((-F.length("description")).alias("n"), F.col("_gen"), F.col(arrival)),
-    )
-    columns = [c for c in both.columns if c not in ("_gen", key)]
-    merged = both.groupBy(key).agg(
-        F.min_by(F.struct(*columns), order).alias("_row"),
-        longest.alias("_text"),
-        F.min("_gen").alias("_first_gen"),
-    )
-    picked = [
-        F.col("_text.description") if c == "description" else F.col(f"_row.{c}") for c in columns
-    ]
-    return merged.select(key, *picked, (F.col("_first_gen") == 1).alias("is_new"))
+    old = state.select(F.col(key).alias("_old"), F.struct(*state.columns).alias("old"))
+    folded = first_and_longest(batch, key, arrival)
+    new = folded.select(F.col(key).alias("_new"), F.struct(*folded.columns).alias("new"))
+    return keep_longest(old.join(new, F.col("_old") == F.col("_new"), "full"), state.columns)
 
 
 def reject_statuses(events: DataFrame) -> DataFrame:
@@ -102,20 +110,27 @@ def alert_when_min(matched: DataFrame, minimum: int) -> DataFrame:
     return matched.where(n >= minimum)
 
 
-def alert_log_row(matched: DataFrame, filter_json: str, key: str = "arrival", chunk: int = 10_000) -> DataFrame:
-    """Log rows of an alert batch: the total, and the ids as JSON in chunks of bounded size."""
-    n = matched.agg(F.count("*").alias("n")).scalar()
-    part = F.pmod(F.xxhash64(key), F.greatest(F.ceil(n / F.lit(chunk)), F.lit(1)).cast("bigint"))
-    return (
-        matched.groupBy(part.alias("chunk"))
-        .agg(F.sort_array(F.collect_list(key)).alias("_ids"))
-        .select(
-            "chunk",
-            n.cast("bigint").alias("matched_count"),
-            F.to_json("_ids").alias("jobs_alerted"),
-            F.lit(filter_json).alias("filter_used"),
-        )
-    )
+def alert_log_row(matched: DataFrame, filter_json: str, key: str = "arrival", chunk: int | None = None) -> DataFrame:
+    """The log row of an alert batch: the total, and all ids as JSON.
+
+    ``chunk`` asks for several rows of about so many ids each, for alerts too large for one row.
+    """
+    parts = F.lit(1) if chunk is None else F.greatest(F.ceil(matched.agg(F.count("*")).scalar() / F.lit(chunk)), F.lit(1))
+    part = F.pmod(F.xxhash64(key), parts.cast("bigint"))
+    logged = matched.groupBy(part.alias("chunk")).agg(F.sort_array(F.collect_list(key)).alias("_ids"), F.count("*").alias("_n"))
+    total = F.col("_n") if chunk is None else matched.agg(F.count("*")).scalar()
+    return logged.select("chunk", total.cast("bigint").alias("matched_count"), F.to_json("_ids").alias("jobs_alerted"), F.lit(filter_json).alias("filter_used"))
+
+
+def send_alert(matched: DataFrame, send: Callable[[DataFrame], bool], filter_json: str, key: str = "arrival") -> DataFrame:
+    """Hand the matched rows to a sender, and return the log rows of what was sent: none if it refused."""
+    log = alert_log_row(matched, filter_json, key)
+    return log if send(matched) else log.where("false")
+
+
+def applications(statuses: DataFrame) -> DataFrame:
+    """Folded status rows that have a status, with what an overview shows of them."""
+    return statuses.where(F.col("application_status").isNotNull())
 
 
 def alert_join_back(log: DataFrame, postings: DataFrame, key: str = "arrival") -> DataFrame:

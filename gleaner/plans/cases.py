@@ -3,12 +3,15 @@ text for another engine. Dates leave as text and floats rounded, so results comp
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.plans.views import Tables, oracle_views
+from gleaner.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +27,10 @@ def case(name: str, sql: str | None = None):
     return register
 
 
+def fresh_folder(t: Tables, name: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(t.spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -49,4 +56,4 @@ def has_any(haystack: str, values) -> str:
     return f"len(list_filter({sql_list(values)}, lambda v: contains({haystack}, v))) > 0"
 
 
-__all__ = ["ORACLES", "QUERIES", "Tables", "case", "first_in", "has_any", "r6", "sql_list", "sql_text", "text"]
+__all__ = ["ORACLES", "QUERIES", "Tables", "case", "first_in", "fresh_folder", "has_any", "r6", "sql_list", "sql_text", "text"]

@@ -248,12 +248,6 @@ def _(t: Tables) -> DataFrame:
         rows.write.mode("overwrite").json(folder)
         return True
 
-    return alert(t.postings.where(c("score") >= 0.9).select("arrival", "title"), send)
-
-
-def alert(matched: DataFrame, send) -> DataFrame:
-    """Send, and return the log rows of what was sent (none when the sender refused)."""
-    log = state.alert_log_row(matched, json.dumps({"min_score": 0.9}))
-    return log.select("matched_count", "jobs_alerted", "filter_used") if send(matched) else log.limit(0).select(
-        "matched_count", "jobs_alerted", "filter_used"
-    )
+    matched = t.postings.where(c("score") >= 0.9).select("arrival", "title")
+    log = state.send_alert(matched, send, json.dumps({"min_score": 0.9}))
+    return log.select("matched_count", "jobs_alerted", "filter_used")

@@ -239,7 +239,7 @@ f AS (SELECT v.posting_id, any_value(v.status) FILTER (v.n = cl.last) AS applica
     FOLD + "SELECT posting_id, application_status, strftime(applied_at, '%Y-%m-%d %H:%M:%S') AS applied_at FROM f WHERE application_status IS NOT NULL",
 )
 def _(t: Tables) -> DataFrame:
-    s = state.status_updates(t.status_events).where(c("application_status").isNotNull())
+    s = state.applications(state.status_updates(t.status_events))
     return s.select("posting_id", "application_status", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss").alias("applied_at"))
 
 
@@ -612,9 +612,8 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     s = t.postings.select("arrival", X.skills(c("title"), c("description"), c("company")).alias("_s"))
-    stored = s.select("arrival", F.when(F.size("_s") > 0, F.to_json("_s")).alias("skills_json"))
-    back = F.coalesce(F.from_json("skills_json", "array<string>"), F.array().cast("array<string>"))
-    return stored.select("arrival", "skills_json", F.size(back).cast("bigint").alias("n"))
+    stored = s.select("arrival", X.json_array(c("_s")).alias("skills_json"))
+    return stored.select("arrival", "skills_json", F.size(X.array_of_json(c("skills_json"))).cast("bigint").alias("n"))
 
 
 CHECKED = "CASE page_id % 6 WHEN 0 THEN 'indeed' WHEN 1 THEN 'x_icims' WHEN 2 THEN 'jobbank' WHEN 3 THEN source ELSE 'talent' END"

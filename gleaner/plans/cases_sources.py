@@ -15,7 +15,7 @@ from gleaner.operators import documents as DOC
 from gleaner.operators import filters, identity, reports, state
 from gleaner.operators.keyed import anti_join
 from gleaner.plans import sqltext as S
-from gleaner.plans.cases import Tables, case, r6, sql_list, text
+from gleaner.plans.cases import Tables, case, fresh_folder, r6, sql_list, text
 from gleaner.sources import feeds, listings, tables
 
 NAV = {"web": listings.ListingSpec(["nav li"], link="a")}
@@ -367,9 +367,10 @@ def _(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("letter_path"), F.lit("dry_run").alias("action"),
         F.array().cast("array<string>").alias("validation_warnings"), F.lit(None).cast("string").alias("error"),
     )
-    audit = tables.audit_rows(rows)
-    # the arrival column is not part of the log line; it joins back by id
-    return audit.join(rows.select("arrival", "job_id"), "job_id").select(
+    folder = fresh_folder(t, "audit")
+    tables.append_audit_log(rows, folder, "arrival")
+    log = tables.read_audit_log(t.spark, folder, "arrival bigint")
+    return log.select(
         "arrival", "timestamp", "job_id", "title", "method", "match_score", "suitability_score", "action", "recipient",
         F.to_json("validation_warnings").alias("validation_warnings"),
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -17,9 +15,9 @@ from gleaner.functions import text as X
 from gleaner.operators import documents as DOC
 from gleaner.operators import filters, identity, reports, scoring, state
 from gleaner.plans import sqltext as S
-from gleaner.plans.cases import Tables, case, r6, text
+from gleaner.plans.cases import Tables, case, fresh_folder, r6, text
 from gleaner.plans.cases_filters import _QUEUE, MIN_DATE, TODAY, FOLD, with_extracts
-from gleaner.session import ensure_checkpoint_dir
+from gleaner.sources.keyed_table import KeyedTable
 from gleaner.streaming import scan
 
 c = F.col
@@ -201,13 +199,8 @@ SELECT count(*) FILTER (reason IS NULL) AS rescored, count(reason) AS re_exclude
 """,
 )
 def _(t: Tables) -> DataFrame:
-    r = filters.exclude_with_reason(filters.rescore_set(t.postings), P.ExcludeRules())
-    kept = c("exclude_reason").isNull()
-    return r.agg(
-        F.count_if(kept).alias("rescored"),
-        F.count_if(~kept).alias("re_excluded"),
-        F.count_if(kept & (c("score") >= 0.17)).alias("above"),
-    )
+    rescored = filters.exclude_with_reason(filters.rescore_set(t.postings), P.ExcludeRules())
+    return reports.counted(rescored, reports.rescore_metrics(0.17))
 
 
 _APPLY = f"""
@@ -229,14 +222,7 @@ def candidates(t: Tables) -> DataFrame:
     + """SELECT count(*) AS scanned, count(*) FILTER (NOT ok) AS unsuitable, count(*) FILTER (ok) AS applied, count(*) FILTER (ok AND method = 'email') AS emails, count(*) FILTER (ok AND method IN ('portal', 'linkedin', 'indeed')) AS portals FROM m""",
 )
 def _(t: Tables) -> DataFrame:
-    ok = c("unsuitable_reason").isNull()
-    return candidates(t).agg(
-        F.count("*").alias("scanned"),
-        F.count_if(~ok).alias("unsuitable"),
-        F.count_if(ok).alias("applied"),
-        F.count_if(ok & (c("method") == "email")).alias("emails"),
-        F.count_if(ok & c("method").isin("portal", "linkedin", "indeed")).alias("portals"),
-    )
+    return reports.counted(candidates(t), reports.batch_metrics())
 
 
 @case(
@@ -370,6 +356,41 @@ def _(t: Tables) -> DataFrame:
     return state.upsert_longest(stored, batch).select("id", "title", "description", "is_new")
 
 
+_UPSERTED = f"""
+WITH s AS (SELECT arrival AS id, * FROM (SELECT arrival, source, title, description FROM stored)), b AS (SELECT arrival AS id, * FROM ({_BATCH}))
+SELECT coalesce(s.id, b.id) AS id, coalesce(s.title, b.title) AS title, CASE WHEN s.id IS NOT NULL AND length(b.description) > length(s.description) THEN b.description ELSE coalesce(s.description, b.description) END AS description,
+ CASE WHEN s.id IS NULL THEN 1 ELSE 0 END AS inserted FROM s FULL JOIN b USING (id)
+"""
+BUCKETS = 8
+
+
+@case("upsert_longest_stored", _UPSERTED)
+def _(t: Tables) -> DataFrame:
+    """The same on a keyed table: touched buckets are rewritten, then the manifest is swapped."""
+    schema = "id bigint, arrival bigint, source string, title string, description string, inserted int"
+    table = KeyedTable(t.spark, fresh_folder(t, "upsert"), schema, "id", BUCKETS)
+    rows = t.stored.select(c("arrival").alias("id"), "arrival", "source", "title", "description", F.lit(0).alias("inserted"))
+    table.append(rows, 0)
+    batch = t.derive(_BATCH).withColumns({"id": c("arrival"), "inserted": F.lit(1)})
+    table.upsert(state.first_and_longest(batch), 1, lambda both: state.keep_longest(both, table.columns))
+    return table.read().select("id", "title", "description", "inserted")
+
+
+@case(
+    "anti_known_hash_stored",
+    f"""
+WITH a AS ({_HASHED} arrived), k AS ({_HASHED} stored)
+SELECT min(arrival) AS arrival, job_hash FROM a WHERE job_hash NOT IN (SELECT job_hash FROM k) GROUP BY job_hash
+""",
+)
+def _(t: Tables) -> DataFrame:
+    """The history in a keyed table: filters first, then only the buckets that may hit."""
+    table = KeyedTable(t.spark, fresh_folder(t, "hashes"), "job_hash string", "job_hash", BUCKETS)
+    table.append(identity.with_identity(t.stored).select("job_hash").distinct(), 0)
+    a = identity.with_identity(t.arrived).select("arrival", "job_hash")
+    return identity.anti_known_hash(a, table.known(a))
+
+
 @case(
     "hash_registry",
     f"""
@@ -515,7 +536,11 @@ def _(t: Tables) -> DataFrame:
  count(*) FILTER (final >= 0.4) AS notified, count(DISTINCT source) AS sources FROM done""",
 )
 def _(t: Tables) -> DataFrame:
-    return reports.scan_counters(scanned(t))
+    """The counters are observed while the rows of the scan are written."""
+    known = identity.with_identity(t.stored).select("id", "job_hash")
+    _, n = scan.scan_once(t.arrived.drop("deadline"), known, query_row(t), SCAN)
+    names = ["seen", "cross_duplicates", "new", "excluded", "notified", "sources"]
+    return t.spark.createDataFrame([tuple(getattr(n, name) for name in names)], ", ".join(f"{name} bigint" for name in names))
 
 
 @case(
@@ -534,10 +559,6 @@ def _(t: Tables) -> DataFrame:
 # -- streams ------------------------------------------------------------------------------
 
 
-def fresh_folder(t: Tables, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(t.spark), f"{name}-{uuid.uuid4().hex}")
-
-
 def _stream_scan(t: Tables, rounds: int | None = None) -> DataFrame:
     folder = fresh_folder(t, "scan")
     orders = t.spark.readStream.schema(t.orders.schema).option("pathGlobFilter", "orders.parquet").parquet(t.folder)

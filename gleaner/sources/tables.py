@@ -79,14 +79,24 @@ def master_items(master: DataFrame) -> DataFrame:
     )
 
 
-def append_audit_log(df: DataFrame, path: str) -> None:
-    """JSON lines; the recipient is kept for e-mail only."""
-    audit_rows(df).write.mode("append").json(path)
+AUDIT_SCHEMA = (
+    "timestamp string, job_id string, title string, company string, method string, match_score double,"
+    " suitability_score double, letter_path string, action string, recipient string, validation_warnings array<string>, error string"
+)
+
+
+def append_audit_log(df: DataFrame, path: str, *carried: str) -> None:
+    """JSON lines; the recipient is kept for e-mail only. ``carried`` columns are logged as well."""
+    audit_rows(df, *carried).write.mode("append").json(path)
+
+
+def read_audit_log(spark: SparkSession, path: str, carried: str = "") -> DataFrame:
+    return spark.read.schema(", ".join(x for x in (carried, AUDIT_SCHEMA) if x)).json(path)
 
 
-def audit_rows(df: DataFrame) -> DataFrame:
+def audit_rows(df: DataFrame, *carried: str) -> DataFrame:
     return df.select(
-        "timestamp", "job_id", "title", "company", "method", "match_score", "suitability_score",
+        *carried, "timestamp", "job_id", "title", "company", "method", "match_score", "suitability_score",
         "letter_path", "action",
         F.when(F.col("method") == "email", F.col("target")).alias("recipient"),
         "validation_warnings",
@@ -101,6 +111,7 @@ def write_texts(df: DataFrame, path: str, text: str, by: str) -> None:
 
 __all__ = [
     "ITEM_TYPE", "MASTER_SCHEMA", "POSTING_SCHEMA", "append_audit_log", "audit_rows", "conform",
+    "read_audit_log",
     "master_items", "read_master", "read_postings", "read_text_files", "write_postings",
     "write_texts",
 ]

@@ -95,3 +95,77 @@ def test_history_is_not_shuffled(spark, tmp_path):
     hits = known_of(spark.read.parquet(path), batch, "job_hash")
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and hits.count() == 5
+
+
+def test_tail_and_counters_are_the_scans_own(spark, tmp_path):
+    from gleaner import params as P
+
+    query = spark.createDataFrame([(0, "python data lab")], "query_id int, text string")
+    state = scan.ScanState(spark, str(tmp_path / "state"), buckets=4)
+    sent, told = [], []
+
+    def send(df):
+        sent.append(sorted(r["id"] for r in df.collect()))
+        return len(sent) < 3
+
+    tail = scan.ScanTail(
+        export_from=0.4, tailor=lambda df: df.where("title <> 'Data clerk 3'").select("id", F.concat(F.lit("for "), "title").alias("resume")),
+        top_n=4, alert=P.RecordFilter(excluded_keywords=["clerk 4"]), min_matches=2, send=send,
+    )
+    run = scan.scan_micro_batch(state, query, SCAN, lambda df, i: told.append((i, df.count())), tail, lambda i: i)
+    everything, top = [], []
+    for b, numbers in enumerate([range(0, 20), range(20, 40), range(40, 60)]):
+        batch = spark.createDataFrame(rows(numbers), SCHEMA)
+        run(batch, b)
+        if b == 1:  # the batch runs again, as after a failure
+            sent.pop()
+            run(batch, b)
+        stored = state.postings.read(b + 1).join(state.postings.read(b).select("id"), "id", "left_anti").collect()
+        everything += stored
+        n = state.read("counters", f"{scan.COUNTERS}").collect()
+        assert len(n) == b + 1
+        n = next(r for r in n if r["errors"] == b)
+        assert n["seen"] == n["cross_duplicates"] + n["new"] + (n["seen"] - n["cross_duplicates"] - n["new"]) and n["sources"] == 2
+        assert n["new"] == len(stored) and n["excluded"] == sum(r["exclude_reason"] is not None for r in stored)
+        assert n["notified"] == sum(r["score"] >= SCAN.threshold for r in stored) and told[-1] == (b, n["notified"])
+        assert n["exported"] == sum(r["score"] >= 0.4 for r in stored)
+        matching = sorted(r["id"] for r in stored if "clerk 4" not in r["title"])
+        assert sent[b] == matching and n["alerted"] == (len(matching) if b < 2 else 0)
+        best = sorted((r for r in everything if r["score"] >= SCAN.threshold), key=lambda r: (-r["score"], r["arrival"]))[:4]
+        entered = [r for r in best if r["id"] not in top]
+        top = [r["id"] for r in best]
+        assert n["tailored"] == sum(r["title"] != "Data clerk 3" for r in entered)
+    log = state.read("alert_log", scan.ALERT_LOG).collect()
+    assert [r["matched_count"] for r in log] and len(log) == 2
+    assert state.read("documents", "id string, resume string").count() > 0
+
+
+def test_a_lower_threshold_tells_stored_rows_once(spark, tmp_path):
+    from dataclasses import replace
+
+    query = spark.createDataFrame([(0, "python data lab")], "query_id int, text string")
+    state, sent = scan.ScanState(spark, str(tmp_path / "state"), buckets=4), []
+    batches = [range(0, 12), range(12, 24), range(24, 36)]
+    for b, (numbers, threshold) in enumerate(zip(batches, (0.9, 0.1, 0.5), strict=True)):
+        rules = replace(SCAN, threshold=threshold)
+        run = scan.scan_micro_batch(state, query, rules, lambda df, i: sent.extend(r["id"] for r in df.collect()))
+        run(spark.createDataFrame(rows(numbers), SCHEMA), b)
+    first_two = {r["id"] for r in state.postings.read(2).where("score >= 0.1").collect()}
+    last = {r["id"] for r in state.postings.read().join(state.postings.read(2).select("id"), "id", "left_anti").where("score >= 0.5").collect()}
+    assert sorted(sent) == sorted(first_two | last) and first_two
+
+
+def test_scan_opens_stored_buckets_only(spark, tmp_path):
+    """With broadcasts off, no stored row is moved, however large the batch."""
+    query = spark.createDataFrame([(0, "python data lab")], "query_id int, text string")
+    state = scan.ScanState(spark, str(tmp_path / "state"), buckets=4)
+    run = scan.scan_micro_batch(state, query, SCAN)
+    run(spark.createDataFrame(rows(range(60)), SCHEMA), 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = state.postings.read().select("id")
+        plan = state.known(1).ids(keys)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
