@@ -14,8 +14,9 @@ is a hashed run of bytes, so that groups, not their order, come out.
   run occurs in different contexts, such as at the edges of a shared passage. There the contexts
   are sent once, and the windows in them are sorted where the contexts of one run meet.
 
-Each pass keeps the first of equal entries inside a task before the shuffle, so a passage found in
-a third of all documents sends one entry per task. A run that meets very many contexts in one task
+Each pass keeps the first of equal entries inside a task before the shuffle, so of a passage found in
+a third of all documents one entry per task meets the others; the rest is covered already and dealt by
+document. A run that meets very many contexts in one task
 is hot: its contexts are dealt out by context, and its windows one by one by their own hash, so no
 task gets all of them. Equality is that of two 64-bit hashes together.
 
@@ -214,11 +215,16 @@ def dealt(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U64(33)) % U64(buckets)).astype(np.int64)
 
 
+def by_doc(doc: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of entries that need not meet others: copies of one passage are spread by document."""
+    return dealt(mix(doc.astype(U64), 2), buckets)
+
+
 def send_anchors(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
     """Pack a task's anchors: one per context, the rest is covered already."""
     e = in_order(e)
     late = later_copies(e)
-    yield from packed(tuple(c[late] for c in e), COVERED, dealt(e[1][late], buckets))
+    yield from packed(tuple(c[late] for c in e), COVERED, by_doc(e[2][late], buckets))
     e = tuple(c[~late] for c in e)
     again = equal_before(e[0])
     group = np.cumsum(~again) - 1
@@ -230,7 +236,7 @@ def send_anchors(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
 def send_windows(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
     e = in_order(e)
     late = later_copies(e)
-    yield from packed(tuple(c[late] for c in e), COVERED, dealt(e[1][late], buckets))
+    yield from packed(tuple(c[late] for c in e), COVERED, by_doc(e[2][late], buckets))
     yield from packed(tuple(c[~late] for c in e), SORT, dealt(e[0][~late], buckets))
 
 

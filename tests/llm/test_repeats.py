@@ -116,3 +116,14 @@ def test_every_text_of_an_id_is_searched(spark):
     left = [(r.doc_id, r.text) for r in suffix.cut_documents(df).collect()]
     kept = [(documents[i][0], None if documents[i][1] is None else w[2].decode()) for i, w in want.items()]
     assert sorted(left, key=str) == sorted([*kept, (1, c)], key=str)
+
+
+def test_a_passage_in_every_text_is_spread():
+    rng = np.random.default_rng(8)
+    passage = "".join(rng.choice(list("abcdefgh "), 400))
+    rows = [{"doc": i, "text": "".join(rng.choice(list("abcdefgh "), 60)) + passage} for i in range(8_000)]
+    load = np.zeros(64)
+    for rb in suffix.anchor_entries(64)(iter([pa.RecordBatch.from_pylist(rows)])):
+        for bucket, d in zip(rb["bucket"].to_pylist(), rb["d"].to_pylist(), strict=True):
+            load[bucket] += len(d) // 8
+    assert load.sum() > 50_000 and load.max() <= 3 * np.median(load)
