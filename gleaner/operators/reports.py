@@ -27,6 +27,16 @@ def rank_by_score(df: DataFrame, score: str = "score", tie: str = "arrival") ->
     return global_rank(df, order)
 
 
+def with_rank(df: DataFrame, score: str = "score", key: str = "arrival") -> DataFrame:
+    """``df`` with ``rank``. Only the score and the unique key are sorted; the wide rows meet their rank by key."""
+    return df.join(rank_by_score(df.select(score, key), score, key).select(key, "rank"), key)
+
+
+def write_ranked(df: DataFrame, path: str) -> None:
+    """Rows in order of ``rank``: every file holds a range of ranks, the files' names are in that order."""
+    df.repartitionByRange("rank").sortWithinPartitions("rank").write.mode("overwrite").parquet(path)
+
+
 def report_counters(df: DataFrame, threshold: float) -> DataFrame:
     above = F.coalesce("score", F.lit(0.0)) >= threshold
     return df.agg(
@@ -42,21 +52,70 @@ def source_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("source").agg(F.count("*").alias("postings"))
 
 
-def index_percentiles(df: DataFrame, threshold: float, quantiles: Sequence[tuple[str, float]], score: str = "score", tie: str = "arrival") -> DataFrame:
+# Bins that one round of a selection tells apart in each range.
+SELECT_BINS = 1 << 10
+
+
+def select_positions(df: DataFrame, value: str, positions: Sequence[int], bins: int = SELECT_BINS) -> dict[int, float]:
+    """The values at 0-based ``positions`` of the ascending order of a column of numbers, without a sort.
+
+    Each round counts the values of the ranges that hold a wanted position in ``bins`` bins, with the least and the
+    largest value of each bin, and keeps the bin of the position, until its values are all one. The ends
+    of a range lie in different bins, so every round narrows it. A round moves one row per bin and
+    task. Infinite values and NaN stand at the ends, as in a sort; nulls are left out.
+    """
+    v, big = F.col(value), float("inf")
+    finite = ~F.isnan(v) & (F.abs(v) < big)
+    n = df.agg(
+        F.count_if(v == -big).alias("low"), F.count_if(finite).alias("n"), F.count_if(v == big).alias("high"),
+        F.min(F.when(finite, v)).alias("least"), F.max(F.when(finite, v)).alias("most"),
+    ).first()
+    found, ranges = {}, {}
+    for p in positions:
+        at = p - n["low"]
+        if at < 0:
+            found[p] = -big
+        elif at >= n["n"]:
+            found[p] = big if at < n["n"] + n["high"] else float("nan")
+        else:
+            ranges[p] = (n["least"], n["most"], at)
+    while ranges:
+        found |= {p: lo for p, (lo, hi, _) in ranges.items() if lo == hi}
+        ranges = {p: r for p, r in ranges.items() if r[0] < r[1]}
+        if not ranges:
+            break
+        wanted = sorted({(lo, hi) for lo, hi, _ in ranges.values()})  # disjoint: bins of disjoint ranges
+        place = F.lit(None)
+        for i, (lo, hi) in enumerate(wanted):
+            # halves first, as the difference of two large numbers can be infinite
+            step = (v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * (bins - 1)
+            bin_ = F.when(v == hi, bins - 1).when(v == lo, 0).otherwise(F.least(F.floor(F.coalesce(F.nanvl(step, F.lit(0.0)), F.lit(0.0))), F.lit(bins - 2)))
+            place = F.when(v.between(lo, hi), F.struct(F.lit(i).alias("range"), bin_.cast("int").alias("bin"))).otherwise(place)
+        counts = df.where(finite).select(v.alias("v"), place.alias("p")).where("p IS NOT NULL").groupBy("p")
+        rows = sorted(counts.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r["p"])
+        narrowed = {}
+        for p, (lo, hi, at) in ranges.items():
+            before = 0
+            for r in rows:
+                if r["p"]["range"] == wanted.index((lo, hi)):
+                    if at < before + r["n"]:
+                        narrowed[p] = (r["lo"], r["hi"], at - before)
+                        break
+                    before += r["n"]
+        ranges = narrowed
+    return found
+
+
+def index_percentiles(df: DataFrame, threshold: float, quantiles: Sequence[tuple[str, float]], score: str = "score") -> DataFrame:
     """Top, counts and exact index percentiles: element int(n*q) of the ascending scores."""
-    scored = df.where(F.col(score).isNotNull()).select(score, tie)
-    ranked = global_rank(scored, [F.col(score).asc(), F.col(tie).asc()])
-    n = ranked.agg(F.count("*").alias("n")).scalar()
-    picks = [
-        F.max(F.when(F.col("rank") == F.floor(n * F.lit(q)) + 1, F.col(score))).alias(name)
-        for name, q in quantiles
-    ]
-    return ranked.agg(
-        F.count("*").alias("scored"),
-        F.max(score).alias("top"),
-        *picks,
-        F.count_if(F.col(score) >= threshold).alias("above"),
-    )
+    scored = df.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("_v"))
+    counters = scored.agg(F.count("*").alias("scored"), F.max("_v").alias("top"), F.count_if(F.col("_v") >= threshold).alias("above")).first()
+    n = counters["scored"]
+    at = {name: int(n * q) for name, q in quantiles}
+    values = select_positions(scored, "_v", sorted({p for p in at.values() if p < n}))
+    row = (n, counters["top"], *[values.get(at[name]) for name, _ in quantiles], counters["above"])
+    picks = ", ".join(f"{name} double" for name, _ in quantiles)
+    return df.sparkSession.createDataFrame([row], ", ".join(x for x in ("scored bigint, top double", picks, "above bigint") if x))
 
 
 def deadline_counters(df: DataFrame, today: date) -> DataFrame:
@@ -111,10 +170,7 @@ def counted(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 def ranked_table(df: DataFrame, threshold: float) -> DataFrame:
     """Rows of the Markdown table of matches."""
     matches = df.where(F.coalesce("score", F.lit(0.0)) >= threshold)
-    narrow = matches.select(
-        "id", "arrival", "score", "application_status", "title", "company", "location", "source", "url"
-    )
-    ranked = rank_by_score(narrow)
+    ranked = with_rank(matches.select("id", "arrival", "score", "application_status", "title", "company", "location", "source", "url"))
     status = F.col("application_status")
     box = F.create_map(*[F.lit(x) for kv in P.STATUS_BOX.items() for x in kv])
 
@@ -143,7 +199,7 @@ def report_rows(df: DataFrame, threshold: float) -> DataFrame:
         F.coalesce(X.blank_to_null(F.col("posted_at")), F.col("first_seen").cast("string")).alias("_when"),
     )
     score = F.coalesce("score", F.lit(0.0))
-    return rank_by_score(narrow).select(
+    return with_rank(narrow).select(
         "rank",
         "arrival",
         "source",

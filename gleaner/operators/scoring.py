@@ -4,66 +4,62 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gleaner import params as P
 from gleaner.functions import text as X
-from gleaner.operators.keyed import spread_join
-from gleaner.session import ensure_checkpoint_dir, stored
+from gleaner.session import stored
 
-# Stands for "this record has terms"; no real term is empty.
-ANY_TERM = ""
-# Queries scored in one pass; more are scored in further passes.
-MAX_QUERIES = 2_000
+# Queries whose weights for one term lie in one row of the query index.
+QUERY_BLOCK = 1_000
 
 
-def _terms(df: DataFrame, key: str, text: str, stop: Sequence[str]) -> DataFrame:
-    words = X.tokens(F.col(text), stop)
-    return df.select(key, F.sort_array(X.with_bigrams(words)).alias("_terms"))
+def term_ids(words: Column) -> Column:
+    """Ids of the unigrams and bigrams of a text, sorted; a term's id is its hash of 64 bits."""
 
+    def with_pairs(ids: Column) -> Column:
+        n = F.greatest(F.size(ids) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+        return F.sort_array(F.concat(ids, pairs))
 
-def term_counts(
-    df: DataFrame, key: str, text: str, stop: Sequence[str] = P.STOP_WORDS
-) -> DataFrame:
-    """(key, term, tf) of unigrams and bigrams, counted inside the row: no shuffle."""
+    return X.let(F.transform(words, lambda w: F.xxhash64(w)), with_pairs)
+
+
+def term_facts(df: DataFrame, key: str, text: str, stop: Sequence[str] = P.STOP_WORDS) -> tuple[DataFrame, int]:
+    """((key, term, tf), number of records with terms): each text is read once, counted inside its row
+    and written as narrow numbers, which all later passes scan."""
     s = F.col("_terms")
-    # positions where a new term starts in the sorted list
-    starts = F.array_compact(
-        F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i))
-    )
-    # the pairs are built before exploding, so no exploded row drags the arrays along
+    # positions where a new term starts in the sorted list; the first is found apart, as nothing is before it
+    new = F.filter(F.sequence(F.lit(1), F.size(s) - 1, F.lit(1)), lambda i: F.get(s, i) != F.get(s, i - 1))
+    starts = F.when(F.size(s) == 0, F.array().cast("array<int>")).when(F.size(s) == 1, F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), new))
     pairs = F.transform(
         "_starts",
-        lambda at, k: F.struct(
-            F.get(s, at).alias("term"),
-            (F.coalesce(F.get("_starts", k + 1), F.size(s)) - at).alias("tf"),
-        ),
-    )
-    return (
-        _terms(df, key, text, stop)
-        .withColumn("_starts", starts)
-        # outer: a plain explode makes the planner test the array before building it, twice over
-        .select(key, F.explode_outer(pairs).alias("_p"))
-        .select(key, "_p.term", "_p.tf")
-        .where(F.col("term").isNotNull())
+        lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get("_starts", k + 1), F.size(s)) - at).alias("tf")),
     )
+    texts = Observation()
+    rows = df.select(key, term_ids(X.tokens(F.col(text), stop)).alias("_terms"))
+    rows = rows.observe(texts, F.count_if(F.size("_terms") > 0).alias("records"))
+    # outer: a plain explode makes the planner test the array before building it, twice over
+    facts = rows.withColumn("_starts", starts).select(key, F.explode_outer(pairs).alias("_p")).select(key, "_p.term", "_p.tf")
+    return stored(facts.where(F.col("term").isNotNull())), texts.get["records"]
 
 
-def document_frequency(
-    df: DataFrame, key: str, text: str, stop: Sequence[str] = P.STOP_WORDS
-) -> DataFrame:
-    """(term, df), with the number of non-empty records under the empty term."""
-    some = F.size("_terms") > 0
-    terms = F.when(some, F.array_append(F.array_distinct("_terms"), F.lit(ANY_TERM)))
-    return (
-        _terms(df, key, text, stop)
-        .select(F.explode_outer(terms).alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
-    )
+def query_index(queries: DataFrame, seen: DataFrame, idf: Callable[[Column], Column], query_key: str, blocks: int) -> DataFrame:
+    """(term, _idf, _queries): for every term that records have, the unit weights of the queries that hold it.
+
+    ``queries`` is (query_key, term, tf), ``seen`` (term, df) of the terms both sides have. A query counts as
+    a record holding its terms. A term's queries are dealt to ``blocks`` rows, so that none is too long.
+    """
+    q = queries.join(seen, "term", "left").withColumn("_idf_q", idf(F.coalesce("df", F.lit(0)) + 1))
+    q = q.withColumn("_wq", (F.lit(1.0) + F.log("tf")) * F.col("_idf_q"))
+    length = F.sqrt(F.sum(F.col("_wq") * F.col("_wq")).over(Window.partitionBy(query_key)))
+    q = q.withColumn("_wq", F.col("_wq") / length).where(F.col("df").isNotNull())
+    entry = F.struct(F.col(query_key).alias("q"), "_idf_q", "_wq")
+    block = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+    return q.groupBy("term", "df", block.alias("_block")).agg(F.collect_list(entry).alias("_queries")).select("term", idf(F.col("df")).alias("_idf"), "_queries")
 
 
 def tfidf_cosine(
@@ -80,96 +76,35 @@ def tfidf_cosine(
     Each query is fitted with the records on its own, as if it were one more record: smooth idf,
     1 + ln(tf), unit length. A record's length under a query differs from its plain length only in
     the shared terms, so lengths are summed once and corrected per pair.
+
+    Any number of queries takes one pass. Texts are tokenised once. Lengths need the frequency of every
+    term, but the vocabulary holds only terms of two or more records: one that is missing has one. Dot
+    products need only the facts whose term a query has, which meet the query index. No side is broadcast by
+    hand: the planner knows the sizes of the stored tables, and splits the partitions of frequent terms.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    # vocabulary-sized and read several times below: cut here, so texts are tokenised twice only
-    freq = document_frequency(docs, key, text, stop).checkpoint()
-    own = F.col("term") == ANY_TERM
-    sizes = freq.agg(
-        F.coalesce(F.max(F.when(own, F.col("df"))), F.lit(0)).alias("records"),
-        F.count_if(~own).alias("terms"),
-        F.coalesce(F.sum(F.when(~own, F.col("df"))), F.lit(0)).alias("facts"),
-    ).first()
-    freq = freq.where(~own)
-    rounds = max(-(-queries.count() // MAX_QUERIES), 1)
-    out = None
-    for r in range(rounds):
-        mine = F.pmod(F.xxhash64(query_key), F.lit(rounds)) == r
-        some = queries if rounds == 1 else queries.where(mine)
-        part = _cosines(docs, some, freq, sizes, key, text, query_key, query_text, stop)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _cosines(
-    docs: DataFrame,
-    queries: DataFrame,
-    freq: DataFrame,
-    sizes: Row,
-    key: str,
-    text: str,
-    query_key: str,
-    query_text: str,
-    stop: Sequence[str],
-) -> DataFrame:
-    """Scores of one set of at most about MAX_QUERIES queries."""
-    kind = queries.schema[query_key].dataType.simpleString()
-    n = sizes["records"] + 1
+    facts, records = term_facts(docs.select(key, text), key, text, stop)
+    asked, _ = term_facts(queries.select(query_key, query_text), query_key, query_text, stop)
+    n = records + 1
 
     def idf(seen: Column) -> Column:
         return F.log(F.lit(1.0 + n) / (F.lit(1.0) + seen)) + F.lit(1.0)
 
-    # query side: the query counts as a record holding the term; weights of unit length
-    q = term_counts(queries, query_key, query_text, stop).join(freq, "term", "left")
-    q = q.withColumn("_idf_q", idf(F.coalesce("df", F.lit(0)) + 1))
-    q = q.withColumn("_wq", (F.lit(1.0) + F.log("tf")) * F.col("_idf_q"))
-    one_text = Window.partitionBy(query_key)
-    length = F.sqrt(F.sum(F.col("_wq") * F.col("_wq")).over(one_text))
-    q = q.withColumn("_wq", F.col("_wq") / length)
-    by_term = q.groupBy("term").agg(
-        F.collect_list(F.struct(F.col(query_key).alias("q"), "_idf_q", "_wq")).alias("_queries")
-    )
-    # per term: its idf among the records and the queries that hold it
-    table = freq.join(by_term, "term", "left").select(
-        "term", "df", idf(F.col("df")).alias("_idf"), "_queries"
-    )
-    facts = term_counts(docs, key, text, stop)
-    joined = spread_join(facts, table, "term", "df", key, sizes["facts"])
-    weighted = joined.select(key, (F.lit(1.0) + F.log("tf")).alias("_w"), "_idf", "_queries")
-    w2 = F.col("_w") * F.col("_w")
-    idf2 = F.col("_idf") * F.col("_idf")
-    pair = f"array<struct<q:{kind},dot:double,len2:double>>"
-    shared = F.transform(
-        "_queries",
-        lambda e: F.struct(
-            e["q"].alias("q"),
-            (F.col("_w") * e["_idf_q"] * e["_wq"]).alias("dot"),
-            (w2 * (e["_idf_q"] * e["_idf_q"] - idf2)).alias("len2"),
-        ),
-    )
-    plain = F.struct(
-        F.lit(None).cast(kind).alias("q"), F.lit(0.0).alias("dot"), (w2 * idf2).alias("len2")
-    )
-    # one entry with null for the record's own length, one per query holding the term
-    entries = F.concat(F.array(plain).cast(pair), F.coalesce(shared, F.array().cast(pair)))
-    sums = (
-        weighted.select(key, F.explode(entries).alias("_e"))
-        .groupBy(key, F.col("_e.q").alias("q"))
-        .agg(F.sum("_e.dot").alias("dot"), F.sum("_e.len2").alias("len2"))
-    )
-    # at most one row per query and record meets here
-    per_record = sums.groupBy(key).agg(
-        F.max(F.when(F.col("q").isNull(), F.col("len2"))).alias("_base"),
-        F.collect_list(
-            F.when(F.col("q").isNotNull(), F.struct("q", "dot", "len2"))
-        ).alias("_pairs"),
-    )
-    e = F.col("_e")
-    return per_record.select(key, "_base", F.explode("_pairs").alias("_e")).select(
-        e["q"].alias(query_key),
-        key,
-        (e["dot"] / F.sqrt(F.col("_base") + e["len2"])).alias("score"),
+    w = F.lit(1.0) + F.log("tf")
+    vocabulary = stored(facts.groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
+    plain = F.pow(w * idf(F.coalesce("df", F.lit(1))), 2)
+    lengths = facts.join(vocabulary, "term", "left").groupBy(key).agg(F.sum(plain).alias("_base"))
+
+    hits = stored(facts.join(stored(asked.select("term").distinct()), "term", "left_semi"))
+    seen = hits.groupBy("term").agg(F.count("*").alias("df"))
+    blocks = -(-asked.select(query_key).distinct().count() // QUERY_BLOCK) or 1
+    index = stored(query_index(asked, seen, idf, query_key, blocks))
+    pairs = hits.join(index, "term").select(key, w.alias("_w"), "_idf", F.explode("_queries").alias("_e"))
+    e, w = F.col("_e"), F.col("_w")
+    sums = pairs.groupBy(key, e["q"].alias(query_key)).agg(
+        F.sum(w * e["_idf_q"] * e["_wq"]).alias("dot"),
+        F.sum(w * w * (e["_idf_q"] * e["_idf_q"] - F.col("_idf") * F.col("_idf"))).alias("len2"),
     )
+    return sums.join(lengths, key).select(query_key, key, (F.col("dot") / F.sqrt(F.col("_base") + F.col("len2"))).alias("score"))
 
 
 def score_against(docs: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,6 +324,38 @@ def best_profile(title: Column, description: Column) -> Column:
 # -- several query texts ----------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Chain:
+    """What follows the base cosine in the full score: blend or focus, then pay, then place."""
+
+    blend: P.BlendRules | None = None
+    focus: P.FocusRules = field(default_factory=P.FocusRules)
+    pay: P.PayRules = field(default_factory=P.PayRules)
+    place: P.PlaceRules = field(default_factory=P.PlaceRules)
+
+    def parts(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, _fit, _pay, _near): all that the score needs of a record besides its base, worked out once.
+
+        Boosts only add to a score, so each is the number it adds to a score of 0.
+        """
+        title, text = F.col("title"), F.col("description")
+        blended = self.blend is not None and self.blend.enabled
+        fit = target_fit(title, text, self.blend) if blended else focus_boost(F.lit(0.0), title, text, self.focus)
+        pay = salary_boost(F.lit(0.0), F.col("salary_min"), F.col("salary_max"), self.pay)
+        near = location_boost(F.lit(0.0), F.col("location"), self.place)
+        return df.select(key, fit.alias("_fit"), pay.alias("_pay"), near.alias("_near"))
+
+    def score(self, base: Column) -> Column:
+        """The full score of a base, beside the columns of ``parts``."""
+        if self.blend is not None and self.blend.enabled:
+            s = blend_score(base, F.col("_fit"), self.blend.w_resume, self.blend.w_target)
+        else:
+            s = F.least(base + F.col("_fit"), F.lit(1.0)) if self.focus.keywords else base
+        for boost in ("_pay", "_near"):
+            s = F.when(F.col(boost) > 0, F.least(s + F.col(boost), F.lit(1.0))).otherwise(s)
+        return s
+
+
 def variant_scores(
     docs: DataFrame,
     variants: DataFrame,
@@ -396,40 +363,87 @@ def variant_scores(
     text: str = "text",
     label: str = "label",
     score: Callable[..., DataFrame] = tfidf_cosine,
+    chain: Chain | None = None,
+    dense: bool = False,
+    digits: int | None = None,
 ) -> DataFrame:
-    """(key, label, score) of the pairs that share something; all other pairs score 0.0."""
-    pairs = score(docs, variants, key, text, query_key=label)
-    return pairs.select(key, label, "score").where("score <> 0")
+    """(key, label, score) of the pairs whose texts share something; ``score`` may be any scorer.
 
+    With a ``chain`` the score is the full one, and ``zero`` is beside it: the score of the record with any
+    variant it shares nothing with (0.0 without a chain). The boosts are worked out once per record and
+    meet the sparse pairs. ``dense`` gives all pairs, records times variants, with those scores filled in.
+    ``digits`` rounds all scores, so that equal ones tie.
+    """
+
+    def rounded(c: Column) -> Column:
+        return c if digits is None else F.round(c, digits)
+
+    pairs = score(docs.select(key, text), variants, key, text, query_key=label).select(key, label, F.col("score").alias("_base"))
+    parts = docs.select(key) if chain is None else chain.parts(docs, key)
+    final = F.col("_base") if chain is None else chain.score(F.col("_base"))
+    zero = F.lit(0.0) if chain is None else chain.score(F.lit(0.0))
+    if dense:
+        labels = [r[0] for r in variants.select(label).distinct().collect()]
+        grid = parts.withColumn(label, F.explode(F.array(*[F.lit(x) for x in labels])))
+        filled = grid.join(pairs, [key, label], "left").withColumn("_base", F.coalesce("_base", F.lit(0.0)))
+        return filled.select(key, label, rounded(final).alias("score"))
+    found = pairs.where("_base <> 0") if chain is None else pairs.where("_base <> 0").join(parts, key)
+    out = found.select(key, label, rounded(final).alias("score"), *([] if chain is None else [rounded(zero).alias("zero")]))
+    return out if chain is not None else out.where("score <> 0")
+
+
+def zero_scores(docs: DataFrame, chain: Chain | None, key: str = "doc_id", digits: int | None = None) -> DataFrame:
+    """(key, zero): every record's score with a variant it shares nothing with."""
+    if chain is None:
+        return docs.select(key, F.lit(0.0).alias("zero"))
+    zero = chain.score(F.lit(0.0))
+    return chain.parts(docs, key).select(key, (zero if digits is None else F.round(zero, digits)).alias("zero"))
+
+
+def best_variant(
+    pairs: DataFrame, docs: DataFrame, variants: DataFrame, key: str = "doc_id", label: str = "label",
+    chain: Chain | None = None, digits: int | None = None,
+) -> DataFrame:
+    """Best variant per record; the first label wins ties and takes records that no variant lifts.
 
-def best_variant(pairs: DataFrame, docs: DataFrame, variants: DataFrame, key: str = "doc_id", label: str = "label") -> DataFrame:
-    """Best variant per record; the first label wins ties and takes records that share nothing."""
+    A base never lowers a score, so no variant is below the record's zero score, and where the best pair is
+    not above it, all variants tie.
+    """
     best = F.min_by(F.struct(label, "score"), F.struct((-F.col("score")).alias("s"), F.col(label).alias("l")))
-    top = pairs.where("score > 0").groupBy(key).agg(best.alias("_b"))
+    lifted = pairs.where("score > 0" if chain is None else "score > zero")
+    top = lifted.groupBy(key).agg(best.alias("_b"))
     first = variants.agg(F.min(label)).scalar()
-    return docs.select(key).join(top, key, "left").select(
+    return zero_scores(docs, chain, key, digits).join(top, key, "left").select(
         key,
         F.coalesce(F.col(f"_b.{label}"), first).alias("best_label"),
-        F.coalesce("_b.score", F.lit(0.0)).alias("best_score"),
+        F.coalesce("_b.score", "zero").alias("best_score"),
     )
 
 
 def variant_summary(
-    pairs: DataFrame, docs: DataFrame, variants: DataFrame, threshold: float, key: str = "doc_id", label: str = "label"
+    pairs: DataFrame, docs: DataFrame, variants: DataFrame, threshold: float, key: str = "doc_id", label: str = "label",
+    chain: Chain | None = None, digits: int | None = None,
 ) -> DataFrame:
     """Wins, mean over all records and count above per variant, and whether it is the overall winner.
 
-    The pairs are read three times, so they are stored first: one scoring pass.
+    A variant's sums are those of its pairs, and the zero scores of the records it has no pair with: all
+    records' less its pairs'. The pairs are read several times, so they are stored first: one scoring pass.
     """
+    if "zero" not in pairs.columns:
+        pairs = pairs.withColumn("zero", F.lit(0.0))
     pairs = stored(pairs)
-    records = docs.agg(F.count("*").alias("n")).scalar()
+    reached, zero_reached = F.col("score") >= threshold, F.col("zero") >= threshold
+    zeros = stored(zero_scores(docs, chain, key, digits).agg(
+        F.count("*").alias("records"), F.coalesce(F.sum("zero"), F.lit(0.0)).alias("zeros"), F.count_if(zero_reached).alias("zeros_above")
+    ))
     sums = pairs.groupBy(label).agg(
-        F.sum("score").alias("total"), F.count_if(F.col("score") >= threshold).alias("above"), F.count("*").alias("n")
+        F.sum(F.col("score") - F.col("zero")).alias("lift"),
+        (F.count_if(reached) - F.count_if(zero_reached)).alias("lifted_above"),
     )
-    wins = best_variant(pairs, docs, variants, key, label).groupBy(F.col("best_label").alias(label)).agg(
+    wins = best_variant(pairs, docs, variants, key, label, chain, digits).groupBy(F.col("best_label").alias(label)).agg(
         F.count("*").alias("wins")
     )
-    zero = F.lit(threshold) <= 0
+    records, zero_sum, zeros_above = (zeros.select(c).scalar() for c in ("records", "zeros", "zeros_above"))
     per = (
         variants.select(label)
         .distinct()
@@ -438,8 +452,8 @@ def variant_summary(
         .select(
             label,
             F.coalesce("wins", F.lit(0)).cast("bigint").alias("wins"),
-            (F.coalesce("total", F.lit(0.0)) / records).alias("avg_score"),
-            (F.coalesce("above", F.lit(0)) + F.when(zero, records - F.coalesce("n", F.lit(0))).otherwise(0)).alias("above"),
+            ((F.coalesce("lift", F.lit(0.0)) + zero_sum) / records).alias("avg_score"),
+            (F.coalesce("lifted_above", F.lit(0)) + zeros_above).alias("above"),
         )
     )
     per = stored(per)

@@ -226,6 +226,63 @@ def _(t: Tables) -> DataFrame:
     return out.select("label", "wins", r6("avg_score").alias("avg_score"), "above", "overall_winner")
 
 
+# -- variants by the full score --------------------------------------------------------------
+
+CHAIN = scoring.Chain(SCAN.blend, SCAN.focus, SCAN.pay, SCAN.place)
+TARGETS = ["Python developer for data and lab research", "steel widget economy", "retail associate, large polished brass", "night watch"]
+_TARGETS = " UNION ALL ".join(f"SELECT 'v{i}' AS q, '{text}' AS t" for i, text in enumerate(TARGETS))
+_CHAINED = (
+    f"WITH paid AS ({S.salary_bounds('postings')}),"
+    + S.tfidf("SELECT arrival AS k, description AS t FROM postings", _TARGETS)
+    + f""", chained AS (SELECT arrival, label, round({boosts_sql('base')}, 9) AS score, base > 0 AS shared FROM (
+ SELECT p.*, l.q AS label, coalesce(f.score, 0) AS base FROM paid p CROSS JOIN ({_TARGETS}) l LEFT JOIN tfidf f ON f.k = p.arrival AND f.q = l.q))
+"""
+)
+
+
+def targets(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(f"v{i}", text) for i, text in enumerate(TARGETS)], "label string, text string")
+
+
+def paid(t: Tables) -> DataFrame:
+    return with_extracts(t.postings.drop("score"))
+
+
+def chained(t: Tables, dense: bool = False) -> DataFrame:
+    return scoring.variant_scores(paid(t), targets(t), "arrival", "description", chain=CHAIN, dense=dense, digits=9)
+
+
+@case("variant_chain", _CHAINED + "SELECT arrival, label, round(score, 6) AS score FROM chained WHERE shared")
+def _(t: Tables) -> DataFrame:
+    return chained(t).select("arrival", "label", r6("score").alias("score"))
+
+
+@case("variant_chain_dense", _CHAINED + "SELECT arrival, label, round(score, 6) AS score FROM chained")
+def _(t: Tables) -> DataFrame:
+    return chained(t, dense=True).select("arrival", "label", r6("score").alias("score"))
+
+
+@case(
+    "best_variant_chain",
+    _CHAINED + "SELECT arrival, label AS best_label, round(score, 6) AS best_score FROM chained QUALIFY row_number() OVER (PARTITION BY arrival ORDER BY score DESC, label) = 1",
+)
+def _(t: Tables) -> DataFrame:
+    best = scoring.best_variant(chained(t), paid(t), targets(t), "arrival", chain=CHAIN, digits=9)
+    return best.select("arrival", "best_label", r6("best_score").alias("best_score"))
+
+
+@case(
+    "variant_chain_summary",
+    _CHAINED
+    + """, wins AS (SELECT label, count(*) AS wins FROM (SELECT label FROM chained QUALIFY row_number() OVER (PARTITION BY arrival ORDER BY score DESC, label) = 1) GROUP BY label),
+per AS (SELECT label, avg(score) AS a, count(*) FILTER (score >= 0.4) AS above FROM chained GROUP BY label)
+SELECT label, coalesce(wins, 0) AS wins, round(a, 6) AS avg_score, above, a > 0 AND row_number() OVER (ORDER BY a DESC, label) = 1 AS overall_winner FROM per LEFT JOIN wins USING (label)""",
+)
+def _(t: Tables) -> DataFrame:
+    out = scoring.variant_summary(chained(t), paid(t), targets(t), 0.4, "arrival", chain=CHAIN, digits=9)
+    return out.select("label", "wins", r6("avg_score").alias("avg_score"), "above", "overall_winner")
+
+
 # -- pluggable parts ----------------------------------------------------------------------
 
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]{2,}'), lambda w: NOT list_contains(" + sql_list(P.STOP_WORDS) + ", w)))"

@@ -344,7 +344,9 @@ SELECT row_number() OVER (ORDER BY coalesce(score, 0) DESC, arrival) AS rank, {_
 """,
 )
 def _(t: Tables) -> DataFrame:
-    return reports.ranked_table(t.identified, 0.14)
+    folder = fresh_folder(t, "ranked")
+    reports.write_ranked(reports.ranked_table(t.identified, 0.14), folder)
+    return t.spark.read.parquet(folder)
 
 
 @case(

@@ -44,11 +44,10 @@ DOCS = ["lab work with python", "python python data lab lab", "", "the of", "coo
 QUERIES = ["python data lab", "baking bread", "zebra"]
 
 
-@pytest.mark.parametrize("slices,queries", [(2_000, 2_000), (20, 2_000), (20, 1)])
-def test_tfidf_is_the_definition(spark, monkeypatch, slices, queries):
-    """Also with many split terms and with several passes of queries."""
-    monkeypatch.setattr(scoring, "spread_join", lambda *a, **k: keyed.spread_join(*a, **k, slices=slices))
-    monkeypatch.setattr(scoring, "MAX_QUERIES", queries)
+@pytest.mark.parametrize("block", [1_000, 1])
+def test_tfidf_is_the_definition(spark, monkeypatch, block):
+    """Also where every query has a row of its own in the index."""
+    monkeypatch.setattr(scoring, "QUERY_BLOCK", block)
     docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string").repartition(5)
     qs = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, text string")
     got = defaultdict(float, {(r["query_id"], r["doc_id"]): r["score"] for r in scoring.tfidf_cosine(docs, qs).collect()})
@@ -57,6 +56,17 @@ def test_tfidf_is_the_definition(spark, monkeypatch, slices, queries):
             assert got[q, d] == pytest.approx(want, abs=1e-9)
 
 
+def test_tfidf_reads_each_text_once_and_ends_on_odd_rows(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.createDataFrame([*enumerate(DOCS), (100, None), (101, "! ?"), (102, "lab"), (102, "lab")], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    qs = spark.createDataFrame([("a", "lab"), ("b", ""), ("c", None)], "query_id string, text string")
+    out = scoring.tfidf_cosine(docs, qs)
+    assert "text" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["query_id"] for r in out.collect()} == {"a"}
+    assert scoring.tfidf_cosine(docs.where("false"), qs).count() == 0 == scoring.tfidf_cosine(docs, qs.where("false")).count()
+
+
 def test_score_order(spark):
     docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
     q = spark.createDataFrame([(0, "python data lab")], "query_id int, text string")
@@ -120,6 +130,66 @@ def test_index_percentiles(spark):
     assert (r["scored"], r["top"], r["p50"], r["p75"], r["p90"], r["above"]) == (4, 0.4, 0.3, 0.4, 0.4, 2)
 
 
+@pytest.mark.parametrize("bins", [2, 3, 1024])
+def test_selection_against_sort(spark, bins):
+    r = random.Random(bins)
+    values = [r.choice([0.5, 0.25, -1.0, r.random(), r.random() * 1e-9, 1e300 * r.random(), -1e308, 1e308]) for _ in range(300)]
+    values += [math.inf, -math.inf, -math.inf, math.nan, 0.0]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(4)
+    want = sorted(values, key=lambda v: (math.isnan(v), v))
+    got = reports.select_positions(df, "v", [*range(0, 305, 19), 0, 1, 2, 302, 303, 304], bins)
+    for p, v in got.items():
+        assert v == want[p] or math.isnan(v) and math.isnan(want[p])
+
+
+def test_selection_sorts_nothing(spark):
+    df = spark.createDataFrame([(0.5,)] * 50 + [(0.25,)] * 50, "score double")
+    r = reports.index_percentiles(df, 0.5, [("p50", 0.5), ("p49", 0.49), ("end", 1.0)]).first()
+    assert tuple(r) == (100, 0.5, 0.5, 0.25, None, 50)
+    assert tuple(reports.index_percentiles(df.where("false"), 0.5, [("p50", 0.5)]).first()) == (0, None, None, 0)
+
+
+def test_only_scores_and_keys_are_ranked(spark):
+    df = spark.createDataFrame([(i, float(i % 7), f"text {i}") for i in range(500)], "arrival long, score double, title string")
+    out = reports.with_rank(df.repartition(6))
+    got = {r["arrival"]: (r["rank"], r["title"]) for r in out.collect()}
+    want = sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert got == {i: (n + 1, f"text {i}") for n, i in enumerate(want)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "rangepartitioning" in line and "title" in line]
+
+
+@pytest.mark.parametrize("blend", [True, False])
+def test_variants_by_the_full_score(spark, blend):
+    """Every record with every variant, scored one by one."""
+    chain = scoring.Chain(
+        P.BlendRules(keywords=["lab", "data"]) if blend else None, P.FocusRules(keywords=["python"]), P.PayRules(True, 100, 0.1), P.PlaceRules(["guelph"], 0.05)
+    )
+    docs = spark.createDataFrame(
+        [(i, f"Title {i % 3} lab", d, 50 * (i % 4) or None, None, ["Guelph, ON", None, "Bern"][i % 3]) for i, d in enumerate(DOCS)],
+        "doc_id long, title string, description string, salary_min long, salary_max long, location string",
+    )
+    labels = [("b", "python data lab"), ("a", "baking bread"), ("c", "zebra")]
+    variants = spark.createDataFrame(labels, "label string, text string")
+    want = {}
+    for label, text in labels:
+        base = dict(enumerate(cosine(text, DOCS)))
+        given = docs.join(spark.createDataFrame(list(base.items()), "doc_id long, _base double"), "doc_id")
+        for r in scoring.apply_boosts(given, "_base", chain.blend, chain.focus, chain.pay, chain.place).collect():
+            want[r["doc_id"], label] = round(r["score"], 9)
+    pairs = scoring.variant_scores(docs, variants, text="description", chain=chain, digits=9)
+    dense = scoring.variant_scores(docs, variants, text="description", chain=chain, dense=True, digits=9)
+    assert {(r["doc_id"], r["label"]): r["score"] for r in dense.collect()} == want
+    sparse = {(r["doc_id"], r["label"]): r["score"] for r in pairs.collect()}
+    assert sparse and all(want[k] == v for k, v in sparse.items()) and len(sparse) < len(want)
+    best = {r["doc_id"]: (r["best_label"], r["best_score"]) for r in scoring.best_variant(pairs, docs, variants, chain=chain, digits=9).collect()}
+    assert best == {d: min(((-want[d, x], x) for x in "abc"))[::-1][:1] + (max(want[d, x] for x in "abc"),) for d in range(len(DOCS))}
+    for r in scoring.variant_summary(pairs, docs, variants, 0.3, chain=chain, digits=9).collect():
+        mine = [want[d, r["label"]] for d in range(len(DOCS))]
+        assert r["avg_score"] == pytest.approx(sum(mine) / len(mine)) and r["above"] == sum(s >= 0.3 for s in mine)
+        assert r["wins"] == sum(b[0] == r["label"] for b in best.values())
+
+
 def test_upsert_longest(spark):
     old = spark.createDataFrame([("1", 1, "t", "abc"), ("2", 2, "t", "abcdef")], "id string, arrival long, title string, description string")
     new = spark.createDataFrame([("1", 3, "new", "abcde"), ("1", 4, "new", "abcdefg"), ("2", 5, "new", "xyz"), ("3", 6, "new", "q"), ("3", 7, "later", "qq")], old.schema)
