@@ -3,8 +3,18 @@
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT"
 
 # Targets in closed form: sources by how early they fill up; the first that does not sets the level.
-# The sample: a running sum in Pareto order up to what is needed, then the best fit of the rest.
-OP1 = rf"""
+# The sample: certain documents by running sums over sizes, then three running sums in Pareto order over
+# what still fits, then the best fit of the rest.
+_MIX_PASS = """
+p{r} AS (
+ SELECT *, fits AND sum(size) OVER (PARTITION BY source, fits ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) <= missing AS now
+ FROM (SELECT *, q IS NOT NULL AND NOT chosen AND size <= missing AS fits FROM m{r})
+), m{next} AS (
+ SELECT * EXCLUDE (missing, chosen, now, fits), chosen OR now AS chosen,
+  missing - coalesce(sum(size) FILTER (WHERE now) OVER (PARTITION BY source), 0) AS missing FROM p{r}
+)"""
+OP1 = (
+    rf"""
 WITH d AS (
  SELECT doc_id, source, {WORDS} AS size,
   (('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
@@ -19,24 +29,34 @@ WITH d AS (
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lvl
  FROM s WINDOW w AS (ORDER BY source_size / weight, source)
 ), c AS (SELECT arg_min(lvl, nth) FILTER (WHERE most > lvl * weight) AS lvl FROM f),
-t AS (SELECT source, source_size, least(most, c.lvl * weight) AS target FROM f, c),
-r AS (
- SELECT d.*, source_size, target, floor(target / source_size) AS whole, target / source_size - floor(target / source_size) AS p,
-  target - floor(target / source_size) * source_size AS need
- FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), q AS (SELECT *, CASE WHEN p > 0 THEN ((u / (1 - u)) / (p / (1 - p))) END AS rank FROM r),
-q2 AS (SELECT *, coalesce(rank / (1 + rank), 1.0) AS q FROM q),
-g AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS through FROM q2),
-k AS (SELECT *, p > 0 AND through <= need AS chosen FROM g),
-m AS (SELECT *, need - coalesce(max(through) FILTER (WHERE chosen) OVER (PARTITION BY source), 0) AS missing FROM k),
-x AS (
- SELECT *, CASE WHEN p > 0 AND NOT chosen AND abs(size - missing) < missing
-  THEN row_number() OVER (PARTITION BY source, p > 0 AND NOT chosen AND abs(size - missing) < missing ORDER BY abs(size - missing), q, doc_id) END AS extra
- FROM m
+t AS (
+ SELECT source, source_size, target, floor(target / source_size) AS whole,
+  CASE WHEN target / source_size > floor(target / source_size) THEN target - floor(target / source_size) * source_size ELSE 0 END AS need
+ FROM (SELECT source, source_size, least(most, c.lvl * weight) AS target FROM f, c)
+), r AS (SELECT d.*, source_size, target, whole, need FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+z AS (SELECT source, size, any_value(need) AS need, count(*) AS k FROM r WHERE need > 0 AND size > 0 GROUP BY source, size),
+y AS (
+ SELECT source, size, need - coalesce(sum(size * k) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS missing,
+  sum(size * k) OVER (PARTITION BY source ORDER BY size)::DOUBLE AS words, sum(size::HUGEINT * size * k) OVER (PARTITION BY source ORDER BY size)::DOUBLE AS squares
+ FROM z
+), x AS (
+ SELECT source, max(size) AS largest, arg_max(missing, size) AS missing, arg_max(missing / squares, size) AS scale, arg_max(missing / words, size) AS mean
+ FROM y WHERE missing * size < squares GROUP BY source
+), v AS (
+ SELECT r.*, x.missing, coalesce(size > largest, false) AS chosen,
+  CASE WHEN size > 0 AND size <= largest THEN ((u / (1 - u)) / (scale * size / (1 - scale * size))) * (mean / (1 - mean)) END AS rank
+ FROM r LEFT JOIN x ON r.source IS NOT DISTINCT FROM x.source
+), m0 AS (SELECT *, rank / (1 + rank) AS q FROM v),"""
+    + ",".join(_MIX_PASS.format(r=r, next=r + 1) for r in range(3))
+    + """,
+e AS (
+ SELECT *, CASE WHEN fits THEN row_number() OVER (PARTITION BY source, fits ORDER BY abs(size - missing), q, doc_id) END AS extra
+ FROM (SELECT *, coalesce(q IS NOT NULL AND NOT chosen AND abs(size - missing) < missing, false) AS fits FROM m3)
 )
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN chosen OR coalesce(extra = 1, false) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM x
+FROM e
 """
+)
 
 # A rule is an expression's host suffix and the start of the path, so plain conditions say the same.
 OP2 = r"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -31,29 +32,42 @@ def plain_mix(rows, weights=(3, 1, 2), share=1.5, cap=2.0):
     target = {s: cap * sizes[s] if s in full else level * w[s] for s in order}
     out = {}
     for s in order:
-        mine = [(d, size, n) for (d, src, size), n in units.items() if src == s]
-        whole = math.floor(target[s] / sizes[s]) if sizes[s] else 0
-        p = target[s] / sizes[s] - whole if sizes[s] else 0
-        need, got, chosen = target[s] - whole * sizes[s], 0, set()
-
-        def q(d):
-            u = (int(hashlib.md5(f"mix:{'' if d is None else d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-            r = (u / (1 - u)) / (p / (1 - p))
-            return r / (1 + r)
-
-        if p > 0:
-            ranked = sorted(mine, key=lambda x: (q(x[0]), x[0] is not None, x[0] or 0, x[1]))
-            through = 0
-            for d, size, n in ranked:
-                through += size * n
-                if through <= need:
-                    chosen.add((d, size))
-                    got = through
-            missing = need - got
-            fits = [(abs(x[1] * x[2] - missing), i, x) for i, x in enumerate(ranked) if (x[0], x[1]) not in chosen and abs(x[1] * x[2] - missing) < missing]
+        mine = [(d, size, n, size * n) for (d, src, size), n in units.items() if src == s]
+        ratio = target[s] / sizes[s] if sizes[s] else 0
+        whole = math.floor(ratio)
+        missing = target[s] - whole * sizes[s] if ratio > whole else 0
+        chosen = set()
+        if missing > 0:
+            # certain copies, the largest first, until every other probability is below 1
+            rest = sorted((x for x in mine if x[3]), key=lambda x: x[3])
+            while missing * rest[-1][3] >= sum(x[3] ** 2 for x in rest):
+                most = rest[-1][3]
+                gone = [x for x in rest if x[3] == most]
+                rest = rest[: -len(gone)]
+                chosen |= {x[:2] for x in gone}
+                missing -= most * len(gone)
+            scale, mean = missing / sum(x[3] ** 2 for x in rest), missing / sum(x[3] for x in rest)
+
+            def q(x):
+                u = (int(hashlib.md5(f"mix:{'' if x[0] is None else x[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                p = scale * x[3]
+                r = (u / (1 - u)) / (p / (1 - p)) * (mean / (1 - mean))
+                return r / (1 + r)
+
+            ranked = sorted(rest, key=lambda x: (q(x), x[0] is not None, x[0] or 0, x[1]))
+            for _ in range(3):
+                through, now = 0, []
+                for x in [x for x in ranked if x[:2] not in chosen and x[3] <= missing]:
+                    through += x[3]
+                    if through > missing:
+                        break
+                    now.append(x)
+                chosen |= {x[:2] for x in now}
+                missing -= sum(x[3] for x in now)
+            fits = [(abs(x[3] - missing), i, x) for i, x in enumerate(ranked) if x[:2] not in chosen and abs(x[3] - missing) < missing]
             if fits:
                 chosen.add(min(fits)[2][:2])
-        for d, size, _ in mine:
+        for d, size, *_ in mine:
             out[(d, s, size)] = (target[s], size * (whole + ((d, size) in chosen)))
     return out
 
@@ -81,6 +95,32 @@ def test_near_the_targets_and_rerun(spark):
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_a_long_document_does_not_spoil_the_target(spark, seed):
+    """One document with 30 % of its source's words, in every source but one."""
+    r = random.Random(seed)
+    rows = [(i + 10_000 * seed, "w " * r.randrange(10, 60), f"s{i % 4}") for i in range(1_600)]
+    words = sum(len(t) // 2 for _, t, s in rows if s == "s0")
+    rows += [(90_000 + i + 10_000 * seed, "w " * int(words * 3 / 7), f"s{i}") for i in range(3)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = plain_mix(rows)
+    target, taken = {}, {}
+    for g in got:
+        assert g.taken == want[(g.doc_id, g.source, g.size)][1] <= 2 * g.size
+        target[g.source], taken[g.source] = g.target, taken.get(g.source, 0) + g.taken
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
+
+
+def test_longer_documents_are_sampled_more_often(spark):
+    """Documents three times as long, with a probability of 0.45 for 0.15."""
+    rows = [(i, "w " * (10 if i % 2 else 30), "a") for i in range(4_000)] + [(10_000 + i, "w " * 40, "b") for i in range(4_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    drawn = {10: 0, 30: 0}
+    for g in mixing.mix(df, weights=(1, 3), share=0.5).where("source = 'a'").collect():
+        drawn[g.size] += g.copies
+    assert abs(drawn[10] / 2_000 - 0.15) < 0.03 and abs(drawn[30] / 2_000 - 0.45) < 0.03
+
+
 def test_odd_rows(odd_documents, no_documents):
     got = mixing.mix(odd_documents)
     rows = got.collect()
