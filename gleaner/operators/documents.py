@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -159,23 +159,35 @@ def select_items(df: DataFrame, max_bullets: int | None = None, max_other: int |
     Core items always stay; others need a positive weight and no dropped tag, and the best
     ``max_other`` stay, or all. Order: section order of the profile, weight, position.
     """
-    def keys(of: Callable[[Column], Column]) -> Column:
-        """What orders the items that qualify, and their places in ``weighed``: no item is moved to sort them."""
-        return F.array_compact(F.transform("weighed", lambda e, i: F.when(of(e), F.struct(
-            (-e["weight"]).alias("w"), e["item"]["pos"].alias("p"), e["place"].alias("s"), i.alias("i")
-        ))))
+    def ordered(c: Column, by_place: bool) -> Column:
+        place = (lambda e: e["place"]) if by_place else (lambda e: F.lit(0))
+        keyed = F.transform(
+            c,
+            lambda e: F.struct(
+                place(e).alias("s"), (-e["weight"]).alias("w"), e["item"]["pos"].alias("p"), e.alias("e")
+            ),
+        )
+        return F.transform(F.array_sort(keyed), lambda k: k["e"])
 
-    others = F.sort_array(keys(lambda e: ~e["item"]["core"] & (e["weight"] > 0) & ~e["dropped"]))
+    eligible = F.filter(
+        "weighed", lambda e: ~e["item"]["core"] & (e["weight"] > 0) & ~e["dropped"]
+    )
+    others = ordered(eligible, False)
     others = F.slice(others, 1, max_other) if max_other else others
-    both = F.filter(F.concat(keys(lambda e: e["item"]["core"]), others), lambda k: k["s"].isNotNull())
-    printed = F.sort_array(F.transform(both, lambda k: F.struct(k["s"].alias("s"), k["w"].alias("w"), k["p"].alias("p"), k["i"].alias("i"))))
-
-    def print_(e: Column) -> Column:
-        bullets = F.slice(e["item"]["bullets"], 1, max_bullets)
-        item = e["item"].withField("bullets", bullets) if max_bullets else e["item"]
-        return F.struct(e["weight"].alias("weight"), item.alias("item"))
-
-    return df.withColumn("chosen", F.transform(printed, lambda k: print_(F.get(F.col("weighed"), k["i"]))))
+    core = F.filter("weighed", lambda e: e["item"]["core"])
+    printed = F.filter(F.concat(core, others), lambda e: e["place"].isNotNull())
+    chosen = F.transform(
+        ordered(printed, True),
+        lambda e: F.struct(
+            e["weight"].alias("weight"),
+            (
+                e["item"].withField("bullets", F.slice(e["item"]["bullets"], 1, max_bullets))
+                if max_bullets
+                else e["item"]
+            ).alias("item"),
+        ),
+    )
+    return df.withColumn("chosen", chosen)
 
 
 def render_resume(name: str, contact: str, profile: Column, summary: Column, chosen: Column) -> Column:

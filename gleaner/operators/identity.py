@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner import params as P
 from gleaner.functions import text as X
 from gleaner.operators.keyed import anti_join, flag_match, top_per_group
+from gleaner.session import stored
 
 
 def with_identity(df: DataFrame) -> DataFrame:
@@ -98,24 +99,30 @@ def hash_registry(df: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
     return first.join(last, "job_hash", "left")
 
 
+# Keys that are no whole id need so many characters.
+LEAST_PREFIX = 4
+
+
 def lookup_by_prefix(df: DataFrame, keys: DataFrame, key: str = "lookup") -> DataFrame:
     """Exact id, else a prefix of four or more characters that only one id has.
 
-    Ids are exploded to the prefix lengths that occur among the keys (at most 64 for a SHA-256
-    id), which makes the search an equi-join counted per key.
+    The first four characters say which ids a key can mean. Only ids that share them with a key go on, each cut to
+    the lengths that keys of its own beginning have, so the table of ids is scanned once and hardly moved
+    where the keys are few.
     """
-    wanted = keys.select(F.col(key)).distinct()
-    ids = df.select("id").distinct()
-    exact = wanted.join(ids, F.col(key) == F.col("id")).select(key, "id")
-    rest = anti_join(wanted, exact, key).where(F.length(key) >= 4)
-    lengths = rest.agg(F.collect_set(F.length(key)).alias("lengths")).scalar()
-    prefixes = ids.withColumn("_n", F.explode(lengths)).select(
-        "id", F.substring("id", F.lit(1), F.col("_n")).alias(key)
-    )
+    wanted = keys.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
+    start = F.substring(key, 1, LEAST_PREFIX).alias("_start")
+    asked = wanted.where(F.length(key) >= LEAST_PREFIX).groupBy(start).agg(F.collect_set(F.length(key)).alias("_lengths"))
+    short = wanted.where(F.length(key) < LEAST_PREFIX)
+    found = df.select("id", F.substring("id", 1, LEAST_PREFIX).alias("_start")).join(stored(asked), "_start")
+    fitting = F.filter("_lengths", lambda n: n <= F.length("id"))
+    prefixes = found.select("id", F.explode_outer(fitting).alias("_n")).select("id", F.substring("id", F.lit(1), F.col("_n")).alias(key))
     # counted before the join: a prefix that many ids share is one row by then
-    counted = prefixes.groupBy(key).agg(F.count("*").alias("_n"), F.min("id").alias("id"))
-    unique = rest.join(counted.where(F.col("_n") == 1), key).select(key, "id")
-    return exact.unionByName(unique)
+    counted = prefixes.groupBy(key).agg(F.min("id").alias("_least"), F.max("id").alias("_most"))
+    whole = F.col("_least") == F.col(key)  # an id is the least of all that begin with it
+    one = counted.where(whole | (F.col("_least") == F.col("_most"))).select(key, F.col("_least").alias("id"))
+    exact_short = short.join(df.select("id").distinct(), F.col(key) == F.col("id")).select(key, "id")
+    return wanted.join(one, key).select(key, "id").unionByName(exact_short)
 
 
 def label_texts(df: DataFrame, path: str = "path", text: str = "text", arrival: str = "arrival") -> DataFrame:

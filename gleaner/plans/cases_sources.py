@@ -152,11 +152,16 @@ def _(t: Tables) -> DataFrame:
     return out.select("arrival", "more", "url", "title", "location", "description", "posted_at")
 
 
+def _readers(t: Tables) -> dict:
+    return {
+        "search": lambda spark: feeds.ingest_results(t.search_bodies),
+        "feed": lambda spark: feeds.ingest_feed(t.feed_bodies),
+        "paged": lambda spark: feeds.ingest_postings(t.paged_bodies, PAGED_BASE, PAGED_COMPANY),
+    }
+
+
 def _union(t: Tables) -> DataFrame:
-    results = feeds.ingest_results(t.search_bodies).withColumn("source", F.lit("search"))
-    feed = feeds.ingest_feed(t.feed_bodies).withColumn("source", F.lit("feed"))
-    paged = feeds.ingest_postings(t.paged_bodies, PAGED_BASE, PAGED_COMPANY).withColumn("source", F.lit("paged"))
-    return feeds.union_sources([results, feed, paged])
+    return feeds.union_sources([read(t.spark).withColumn("source", F.lit(name)) for name, read in _readers(t).items()])
 
 
 _UNION_SQL = (
@@ -180,6 +185,25 @@ def _(t: Tables) -> DataFrame:
     return _union(t).select("source", "arrival", "title", F.col("more").isNotNull().alias("paged"))
 
 
+@case(
+    "gathered_sources",
+    _UNION_SQL
+    + f"""
+, good AS (SELECT 'search' AS source FROM e1 WHERE json_type(e, '$.title') = 'VARCHAR' AND e->>'title' <> '' AND coalesce(e->>'redirect_url', '') <> ''
+UNION ALL SELECT 'feed' FROM e2 WHERE idx > 1 AND coalesce(e->>'id', '') <> '' AND e->>'position' <> '' AND coalesce(e->>'url', '') <> ''
+ AND (coalesce(e->>'location', '') = '' OR len(list_filter({sql_list(P.REMOTE_LOCATION_WORDS)}, lambda w: contains(lower(e->>'location'), w))) > 0)
+UNION ALL SELECT 'paged' FROM e3 WHERE e->>'externalPath' LIKE '/%' AND trim(e->>'title') <> '')
+SELECT source, count(*) AS records, 0 AS errors FROM good GROUP BY source UNION ALL SELECT 'moved', 0, 1 UNION ALL SELECT 'spoilt', 0, 1
+""",
+)
+def _(t: Tables) -> DataFrame:
+    """Two more sources fail, one when its frame is built and one while its rows are read; the others complete."""
+    readers = _readers(t)
+    readers["moved"] = lambda spark: spark.read.parquet(fresh_folder(t, "moved"))
+    readers["spoilt"] = lambda spark: t.responses.withColumn("title", F.raise_error(F.lit("bad row")).cast("string"))
+    return feeds.gathered_counts(feeds.gather_sources(t.spark, readers))
+
+
 @case(
     "source_errors",
     """

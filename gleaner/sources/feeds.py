@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import params as P
 from gleaner.functions import rules as R
 from gleaner.functions import text as X
+from gleaner.session import ensure_checkpoint_dir, stored
 
 
 def _string(v: Column, path: str) -> Column:
@@ -130,13 +133,76 @@ def source_errors(parsed: DataFrame, error: str = "_error") -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Gathered:
+    """``rows`` of all sources that could be read, with their ``source``; ``failed`` is (source, error)."""
+
+    rows: DataFrame
+    failed: DataFrame
+
+
+def gather_sources(spark: SparkSession, readers: Mapping[str, Callable[[SparkSession], DataFrame]], at_once: int = 4) -> Gathered:
+    """Reads every source to its end, some ``at_once``; one that fails becomes an error row and stops no other.
+
+    A source fails when its rows are read, not when its frame is built, so each one's rows are written here:
+    a corrupt file or a rule that raises counts against its own source only, and none of its rows are kept.
+    """
+
+    def read(name: str) -> tuple[str, DataFrame | None, str | None]:
+        try:
+            return name, stored(readers[name](spark).withColumn("source", F.lit(name))), None
+        except Exception as e:  # noqa: BLE001 -- whatever a source raises is its own failure
+            return name, None, f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"
+
+    ensure_checkpoint_dir(spark)
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        done = list(pool.map(read, readers))
+    good = [df for _, df, _ in done if df is not None]
+    rows = union_sources(good) if good else spark.createDataFrame([], "source string")
+    failed = spark.createDataFrame([(n, e) for n, _, e in done if e is not None], "source string, error string")
+    return Gathered(rows, failed)
+
+
+def gathered_counts(gathered: Gathered) -> DataFrame:
+    """(source, records, errors) of every source that was asked, failed ones included."""
+    both = gathered.rows.select("source", F.lit(None).cast("string").alias("error")).unionByName(gathered.failed)
+    return both.groupBy("source").agg(F.count_if(F.col("error").isNull()).alias("records"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+# A host's rules are copied so often where they are joined, and its links first ranked in so many parts.
+HOST_PARTS = 16
+
+
+def forbidden_paths(links: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path) of the links whose longest fitting rule forbids them.
+
+    ``rules`` is (host, prefix) with an optional boolean ``allow``, false if there is none; of equally long
+    rules one that allows wins. A path is expanded to its prefixes of the lengths that its host's rules have, so
+    rules are found by equal keys, and a host with very many links is dealt over copies of its rules.
+    """
+    if "allow" not in rules.columns:
+        rules = rules.withColumn("allow", F.lit(False))
+    rules = rules.select("host", "prefix", "allow").distinct()
+    parts = F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))).alias("_part")
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths")).select("host", "_lengths", parts)
+    paths = links.select("host", "path").distinct()
+    paths = paths.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(HOST_PARTS)).cast("int"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("path"))
+    prefixes = paths.join(lengths, ["host", "_part"]).select("host", "path", "_part", F.explode_outer(fitting).alias("_n"))
+    prefixes = prefixes.withColumn("prefix", F.substring("path", F.lit(1), F.col("_n")))
+    met = prefixes.join(rules.select("*", parts), ["host", "prefix", "_part"])
+    longest = met.groupBy("host", "path").agg(F.max(F.struct("_n", "allow")).alias("_rule"))
+    return longest.where(~F.col("_rule.allow")).select("host", "path")
+
+
 def crawl_frontier(
     links: DataFrame, known: DataFrame, disallowed: DataFrame, per_host: int, seconds: float
 ) -> DataFrame:
     """Detail URLs still to fetch with a start offset per host.
 
     Known ids go first, then paths a robots rule forbids; the cap keeps the first ``per_host``
-    urls of every host, and their rank gives the slot.
+    urls of every host, and their rank gives the slot. A host is ranked in parts first, so that one with very many
+    links sends ``per_host`` of each part to its last ranking.
     """
     from gleaner.operators.keyed import anti_join, top_per_group
 
@@ -146,12 +212,9 @@ def crawl_frontier(
             "path": F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1),
         }
     )
-    fresh = anti_join(staged, known, "url").alias("l")
-    rules = disallowed.select("host", F.col("prefix")).distinct().alias("r")
-    allowed = fresh.join(
-        rules,
-        (F.col("l.host") == F.col("r.host")) & F.col("l.path").startswith(F.col("r.prefix")),
-        "left_anti",
-    )
-    ranked = top_per_group(allowed, ["host"], [F.col("url").asc()], per_host, rank="slot")
+    fresh = anti_join(staged, known, "url")
+    allowed = anti_join(fresh, forbidden_paths(fresh, disallowed), ["host", "path"])
+    part = F.pmod(F.xxhash64("url"), F.lit(HOST_PARTS))
+    first = top_per_group(allowed.withColumn("_part", part), ["host", "_part"], [F.col("url").asc()], per_host).drop("_part")
+    ranked = top_per_group(first, ["host"], [F.col("url").asc()], per_host, rank="slot")
     return ranked.withColumn("start_after", (F.col("slot") - 1) * F.lit(float(seconds)))

@@ -148,3 +148,53 @@ def test_bodies_that_are_no_json_and_long_feeds(spark):
     df = spark.createDataFrame([(1, json.dumps(entries)), (2, "<html>"), (3, None)], "arrival long, body string")
     assert feeds.ingest_feed(df).count() == 150 and feeds.ingest_feed(df, limit=100).count() == 100
     assert [r.arrival for r in feeds.unreadable_bodies(df).collect()] == [2]
+
+
+def test_a_failing_source_stops_no_other(spark, tmp_path):
+    from gleaner.sources import feeds
+
+    good = str(tmp_path / "good")
+    spark.range(20).selectExpr("id AS arrival", "concat('t', id) AS title").write.parquet(good)
+    corrupt = str(tmp_path / "corrupt")
+    spark.range(20).selectExpr("id AS arrival", "concat('t', id) AS title").repartition(3).write.parquet(corrupt)
+    part = sorted((tmp_path / "corrupt").glob("part-*.parquet"))[1]
+    part.write_bytes(b"PAR1 this is no parquet file PAR1")
+    for crc in (tmp_path / "corrupt").glob(".*.crc"):
+        crc.unlink()
+
+    def raises(spark):
+        raise ConnectionError("no route\nto the board")
+
+    readers = {"a": lambda s: s.read.parquet(good), "b": lambda s: s.read.schema("arrival long, title string").parquet(corrupt), "c": raises, "d": lambda s: s.read.parquet(good).withColumn("extra", F.lit(1))}
+    got = feeds.gather_sources(spark, readers)
+    assert {r["source"]: r["n"] for r in got.rows.groupBy("source").agg(F.count("*").alias("n")).collect()} == {"a": 20, "d": 20}
+    failed = {r["source"]: r["error"] for r in got.failed.collect()}
+    assert set(failed) == {"b", "c"} and failed["c"] == "ConnectionError: no route" and failed["b"]
+    counts = {r["source"]: (r["records"], r["errors"]) for r in feeds.gathered_counts(got).collect()}
+    assert counts == {"a": (20, 0), "b": (0, 1), "c": (0, 1), "d": (20, 0)}
+    none = feeds.gather_sources(spark, {"c": raises})
+    assert none.rows.count() == 0 and none.failed.count() == 1
+
+
+def test_longest_rule_wins_and_a_hot_host_is_spread(spark):
+    from gleaner.sources import feeds
+
+    rows = [(i, f"https://hot.org/{'fr' if i % 4 == 0 else 'en'}/{'open/' if i % 8 == 0 else ''}{i}") for i in range(3_000)]
+    rows += [(9_000 + i, f"https://h{i}.org/fr/{i}") for i in range(50)] + [(9_999, "no url"), (9_998, None)]
+    links = spark.createDataFrame(rows, "page_id long, url string").repartition(8)
+    rules = spark.createDataFrame([("hot.org", "/fr/", False), ("hot.org", "/fr/open/", True), ("h3.org", "/", False), ("h4.org", "/fr/", False), ("h4.org", "/fr/", True)], "host string, prefix string, allow boolean")
+    known = spark.createDataFrame([("https://h5.org/fr/5",)], "url string")
+    got = feeds.crawl_frontier(links, known, rules, 40, 2.0)
+    want = {}
+    for i, url in rows:
+        if url and "://" in url and i not in (9_003, 9_005) and not ("hot.org/fr/" in url and "/open/" not in url):
+            want.setdefault(url.split("/")[2], []).append((url, i))
+    found = {}
+    for r in got.where("host <> ''").collect():
+        found.setdefault(r["host"], []).append((r["slot"], r["url"], r["page_id"], r["start_after"]))
+    assert {h: sorted(v) for h, v in found.items()} == {h: [(n + 1, u, i, 2.0 * n) for n, (u, i) in enumerate(sorted(v)[:40])] for h, v in want.items()}
+    # the hot host's links meet its rules in many tasks: sixteen keys, none with more than a few times its share
+    paths = links.where("page_id < 3000").select(F.lit("hot.org").alias("host"), F.regexp_extract("url", "org(.*)", 1).alias("path"))
+    load = [r["count"] for r in paths.groupBy(F.pmod(F.xxhash64("path"), F.lit(feeds.HOST_PARTS))).count().collect()]
+    assert len(load) == feeds.HOST_PARTS and max(load) < 2 * 3_000 / feeds.HOST_PARTS
+    assert feeds.crawl_frontier(links, known, rules.where("false").drop("allow"), 40, 2.0).where("host = 'hot.org'").count() == 40
