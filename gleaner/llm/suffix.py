@@ -194,6 +194,9 @@ def later_copies(e: Entries) -> np.ndarray:
 
 
 def packed(e: Entries, kind: int, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per bucket with all its entries; those that are covered already need no hashes."""
+    if kind == COVERED:
+        e = (np.empty((len(bucket), 0), dtype=np.uint8),) * 2 + e[2:]
     if not len(bucket):
         return
     o = np.argsort(bucket, kind="stable")
