@@ -234,7 +234,7 @@ _TARGETS = " UNION ALL ".join(f"SELECT 'v{i}' AS q, '{text}' AS t" for i, text i
 _CHAINED = (
     f"WITH paid AS ({S.salary_bounds('postings')}),"
     + S.tfidf("SELECT arrival AS k, description AS t FROM postings", _TARGETS)
-    + f""", chained AS (SELECT arrival, label, round({boosts_sql('base')}, 9) AS score, base > 0 AS shared FROM (
+    + f""", chained AS (SELECT arrival, label, round({boosts_sql('base')}, 6) AS score, base > 0 AS shared FROM (
  SELECT p.*, l.q AS label, coalesce(f.score, 0) AS base FROM paid p CROSS JOIN ({_TARGETS}) l LEFT JOIN tfidf f ON f.k = p.arrival AND f.q = l.q))
 """
 )
@@ -249,7 +249,7 @@ def paid(t: Tables) -> DataFrame:
 
 
 def chained(t: Tables, dense: bool = False) -> DataFrame:
-    return scoring.variant_scores(paid(t), targets(t), "arrival", "description", chain=CHAIN, dense=dense, digits=9)
+    return scoring.variant_scores(paid(t), targets(t), "arrival", "description", chain=CHAIN, dense=dense, digits=6)
 
 
 @case("variant_chain", _CHAINED + "SELECT arrival, label, round(score, 6) AS score FROM chained WHERE shared")
@@ -267,7 +267,7 @@ def _(t: Tables) -> DataFrame:
     _CHAINED + "SELECT arrival, label AS best_label, round(score, 6) AS best_score FROM chained QUALIFY row_number() OVER (PARTITION BY arrival ORDER BY score DESC, label) = 1",
 )
 def _(t: Tables) -> DataFrame:
-    best = scoring.best_variant(chained(t), paid(t), targets(t), "arrival", chain=CHAIN, digits=9)
+    best = scoring.best_variant(chained(t), paid(t), targets(t), "arrival", chain=CHAIN, digits=6)
     return best.select("arrival", "best_label", r6("best_score").alias("best_score"))
 
 
@@ -279,7 +279,7 @@ per AS (SELECT label, avg(score) AS a, count(*) FILTER (score >= 0.4) AS above F
 SELECT label, coalesce(wins, 0) AS wins, round(a, 6) AS avg_score, above, a > 0 AND row_number() OVER (ORDER BY a DESC, label) = 1 AS overall_winner FROM per LEFT JOIN wins USING (label)""",
 )
 def _(t: Tables) -> DataFrame:
-    out = scoring.variant_summary(chained(t), paid(t), targets(t), 0.4, "arrival", chain=CHAIN, digits=9)
+    out = scoring.variant_summary(chained(t), paid(t), targets(t), 0.4, "arrival", chain=CHAIN, digits=6)
     return out.select("label", "wins", r6("avg_score").alias("avg_score"), "above", "overall_winner")
 
 
