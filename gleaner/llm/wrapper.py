@@ -2,25 +2,37 @@
 
 A page is a stream of tags and texts; balanced tags make it nested. A wrapper is such a stream in
 which every element may be optional or repeated, and every text is either fixed or a slot. Streams
-of one host are aligned one after the other: tags that match are merged, elements that only one
-side has become optional, neighbours of one kind become a repeated group, and texts that differ
-become slots. Merging is associative enough to be done in any order: inside each task over its
-pages, then over the tasks' different wrappers, first by salt, then by host.
+of one host are aligned one after the other: elements are matched in order by tag, label (the words
+of class, id and role) and the tags inside them; elements that only one side has become optional;
+neighbours that are alike, and paragraphs, headings and lists that take turns, become repeated
+groups; texts that differ become slots, and so do labels, of which only the common words stay.
+Merging is associative enough to be done in any order: inside each task over its pages, then over
+the tasks' different wrappers, first by salt, then by host.
 
 A page's ``article`` and ``main`` elements are its article, but for nested ones and for teasers (all
 text in links, or inside furniture while others are not). For pages without them the wrapper tells
-which element is the article: going down from the root as long as a single child holds all the text
-that changes from page to page, known furniture not counted. Fixed texts inside it are part of the layout, not of the article: those that stood once
-on every page of the host, in the same place, where other text of the article changes from page to
-page. They are left out in that place only; what only some pages have is never layout.
-
-Pages are read by a small reader of tokens; wrappers hold no page text but fixed strings, and have
-a size set by the layout, not by the number of pages.
+which element is the article. Going down from the root, text that is the same on all pages and text
+of links do not count. A single child with text that counts is entered; of several boxes one is,
+if it has the heading and each of the others has less than a third of its text. Else all of them
+are the article.
+
+Inside the article texts are layout, and left out, that stand on every page of the host, in the same
+place and with the same text, where other text of the article changes from page to page; so menus
+that all pages share go, while lists of links that differ stay. What only some pages have is never
+layout. Names decide little there: of boxes and lists, those go whose class or id is a name of
+furniture as a whole (``comments``, ``share-bar``, not ``comments-on-method``); headings, paragraphs
+and quotes stay. Outside any known place of an article every word of class and id counts, and boxes
+of links alone are menus.
+
+Pages are read by a small reader of tokens; wrappers hold no page text but fixed strings. A wrapper
+has a size set by the layout, not by the number of pages: labels that differ from page to page drop
+out, so their elements meet in one group.
 
 Defined cases: null html is empty and gives an empty text; a null url has its own host ''; cut-off
-pages end all open elements; unknown or stray tags are kept or skipped as they come; repeated rows
-give repeated results; a host of one page, or of equal ones, has a wrapper without slots, whose texts all count.
-Columns other than the three named ones are ignored.
+pages end all open elements; unknown or stray tags are kept or skipped as they come; elements nested
+deeper than ``DEPTH`` count as side by side; repeated rows give repeated results; a host of one page,
+or of equal ones, has a wrapper without slots, whose texts all count. Columns other than the three
+named ones are ignored.
 """
 
 from __future__ import annotations
@@ -72,59 +84,87 @@ FURNITURE_WORDS = frozenset(
     "subscription signup login form search pagination pager toolbar skip legal copyright disclaimer alert gdpr paywall toc".split()
 )
 FURNITURE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "sidebar", "subscri")
+# Those that do as a name inside an article, and words that may stand beside them in a name.
+NAMES = FURNITURE_WORDS - frozenset("alert copyright disclaimer foot form header legal masthead search side skip toc topbar".split())
+BESIDE_NAMES = frozenset("area article bar block box button buttons container content inner items links list outer post section site slot this thread top unit wrap wrapper".split())
+# What a name never cuts inside an article, but for adverts.
+TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dt dd code em strong b i a".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored".split())
 # Words that only say what the element stands beside.
 BESIDE = re.compile(r"\b(?:has|with|without|no|is)[-_]\w+(?:[-_]\w+)*")
 ARTICLE_TAGS = ("article", "main")
 # Lists and boxes that hold nothing but several links are menus.
 LINK_BOXES = frozenset("ul ol div section table".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+# Boxes are alike by what is in them; of all other elements the tag is enough.
+BOXES = frozenset("div section article main header body html table tbody tr td center".split())
+# Boxes are matched that have this share of their tags in common, and folded with this one.
+MATCHED, FOLDED = 0.25, 0.75
+# Neighbours of one tag with more labels than these have labels that vary.
+LABELS = 32
+# Beside the article's box, others hold less than this share of its text.
+OTHERS = 1 / 3
+# Elements nested deeper are read as side by side.
+DEPTH = 200
 # Wrappers kept in a task before they are sent on, and tasks' wrappers of one host merged at once.
-HELD_HOSTS = 5_000
+HELD_HOSTS, HELD_CHARS = 5_000, 64_000_000
 SALTS = 16
 
 
 class Element:
-    """An element of a page: tag, kind (tag with its class, id and role), children and texts."""
+    """An element of a page: tag, label, what its name says, children and texts."""
 
-    __slots__ = ("tag", "kind", "furniture", "items", "cleared")
+    __slots__ = ("tag", "label", "furniture", "named", "aside", "items", "cleared")
 
-    def __init__(self, tag: str, kind: str, furniture: bool) -> None:
-        self.tag, self.kind, self.furniture, self.items = tag, kind, furniture, []
+    def __init__(self, tag: str, label: list[str], furniture: bool, named: bool, aside: bool) -> None:
+        self.tag, self.label, self.items = tag, label, []
+        self.furniture = furniture  # by tag, role or being hidden
+        self.named = named  # a word of its name is one of furniture
+        self.aside = aside  # its name is one of furniture
         self.cleared = False  # called furniture, but holds an article
 
 
-def describe(tag: str, raw: str) -> tuple[str, bool]:
-    """Kind of an element and whether it is known furniture."""
+def is_name(token: str, names: frozenset[str]) -> bool:
+    """Is a class or id, as a whole, a name of furniture?"""
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    return any(w in names for w in words) and all(w in names or w in BESIDE_NAMES for w in words)
+
+
+def describe(tag: str, raw: str) -> Element:
+    """An element by its start tag."""
     if not raw or "=" not in raw and "hidden" not in raw:
-        return tag, tag in FURNITURE_TAGS
+        return Element(tag, [], tag in FURNITURE_TAGS, False, False)
     attributes = {}
     for m in ATTRIBUTE.finditer(raw):
         attributes.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     label = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    words = set(re.split(r"[^a-z]+", BESIDE.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower())))
+    tokens = re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower()
+    words = set(re.split(r"[^a-z]+", BESIDE.sub(" ", tokens)))
     named = bool(words & FURNITURE_WORDS) or any(w.startswith(FURNITURE_STARTS) for w in words)
+    names = ADVERTS if tag in TEXT_TAGS else NAMES
+    aside = named and any(is_name(t, names) for t in re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower().split())
     role = attributes.get("role", "").lower()
     style = attributes.get("style", "").replace(" ", "").lower()
     furniture = (
         tag in FURNITURE_TAGS
         or role in FURNITURE_ROLES
-        or (named and tag not in ("html", "body", *ARTICLE_TAGS))
         or "hidden" in attributes
         or attributes.get("aria-hidden", "").lower() == "true"
         or "display:none" in style
         or "visibility:hidden" in style
     )
+    outer = tag in ("html", "body", *ARTICLE_TAGS)
     # numbers in class and id differ from page to page
-    kind = " ".join([tag, *sorted({re.sub(r"\d+", "0", w) for w in label.split()}), *([f"role={role}"] if role else [])])
-    return kind, furniture
+    found = sorted({re.sub(r"\d+", "0", w) for w in label.split()}) + ([f"role={role}"] if role else [])
+    return Element(tag, found, furniture, named and not outer and tag not in HEADINGS, aside and not outer)
 
 
 def read_page(html: str | None) -> Element:
     """Nested elements of a page."""
-    root = Element("", "", False)
+    root = Element("", [], False, False, False)
     stack = [root]
     source = html or ""
-    at = 0
+    at = deeper = 0
     while at < len(source):
         m = TOKEN.match(source, at)
         at = m.end()
@@ -135,24 +175,30 @@ def read_page(html: str | None) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
+            if deeper and tag not in VOID:
+                deeper -= 1
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
                     break
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and not deeper:
             _close(stack, tag)
-        kind, furniture = describe(tag, m[3])
-        element = Element(tag, kind, furniture)
+        element = describe(tag, m[3])
         stack[-1].items.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
             at = end.end() if end else len(source)
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(element)
+            if len(stack) > DEPTH:
+                deeper += 1
+            else:
+                stack.append(element)
         if tag in ARTICLE_TAGS:  # what holds an article is no furniture, whatever its name
             for above in stack[:-1]:
-                above.furniture, above.cleared = False, above.cleared or above.furniture
+                above.cleared = above.cleared or above.furniture or above.named
+                above.furniture = above.named = above.aside = False
     return root
 
 
@@ -201,24 +247,29 @@ def plain(text: str) -> str:
     return SPACE.sub(" ", text).strip(" ")
 
 
-# A wrapper element as plain data, so that it can be stored:
-# [kind, furniture, optional, repeated, slot characters, fixed text or None, children]
-KIND, FURNITURE, OPTIONAL, REPEATED, CHARS, FIXED, CHILDREN = range(7)
+# A wrapper element as plain data, so that it can be stored: tag, label, furniture by tag or role,
+# furniture by a word of its name, optional, repeated, characters outside links, text if fixed (one
+# line per element of a group), children
+TAG, LABEL, FURNITURE, NAMED, OPTIONAL, REPEATED, CHARS, FIXED, CHILDREN = range(9)
 
 
-def own_text(element: Element) -> str:
-    """Text of an element outside its block children, inline ones included."""
+def own_text(element: Element) -> tuple[str, int]:
+    """Text of an element outside its block children, inline ones included, and its length without links."""
     parts: list[str] = []
+    linked: list[str] = []
 
-    def collect(e: Element) -> None:
+    def collect(e: Element, link: bool) -> None:
         for item in e.items:
             if isinstance(item, str):
                 parts.append(item)
+                if link:
+                    linked.append(item)
             elif item.tag in INLINE and not item.furniture:
-                collect(item)
+                collect(item, link or item.tag == "a")
 
-    collect(element)
-    return plain(" ".join(parts) if len(parts) > 1 else "".join(parts))
+    collect(element, element.tag == "a")
+    text = plain("".join(parts))
+    return text, max(0, len(text) - len(plain("".join(linked)))) if linked else len(text)
 
 
 def block_children(element: Element) -> Iterator[Element]:
@@ -232,49 +283,97 @@ def block_children(element: Element) -> Iterator[Element]:
 
 def as_wrapper(element: Element) -> list:
     """The wrapper of one page's element: its own text is fixed until another page differs."""
-    children = [] if element.furniture else [as_wrapper(c) for c in block_children(element)]
-    text = "" if element.furniture else own_text(element)
-    return fold([element.kind, element.furniture, False, False, len(text), text, children])
+    below = [] if element.furniture else block_children(element)
+    children = [as_wrapper(c) for c in below if c.tag not in VOID and c.tag not in RAW]
+    text, chars = ("", 0) if element.furniture else own_text(element)
+    return [element.tag, element.label, element.furniture, element.named, False, False, chars, text, folded(children)]
+
+
+def inside(w: list) -> tuple[set[str], set[str]]:
+    """Tags of the children that every such element has, and of all."""
+    return {c[TAG] for c in w[CHILDREN] if not c[OPTIONAL]}, {c[TAG] for c in w[CHILDREN]}
 
 
-def fold(w: list) -> list:
-    """Neighbours of one kind become one repeated group."""
+def likeness(a: list, b: list) -> float:
+    """Share of tags that both have, of those that one always has: 1 for two elements without children."""
+    (need_a, all_a), (need_b, all_b) = inside(a), inside(b)
+    need = need_a | need_b
+    return 1 - len((need_a - all_b) | (need_b - all_a)) / len(need) if need else 1.0
+
+
+def affinity(a: list, b: list) -> float:
+    """How well two elements match, 0 if they are not one of the other's kind."""
+    if a[TAG] != b[TAG] or a[FURNITURE] != b[FURNITURE]:
+        return 0.0
+    label = 1.0 if a[LABEL] == b[LABEL] else 0.5 if set(a[LABEL]) & set(b[LABEL]) else 0.0
+    alike = likeness(a, b)
+    if a[TAG] in BOXES and alike <= MATCHED and not set(a[LABEL]) & set(b[LABEL]):
+        return 0.0
+    return 1 + label + 2 * alike
+
+
+def folded(children: list[list]) -> list[list]:
+    """Children with neighbours that are alike, and texts that take turns, as repeated groups."""
+    labels: dict[str, set] = {}
+    for c in children:
+        if c[TAG] in BOXES:
+            labels.setdefault(c[TAG], set()).add(tuple(c[LABEL]))
     out: list[list] = []
-    for c in w[CHILDREN]:
-        if out and out[-1][KIND] == c[KIND]:
-            out[-1] = merged(out[-1], c)
-            out[-1][REPEATED] = True
-        else:
+    run = 0  # where the present run of other elements than boxes starts
+    for c in children:
+        if len(labels.get(c[TAG], ())) > LABELS:
+            c = [c[TAG], [], *c[FURNITURE:]]
+        if c[TAG] in BOXES or c[FURNITURE]:
+            last = out[-1] if out else None
+            if last and last[TAG] == c[TAG] and last[FURNITURE] == c[FURNITURE] and last[LABEL] == c[LABEL] and likeness(last, c) >= FOLDED:
+                out[-1] = grouped(last, c)
+            else:
+                out.append(c)
+            run = len(out)
+            continue
+        same = next((i for i in range(run, len(out)) if out[i][TAG] == c[TAG]), None)
+        if same is None:
             out.append(c)
-    w[CHILDREN] = out
-    return w
+        else:  # all from the first of its tag on take turns
+            out[same] = grouped(out[same], c)
+            for i in range(same + 1, len(out)):
+                out[i] = [*out[i][:REPEATED], True, *out[i][CHARS:]]
+    return out
+
+
+def grouped(a: list, b: list) -> list:
+    """Two elements of a page as one repeated group; its fixed text has a line for each."""
+    w = merged(a, b)
+    fixed = None if a[FIXED] is None or b[FIXED] is None else "\n".join(filter(None, (a[FIXED], b[FIXED])))
+    return [*w[:OPTIONAL], a[OPTIONAL] and b[OPTIONAL], True, w[CHARS], fixed, w[CHILDREN]]
 
 
 def merged(a: list, b: list) -> list:
-    """The wrapper of two elements of one kind."""
-    return fold(
-        [
-            a[KIND], a[FURNITURE], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[CHARS] + b[CHARS],
-            a[FIXED] if a[FIXED] == b[FIXED] else None, aligned(a[CHILDREN], b[CHILDREN]),
-        ]
-    )
+    """The wrapper of two elements that match."""
+    label = a[LABEL] if a[LABEL] == b[LABEL] else sorted(set(a[LABEL]) & set(b[LABEL]))
+    return [
+        a[TAG], label, a[FURNITURE], a[NAMED] and b[NAMED], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED],
+        a[CHARS] + b[CHARS], a[FIXED] if a[FIXED] == b[FIXED] else None, folded(aligned(a[CHILDREN], b[CHILDREN])),
+    ]
 
 
 def aligned(a: list[list], b: list[list]) -> list[list]:
-    """Children of two elements, matched in order by kind; what only one side has is optional."""
-    if [c[KIND] for c in a] == [c[KIND] for c in b]:
+    """Children of two elements, matched in order where it is best; what only one side has is optional."""
+    if [c[:NAMED] for c in a] == [c[:NAMED] for c in b] and all(affinity(x, y) for x, y in zip(a, b, strict=True)):
         return [merged(x, y) for x, y in zip(a, b, strict=True)]
-    # longest common subsequence of kinds; repeated groups keep both lists short
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    # repeated groups keep both lists short
+    match = [[affinity(x, y) for y in b] for x in a]
+    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][KIND] == b[j][KIND] else max(best[i + 1][j], best[i][j + 1])
+            both = best[i + 1][j + 1] + match[i][j] if match[i][j] else 0.0
+            best[i][j] = max(both, best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][KIND] == b[j][KIND]:
+        if i < len(a) and j < len(b) and match[i][j] and best[i][j] == best[i + 1][j + 1] + match[i][j]:
             out.append(merged(a[i], b[j]))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+        elif j == len(b) or (i < len(a) and best[i][j] == best[i + 1][j]):
             out.append(optional(a[i]))
             i += 1
         else:
@@ -284,112 +383,147 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
 
 
 def optional(w: list) -> list:
-    """An element that only some pages have."""
+    """An element that only some pages have; its texts can't be layout and are slots."""
+    w = without_text(w)
     return [*w[:OPTIONAL], True, *w[REPEATED:]]
 
 
+def without_text(w: list) -> list:
+    return [*w[:FIXED], None if w[FIXED] != "" else "", [without_text(c) for c in w[CHILDREN]]]
+
+
 def shape(w: list) -> str:
     """The wrapper as the regular expression it stands for; texts as #, fixed ones quoted."""
     inner = [] if w[FIXED] == "" else ["#" if w[FIXED] is None else json.dumps(w[FIXED])]
     inner += [shape(c) for c in w[CHILDREN]]
     mark = {(True, True): "*", (True, False): "?", (False, True): "+"}.get((w[OPTIONAL], w[REPEATED]), "")
-    return f"({w[KIND]}{''.join(f' {x}' for x in inner)}){mark}"
+    return f"({' '.join([w[TAG], *w[LABEL]])}{''.join(f' {x}' for x in inner)}){mark}"
 
 
-def has_text(w: list) -> bool:
-    """Is there text in an element or below it, furniture not counted?"""
-    return not w[FURNITURE] and (w[CHARS] > 0 or any(map(has_text, w[CHILDREN])))
+def chars(w: list, everything: bool) -> int:
+    """Characters outside links and furniture; without ``everything`` only of texts that change."""
+    if w[FURNITURE] or w[NAMED]:
+        return 0
+    own = w[CHARS] if everything or w[FIXED] is None else 0
+    return own + sum(chars(c, everything) for c in w[CHILDREN])
 
 
-def has_slots(w: list) -> bool:
-    """Is there text that other pages of the host lack or have differently?"""
-    if w[FURNITURE]:
-        return False
-    return (w[OPTIONAL] and has_text(w)) or w[FIXED] is None or any(map(has_slots, w[CHILDREN]))
+def headings(w: list, everything: bool) -> set[str]:
+    """Tags of the headings whose text counts."""
+    if w[FURNITURE] or w[NAMED]:
+        return set()
+    own = {w[TAG]} if w[TAG] in HEADINGS and chars(w, everything) else set()
+    return own.union(*(headings(c, everything) for c in w[CHILDREN]))
 
 
-def article_path(w: list) -> list[str]:
-    """Kinds from the root to the element that holds all of the text that changes."""
-    counts = has_slots if has_slots(w) else has_text
-    path: list[str] = []
-    while w[FIXED] is not None and (counts is has_slots or not w[CHARS]):
-        holders = [c for c in w[CHILDREN] if counts(c)]
+def article_path(w: list) -> list[int]:
+    """Positions, from the root down, of the element that is the article."""
+    everything = not chars(w, False)
+    title = min(headings(w, everything), default=None)
+    path: list[int] = []
+    while not w[CHARS] or not (everything or w[FIXED] is None):
+        holders = [(chars(c, everything), i) for i, c in enumerate(w[CHILDREN]) if chars(c, everything)]
+        if not holders:
+            break
+        size, at = max(holders, key=lambda x: (x[0], -x[1]))
+        found, others = w[CHILDREN][at], [(n, w[CHILDREN][i]) for n, i in holders if i != at]
         # a paragraph is not a place for an article: stop above single blocks of text
-        if len(holders) != 1 or holders[0][REPEATED] or holders[0][OPTIONAL] or not holders[0][CHILDREN]:
+        if found[REPEATED] or not found[CHILDREN] or found[TAG] not in BOXES:
             break
-        w = holders[0]
-        path.append(w[KIND])
+        if others:
+            split = title is None or title not in headings(found, everything) or any(title in headings(c, everything) for _, c in others)
+            if split or any(c[TAG] not in BOXES or n >= OTHERS * size for n, c in others):
+                break
+        w = found
+        path.append(at)
     return path
 
 
 def fixed_texts(w: list, path: list[str], articles: bool = True) -> list[str]:
-    """Places and texts of elements that every page of a host has once and with the same text."""
+    """Places and texts of elements that every page of a host has with the same text."""
     out = []
     for c in w[CHILDREN]:
-        if not c[OPTIONAL] and not c[REPEATED] and not c[FURNITURE] and (articles or not is_article(c[KIND])):
-            here = [*path, c[KIND]]
+        if not c[OPTIONAL] and not c[FURNITURE] and (articles or c[TAG] not in ARTICLE_TAGS):
+            here = [*path, c[TAG]]
             if c[FIXED]:
-                out.append(placed(here, c[FIXED]))
+                out += [placed(here, text) for text in c[FIXED].split("\n")]
             out += fixed_texts(c, here, articles)
     return out
 
 
-def is_article(kind: str) -> bool:
-    return kind.split(" ")[0] in ARTICLE_TAGS
-
-
 def placed(path: list[str], text: str) -> str:
     return "\n".join([*path, text])
 
 
 def varies(w: list) -> bool:
-    """Do texts change from page to page? Those of a repeated group may differ on a single page."""
-    return any(c[OPTIONAL] or c[FIXED] is None or varies(c) for c in w[CHILDREN] if not c[FURNITURE] and not c[REPEATED])
+    """Do texts change from page to page?"""
+    return any(c[OPTIONAL] or c[FIXED] is None or varies(c) for c in w[CHILDREN] if not c[FURNITURE])
 
 
-def named_articles(w: list, path: list[str]) -> Iterator[tuple[list, list[str]]]:
-    """The ``article`` and ``main`` elements that every page of a host has once, with their places."""
+def named_articles(w: list) -> Iterator[list]:
+    """The ``article`` and ``main`` elements that every page of a host has once."""
     for c in w[CHILDREN]:
         if not c[OPTIONAL] and not c[REPEATED] and not c[FURNITURE]:
-            here = [*path, c[KIND]]
-            if is_article(c[KIND]):
-                yield c, here
+            if c[TAG] in ARTICLE_TAGS:
+                yield c
             else:
-                yield from named_articles(c, here)
+                yield from named_articles(c)
+
+
+def stub(w: list) -> list:
+    """An element without texts and with the bare tags of its children: enough to tell what matches it."""
+    below = [[c[TAG], [], False, False, c[OPTIONAL], False, 0, "", []] for c in w[CHILDREN]]
+    return [*w[:CHARS], 0, "", below]
 
 
 def rule(pages: int, w: list) -> dict:
-    """What extraction needs of a wrapper: the article's place and the texts to leave out."""
-    path = article_path(w)
-    main = w
-    for kind in path:
-        main = next(c for c in main[CHILDREN] if c[KIND] == kind)
+    """What extraction needs of a wrapper: the steps to the article's place and the texts to leave out."""
+    main, steps, tags = w, [], []
+    for at in article_path(w):
+        steps.append([at, [stub(c) for c in main[CHILDREN]]])
+        main = main[CHILDREN][at]
+        tags.append(main[TAG])
     layout = []
     if pages > 1:
-        for place, at in named_articles(w, []):
-            layout += fixed_texts(place, at) if varies(place) else []
-        if varies(main) and not any(map(is_article, path)):
-            layout += fixed_texts(main, path, articles=False)
-    return {"path": path, "layout": sorted(layout)}
+        for place in named_articles(w):
+            layout += fixed_texts(place, [place[TAG]]) if varies(place) else []
+        if varies(main) and not set(tags) & set(ARTICLE_TAGS):
+            layout += fixed_texts(main, tags[-1:], articles=False)
+    return {"steps": steps, "tags": tags, "layout": sorted(layout)}
+
+
+def follow(root: Element, found: dict) -> Element | None:
+    """The element of a page that is in the place of the article, if it has the place."""
+    for at, kinds in found["steps"]:
+        best: tuple[float, int] = (0.0, 0)
+        chosen = None
+        for c in block_children(root):
+            w = stub(as_wrapper(c))
+            fits = [affinity(w, k) for k in kinds]
+            size = chars(as_wrapper(c), True)
+            if fits[at] and fits[at] == max(fits) and (fits[at], size) > best:
+                best, chosen = (fits[at], size), c
+        if chosen is None:
+            return None
+        root = chosen
+    return root
 
 
-def page_articles(root: Element) -> list[tuple[Element, list[str]]]:
-    """A page's ``article`` and ``main`` elements with their places: outermost ones that are no teasers."""
-    found: list[tuple[Element, list[str], bool]] = []
+def page_articles(root: Element) -> list[Element]:
+    """A page's ``article`` and ``main`` elements: outermost ones that are no teasers."""
+    found: list[tuple[Element, bool]] = []
 
-    def look(element: Element, path: list[str], beside: bool) -> None:
+    def look(element: Element, beside: bool) -> None:
         for item in block_children(element):
-            if item.furniture:
+            if item.furniture or item.named:
                 continue
-            here = [*path, item.kind]
             if item.tag in ARTICLE_TAGS and not_linked(item):
-                found.append((item, here, beside))
+                found.append((item, beside))
             elif item.tag not in ARTICLE_TAGS:
-                look(item, here, beside or item.cleared)
+                look(item, beside or item.cleared)
 
-    look(root, [], False)
-    inside = [f for f in found if not f[2]]
-    return [(e, path) for e, path, _ in inside or found]
+    look(root, False)
+    return [e for e, beside in found if not beside] or [e for e, _ in found]
 
 
 def not_linked(element: Element) -> bool:
@@ -398,7 +532,7 @@ def not_linked(element: Element) -> bool:
         if isinstance(item, str):
             if plain(item):
                 return True
-        elif item.tag != "a" and not item.furniture and not_linked(item):
+        elif item.tag != "a" and not item.furniture and not item.aside and not_linked(item):
             return True
     return False
 
@@ -407,16 +541,17 @@ def extract(html: str | None, found: dict | None) -> str:
     """Main text of one page, its blocks joined by line breaks."""
     root = read_page(html)
     places = page_articles(root)
-    if not places:
-        places = [(root, [])]
-        for kind in (found or {}).get("path", []):
-            places = [(c, [*at, kind]) for e, at in places for c in block_children(e) if c.kind == kind and not c.furniture]
-        if not places:  # this page lacks the place: take all that is no furniture
-            places = [(root, [])]
+    known = bool(places)
+    if not places and found and found["steps"]:
+        place = follow(root, found)
+        places = [place] if place is not None else []
+        # html and body are no place of their own
+        known = bool(places) and bool(set(found["tags"]) - {"html", "body"})
+    if not places:  # this page lacks the place: take all that is no furniture
+        places = [root]
     layout = Counter((found or {}).get("layout", []))
     blocks: list[str] = []
     current: list[str] = []
-    inside = places[0][0] is not root
 
     def end(path: list[str]) -> None:
         text = plain("".join(current))
@@ -433,9 +568,9 @@ def extract(html: str | None, found: dict | None) -> str:
         for item in element.items:
             if isinstance(item, str):
                 current.append(item)
-            elif item.furniture or (item.tag == "header" and not inside):
+            elif item.furniture or (item.aside if known else item.named or item.tag == "header"):
                 continue
-            elif item.tag in LINK_BOXES and only_links(item):
+            elif not known and item.tag in LINK_BOXES and only_links(item):
                 end(path)
             elif item.tag == "br":
                 current.append(" ")
@@ -443,17 +578,17 @@ def extract(html: str | None, found: dict | None) -> str:
                 walk(item, path)
             else:
                 end(path)
-                below = [*path, item.kind]
+                below = [*path, item.tag]
                 walk(item, below)
                 end(below)
 
-    for element, at in places:
+    for element in places:
+        at = [element.tag] if element is not root else []
         walk(element, at)
         end(at)
     return "\n".join(blocks)
 
 
-
 def host_of(url: Column) -> Column:
     rest = F.substring_index(F.substring_index(F.substring_index(F.regexp_extract(F.coalesce(url, F.lit("")), r"://(.*)$", 1), "/", 1), "?", 1), "#", 1)
     return F.lower(rest)
@@ -462,6 +597,7 @@ def host_of(url: Column) -> Column:
 def page_wrappers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Wrappers of a task's pages, one per host; pages already covered by it change nothing."""
     held: dict[str, tuple[int, list]] = {}
+    size = 0
 
     def send() -> pd.DataFrame:
         rows = [(h, n, json.dumps(w, ensure_ascii=False)) for h, (n, w) in sorted(held.items())]
@@ -476,8 +612,10 @@ def page_wrappers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held[host] = n + 1, merged(old, w)
             else:
                 held[host] = 1, w
-        if len(held) > HELD_HOSTS:
-            yield send()
+                size += len(page or "")
+            if len(held) > HELD_HOSTS or size > HELD_CHARS:
+                yield send()
+                size = 0
     if held:
         yield send()
 

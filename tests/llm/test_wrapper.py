@@ -3,6 +3,8 @@
 import html
 import re
 
+import pyarrow.parquet as pq
+
 from gleaner.llm import wrapper
 
 
@@ -96,3 +98,63 @@ def test_all_places_of_the_article():
     assert texts(boxes) == [f"T {i}\nIn short {i}\na {i}{' long' * 50}\nb" for i in range(6)]
     cards = '<aside><article><a href="">Other</a><p>in short</p></article></aside><article class="card"><a href="">Next</a></article>'
     assert texts([f"<body><article><p>text {i}</p></article>{cards}</body>" for i in range(2)]) == ["text 0", "text 1"]
+
+
+def test_names_do_not_cut_an_article():
+    body = """<article><h1>T</h1><h2 id="related-work">Related work</h2><p>a</p><h2 id="search">Search</h2><p class="legal">b</p>
+    <ul><li><a href=1>First reference</a><li><a href=2>Second reference</a></ul><section id="comments-on-method"><p>c</p></section>
+    <blockquote class="notice-text">d</blockquote>{}<p>last</p></article>"""
+    want = "T\nRelated work\na\nSearch\nb\nFirst reference\nSecond reference\nc\nd\nlast"
+    cut = """<section id="comments"><p>Nice</p></section><div class="share-bar"><a>x</a></div><p class="ad">Buy</p><div class="adBox">Buy</div>
+    <aside>e</aside><form><p>f</p></form><div class="cookie-notice">g</div><div class="commentList">h</div><div hidden>i</div>"""
+    assert wrapper.extract(body.format(""), None) == want
+    assert wrapper.extract(body.format(cut), None) == want
+
+
+def test_the_wrapper_finds_articles_without_names():
+    """Boxes of the tables' pages without tag names, classes and ids: only the inferred place is left."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    hosts = {}
+    for r in pages:
+        hosts.setdefault(r["url"].split("://")[1].split("/")[0].lower(), []).append(r["html"])
+    seen = 0
+    for of_host in hosts.values():
+        if len(of_host) < 3:
+            continue
+        bare = [re.sub(r"<(/?)(?:nav|footer|article|div)\b[^>]*>", r"<\1div>", p) for p in of_host]
+        for order in (bare, bare[::-1]):
+            found = wrapper.rule(len(bare), infer(order))
+            assert found["tags"][-1] == "div"
+            for p, b in zip(of_host, bare, strict=True):
+                assert wrapper.extract(b, found) == wrapper.extract(p, None) != wrapper.extract(b, None)
+        seen += len(bare)
+    assert seen == 222
+
+
+def test_links_that_all_pages_share_are_a_menu():
+    def page(i):
+        return f'<article><h1>T {i}</h1><div class="x"><ul><li><a>Top</a><li><a>Index</a></ul></div><p>text {i}</p><div class="y"><ul><li><a>Ref {i}</a><li><a>Ref {i} b</a></ul></div></article>'
+
+    pages = [page(i) for i in range(4)]
+    found = wrapper.rule(4, infer(pages))
+    assert wrapper.extract(pages[1], found) == "T 1\ntext 1\nRef 1\nRef 1 b"
+    assert wrapper.extract(pages[1], None) == "T 1\nTop\nIndex\ntext 1\nRef 1\nRef 1 b"
+
+
+def test_a_wrapper_is_bounded_by_the_layout():
+    """One host, ids and classes that no two pages share: the wrapper stops growing."""
+
+    def page(i):
+        name = "".join(chr(97 + i // 26**k % 26) for k in range(3))
+        parts = "".join(f'<h2 id="{name}{"abcdef"[j]}">H {i} {j}</h2><p>p {i}</p><section id="s{name}{"abcdef"[j]}"><p>q {i}</p></section>' + "<ul><li>x</ul>" * (i >> j & 1) for j in range(1 + i % 6))
+        return f'<body><div id="top">Site</div><div class="of-{name}"><h1>T {i}</h1>{parts}</div><div>more {i}</div></body>'
+
+    pages = [page(i) for i in range(2_000)]
+    small, large = infer(pages[:100]), infer(pages)
+    assert len(wrapper.shape(large)) < 1.1 * len(wrapper.shape(small)) < 2_000
+    found = wrapper.rule(len(pages), large)
+    assert wrapper.extract(pages[7], found) == "T 7\nH 7 0\np 7\nq 7\nx\nH 7 1\np 7\nq 7\nx"
+    many = "<body>" + "".join(f'<div id="{"".join(chr(97 + i // 26**k % 26) for k in range(3))}"><p>{i}</p></div>' for i in range(2_000))
+    assert len(wrapper.shape(infer([many]))) < 100
+    deep = "<div>" * 5_000 + "x" + "</div>" * 5_000 + "<p>y</p>"
+    assert wrapper.extract(deep, wrapper.rule(1, infer([deep]))) == "x\ny"
