@@ -1,8 +1,8 @@
 """Line-first cleaning of texts, and the base figures of whole texts.
 
 Every line is judged alone: punctuation (a line of several words ends like a sentence, and has no
-more symbols than words), navigation (bars, arrows, link words) and boilerplate (notices of sites and scripts). Lines that fail are
-removed; a text that loses too much of its words, or fails the base rule, is rejected.
+more symbols than words), navigation (bars, arrows, link words) and boilerplate (notices of sites, code).
+Sentence marks are listed by script, words and phrases by language. Lines that fail are removed; a text that loses too much of its words, or fails the base rule, is rejected.
 
 All of it is expressions inside the row: no shuffle, no Python. Repeated 8-word windows are found
 from the windows' 64-bit hashes, combined from the words' hashes by doubling; only texts
@@ -31,9 +31,27 @@ SYMBOLS = "#*$%&|<>"
 MAX_LOST_PERCENT = 50
 # A line of at least so many words should end in one of the marks.
 SENTENCE_WORDS = 5
-END_MARKS = r"""[.!?…:;,"'”’»)\]]\s*$"""
-NAVIGATION = r"(?i)^\s*(home|menu|next|previous|back|more|login|log in|sign in|sign up|register|search|contact|about|about us|skip to content|read more|share|print|page \d+( of \d+)?)\s*$|( [|»›>•·] .*){2}"
-BOILERPLATE = r"(?i)\b(javascript|cookies? (policy|settings|consent)|uses? cookies|privacy policy|terms (of use|of service|and conditions)|all rights reserved|lorem ipsum|subscribe to our|click here|powered by)\b|[{}]"
+# Sentence marks by script, and signs that may follow one.
+MARKS = {"Latin, Greek and Cyrillic": ".!?…:;,", "Arabic": "؟۔؛،", "Devanagari": "।॥", "Han and kana": "。！？：；，、", "Ethiopic": "።፧፨", "Armenian": "։", "Khmer": "។", "Burmese": "။", "Tibetan": "།"}
+CLOSERS = "\"'”’»›)」』）】》"
+END_MARKS = rf"[{''.join(MARKS.values())}{CLOSERS}\]]\s*$"
+# Whole lines of menus, and phrases of site notices, by language; other languages are an argument away.
+NAVIGATION_LINES = {
+    "en": "home|menu|next|previous|back|more|login|log in|sign in|sign up|register|search|contact|about|about us|skip to content|read more|share|print|page \\d+( of \\d+)?",
+    "de": "startseite|weiter|anmelden|abmelden|registrieren|suche|kontakt|impressum|mehr lesen|weiterlesen|teilen|drucken|seite \\d+( von \\d+)?",
+    "fr": "accueil|suivant|retour|connexion|inscription|recherche|contactez-nous|lire la suite|partager|imprimer|page \\d+ sur \\d+",
+    "es": "inicio|siguiente|anterior|volver|iniciar sesi[oó]n|registrarse|buscar|contacto|leer m[aá]s|compartir|imprimir|p[aá]gina \\d+( de \\d+)?",
+}
+NOTICES = {
+    "en": "javascript|cookies? (policy|settings|consent)|uses? cookies|privacy policy|terms (of use|of service|and conditions)|all rights reserved|lorem ipsum|subscribe to our|click here|powered by",
+    "de": "(verwendet|nutzt|verwenden|nutzen) cookies|cookie-einstellungen|datenschutzerkl[aä]rung|alle rechte vorbehalten|newsletter abonnieren",
+    "fr": "utilise des cookies|politique de confidentialit[eé]s?|tous droits r[eé]serv[eé]s|mentions l[eé]gales",
+    "es": "(utiliza|usa) cookies|pol[ií]tica de (privacidad|cookies)|todos los derechos reservados|aviso legal",
+}
+# Braces beside other signs of code.
+CODE = r"[)=>]\s*\{|\{[^{}]*[;=][^{}]*\}|^\s*[{}]|\{\s*$"
+NAVIGATION = rf"(?i)^\s*({'|'.join(NAVIGATION_LINES.values())})\s*$|( [|»›>•·] .*){{2}}"
+BOILERPLATE = rf"(?i)\b({'|'.join(NOTICES.values())})|{CODE}"
 
 
 def words_of(text: Column) -> Column:

@@ -40,6 +40,9 @@ def test_figures(spark, documents):
         ("A whole sentence of several words stands here.", False), ("A whole sentence without an end stands here", True), ("Short title", False),
         ("Home", True), ("a | b | c | d.", True), ("We use cookies to do things for you.", True), ("All rights reserved.", True), ("if (x) { y }", True),
         ("", False), ("   ", False), ("He said: “It is all done now, is it?”", False), ("to%%% be### or*** not$$$ to&&& be.", True),
+        ("यह एक पूरा वाक्य है जो यहाँ खड़ा है।", False), ("هل هذه جملة كاملة من عدة كلمات؟", False), ("這 是 一 個 完整 的 句子。", False), ("他 说 ： “ 这 是 句子 。”", False),
+        ("यह एक पूरा वाक्य है जो यहाँ खड़ा", True), ("Write {name} where your own name should stand.", False), ("x = {", True), ("}", True), ("{ a: 1; }", True),
+        ("Startseite", True), ("Alle Rechte vorbehalten.", True), ("Lire la suite", True), ("Todos los derechos reservados.", True), ("Die Suche nach dem Glück dauert an.", False),
     ],
 )
 def test_line_rules(spark, line, fails):
@@ -63,3 +66,10 @@ def test_odd_rows(odd_documents, no_documents):
     assert quality.clean(no_documents).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_documents_of_other_scripts_are_kept(spark):
+    lines = ["यह पंक्ति {0} अपने शब्दों के {0} साथ एक पूरा वाक्य है।", "هذه الجملة {} كاملة ولها كلمات خاصة بها هنا۔", "第 {0} 行 是 一 個 {0} 完整 的 句子 而且 不同。"]
+    rows = [(i, "\n".join(line.format(f"n{k} m{k * 7}") for k in range(9))) for i, line in enumerate(lines)]
+    got = quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.kept, r.lost_words) for r in got] == [(True, 0)] * 3
