@@ -3,15 +3,16 @@
 A text's vector counts its byte n-grams (letters only, lower case) in ``DIMS`` hashed places, is
 weighted by inverse document frequency and brought to length one. Each language has several
 centroids, found by clustering its sample by cosine. The nearest centroid names the language; a
-text that is further from all centroids than the sample texts of its length class is rejected.
+text that is much further from it than nearly all of the language's sample texts of its length class
+is rejected.
 
-Fitting takes a bounded sample, ``SAMPLE`` texts of each language chosen by the hash of doc_id;
-prediction reads every whole text. Only the sample's vectors are gathered, one language per task;
+Fitting takes a bounded sample, ``SAMPLE`` texts of each language chosen by the hash of doc_id, whose
+repeats count once; prediction reads every whole text. Only the sample's vectors are gathered, one language per task;
 the driver gets ``CENTROIDS`` vectors, document frequencies and a few distances per language.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is
-every text if there is no labelled row to learn from; ties go to the smaller language name; repeated
-rows count as often as they are there; columns of the input that have the output's names are
+every text if there is no labelled row to learn from; ties go to the smaller language name; a
+length class that a language's sample lacks has the floor of the next longer one, or of the longest; columns of the input that have the output's names are
 replaced, other columns stay.
 """
 
@@ -32,8 +33,9 @@ SAMPLE = 400
 CENTROIDS = 3
 DIMS = 1 << 13
 NGRAMS = (2, 3)
-# A text is rejected below this share of the lowest cosine seen in the sample at its length.
-MARGIN = 0.5
+# A text is rejected below MARGIN times the cosine that this share of its language's sample at its length stays below.
+MARGIN, LOW = 0.5, 0.01
+CLASSES = 64
 UNKNOWN = "und"
 
 # bytes that are no letters become blanks; bytes of other scripts stay
@@ -72,7 +74,7 @@ class Model:
     langs: list[str] = field(default_factory=list)  # of each centroid, sorted
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMS), np.float32))
     idf: np.ndarray = field(default_factory=lambda: np.ones(DIMS, np.float32))
-    floors: np.ndarray = field(default_factory=lambda: np.zeros(64))
+    floors: np.ndarray = field(default_factory=lambda: np.zeros((0, CLASSES)))  # of each centroid, by length class
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine with its nearest centroid, rejected?"""
@@ -82,7 +84,7 @@ class Model:
         cosines = self.centroids @ unit(counts * self.idf)
         k = int(cosines.argmax())
         score = float(min(max(cosines[k], 0.0), 1.0))
-        return self.langs[k], score, score < self.floors[length_class(counts)]
+        return self.langs[k], score, score < self.floors[k, length_class(counts)]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -104,11 +106,22 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def choose_sample(labelled: DataFrame, doc_id: str, text: str, lang: str, per_lang: int) -> DataFrame:
     """(lang, text) of ``per_lang`` rows of each language; texts of chosen rows only are moved."""
-    ids = labelled.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
-    ids = top_per_group(ids.where("_id IS NOT NULL"), ["_lang"], [F.xxhash64("_id"), F.col("_id")], per_lang)
-    chosen = stored(ids.select("_id").distinct())
-    rows = labelled.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    return rows.join(chosen, "_id", "left_semi").select("lang", "text")
+    id_, content = F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_content")
+    ids = labelled.select(id_, content, F.col(lang).alias("_lang")).where("_id IS NOT NULL").distinct()
+    ids = top_per_group(ids, ["_lang"], [F.xxhash64("_id"), F.col("_id"), F.col("_content")], per_lang)
+    chosen = stored(ids.select("_id", "_content").distinct())
+    rows = labelled.select(id_, content, F.col(lang).alias("lang"), F.col(text).alias("text"))
+    return rows.join(chosen, ["_id", "_content"], "left_semi").dropDuplicates(["_id", "_content", "lang"]).select("lang", "text")
+
+
+def floors(classes: list[int], scores: np.ndarray) -> np.ndarray:
+    """Floor of every length class, none higher than a longer one's."""
+    low = np.full(CLASSES, np.nan)
+    for c in set(classes):
+        low[c] = np.quantile(scores[np.array(classes) == c], LOW)
+    longest = max(classes)
+    low[longest + 1 :] = low[longest]
+    return np.fmin.accumulate(low[::-1])[::-1] * MARGIN
 
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
@@ -144,20 +157,15 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         x = unit(counts * idf)
         found = cluster(x, centroids)
         best = (x @ found.T).max(axis=1)
-        low = np.full(64, 2.0)
-        np.minimum.at(low, [length_class(c) for c in counts], best)
+        low = floors([length_class(c) for c in counts], best)
         return pd.DataFrame({"lang": [f["lang"].iloc[0]], "k": [len(found)], "centroids": [found.astype("<f4").tobytes()], "low": [low.tobytes()]})
 
     rows = sorted(vectors.groupBy("lang").applyInPandas(learn, "lang string, k int, centroids binary, low binary").collect())
-    low = np.min([np.frombuffer(r["low"]) for r in rows], axis=0)
-    # a length class that the sample lacks, or that is higher than a longer one, takes the lower floor
-    low = np.minimum.accumulate(low[::-1])[::-1]
-    low = np.where(low > 1, 0.0, low)
     return Model(
         [r["lang"] for r in rows for _ in range(r["k"])],
         np.concatenate([np.frombuffer(r["centroids"], dtype="<f4").reshape(-1, DIMS) for r in rows]),
         idf,
-        low * MARGIN,
+        np.stack([np.frombuffer(r["low"]) for r in rows for _ in range(r["k"])]),
     )
 
 
