@@ -69,7 +69,7 @@ def test_odd_rows(odd_documents, no_documents):
 
 
 def test_documents_of_other_scripts_are_kept(spark):
-    lines = ["यह पंक्ति {0} अपने शब्दों के {0} साथ एक पूरा वाक्य है।", "هذه الجملة {} كاملة ولها كلمات خاصة بها هنا۔", "第 {0} 行 是 一 個 {0} 完整 的 句子 而且 不同。"]
+    lines = ["यह पंक्ति {0} अपने शब्दों के {0} साथ एक पूरा वाक्य है।", "هذه الجملة {0} كاملة ولها {0} كلمات خاصة بها هنا۔", "第 {0} 行 是 一 個 {0} 完整 的 句子 而且 不同。"]
     rows = [(i, "\n".join(line.format(f"n{k} m{k * 7}") for k in range(9))) for i, line in enumerate(lines)]
     got = quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.kept, r.lost_words) for r in got] == [(True, 0)] * 3
