@@ -34,24 +34,40 @@ SENTENCE_WORDS = 5
 # Sentence marks by script, and signs that may follow one.
 MARKS = {"Latin, Greek and Cyrillic": ".!?…:;,", "Arabic": "؟۔؛،", "Devanagari": "।॥", "Han and kana": "。！？：；，、", "Ethiopic": "።፧፨", "Armenian": "։", "Khmer": "។", "Burmese": "။", "Tibetan": "།"}
 CLOSERS = "\"'”’»›)」』）】》"
-END_MARKS = rf"[{''.join(MARKS.values())}{CLOSERS}\]]\s*$"
-# Whole lines of menus, and phrases of site notices, by language; other languages are an argument away.
+END_SIGNS = "".join(MARKS.values()) + CLOSERS + "]"
+END_MARKS = rf"[{END_SIGNS[:-1]}\]]\s*$"
+# Whole lines of menus, of four words at most, and phrases of site notices, by language; other languages are an argument away.
 NAVIGATION_LINES = {
     "en": "home|menu|next|previous|back|more|login|log in|sign in|sign up|register|search|contact|about|about us|skip to content|read more|share|print|page \\d+( of \\d+)?",
     "de": "startseite|weiter|anmelden|abmelden|registrieren|suche|kontakt|impressum|mehr lesen|weiterlesen|teilen|drucken|seite \\d+( von \\d+)?",
     "fr": "accueil|suivant|retour|connexion|inscription|recherche|contactez-nous|lire la suite|partager|imprimer|page \\d+ sur \\d+",
     "es": "inicio|siguiente|anterior|volver|iniciar sesi[oó]n|registrarse|buscar|contacto|leer m[aá]s|compartir|imprimir|p[aá]gina \\d+( de \\d+)?",
 }
+MENU_WORDS = 4
 NOTICES = {
-    "en": "javascript|cookies? (policy|settings|consent)|uses? cookies|privacy policy|terms (of use|of service|and conditions)|all rights reserved|lorem ipsum|subscribe to our|click here|powered by",
-    "de": "(verwendet|nutzt|verwenden|nutzen) cookies|cookie-einstellungen|datenschutzerkl[aä]rung|alle rechte vorbehalten|newsletter abonnieren",
-    "fr": "utilise des cookies|politique de confidentialit[eé]s?|tous droits r[eé]serv[eé]s|mentions l[eé]gales",
-    "es": "(utiliza|usa) cookies|pol[ií]tica de (privacidad|cookies)|todos los derechos reservados|aviso legal",
+    "en": ["javascript", "cookies? (policy|settings|consent)", "uses? cookies", "privacy policy", "terms (of use|of service|and conditions)", "all rights reserved", "lorem ipsum", "subscribe to our", "click here", "powered by"],
+    "de": ["verwenden cookies", "verwendet cookies", "nutzen cookies", "nutzt cookies", "cookie-einstellungen", "datenschutzerkl[aä]rung", "alle rechte vorbehalten", "newsletter abonnieren"],
+    "fr": ["utilise des cookies", "politique de confidentialit[eé]s?", "tous droits r[eé]serv[eé]s", "mentions l[eé]gales"],
+    "es": ["utiliza cookies", "usa cookies", "pol[ií]tica de (privacidad|cookies)", "todos los derechos reservados", "aviso legal"],
 }
+
+
+def any_of(phrases: list[str]) -> str:
+    """A pattern of phrases, which tries those of one first letter only behind that letter."""
+    letters: dict[str, list[str]] = {}
+    for p in sorted(phrases):
+        letters.setdefault(p[0], []).append(p[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in letters.items())
+
+
 # Braces beside other signs of code.
 CODE = r"[)=>]\s*\{|\{[^{}]*[;=][^{}]*\}|^\s*[{}]|\{\s*$"
-NAVIGATION = rf"(?i)^\s*({'|'.join(NAVIGATION_LINES.values())})\s*$|( [|»›>•·] .*){{2}}"
-BOILERPLATE = rf"(?i)\b({'|'.join(NOTICES.values())})|{CODE}"
+BARS = r"( [|»›>•·] .*){2}"
+MENU_LINE = rf"(?i)^\s*({'|'.join(NAVIGATION_LINES.values())})\s*$"
+NOTICE = rf"(?i)\b(?:{any_of([p for of_lang in NOTICES.values() for p in of_lang])})"
+# The same rules as one pattern each.
+NAVIGATION = rf"{MENU_LINE}|{BARS}"
+BOILERPLATE = rf"{NOTICE}|{CODE}"
 
 
 def words_of(text: Column) -> Column:
@@ -122,10 +138,14 @@ def n_repeat_words(words: Column, width: int = WINDOW) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Does the line break a rule? Lines without a word break none."""
-    ends = F.rlike(line, F.lit(END_MARKS))
+    ends = F.contains(F.lit(END_SIGNS), F.substring(F.rtrim(line, F.lit(SPACES)), -1, 1))
     words = F.regexp_count(line, F.lit(WORD))
     unlike_text = ((words >= SENTENCE_WORDS) & ~ends) | (F.length(line) - F.length(without(line, SYMBOLS)) > words)
-    return has_word(line) & (unlike_text | F.rlike(line, F.lit(NAVIGATION)) | F.rlike(line, F.lit(BOILERPLATE)))
+    # cheap tests first: they are true wherever the pattern behind them can match
+    menu = ((words <= MENU_WORDS) & F.rlike(line, F.lit(MENU_LINE))) | F.rlike(line, F.lit(BARS))
+    braces = F.contains(line, F.lit("{")) | F.contains(line, F.lit("}"))
+    notice = F.rlike(line, F.lit(NOTICE)) | (braces & F.rlike(line, F.lit(CODE)))
+    return has_word(line) & (unlike_text | menu | notice)
 
 
 def cleaned(text: Column) -> Column:
