@@ -12,7 +12,8 @@ the driver gets ``CENTROIDS`` vectors, document frequencies and a few distances
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is
 every text if there is no labelled row to learn from; ties go to the smaller language name; a
-length class that a language's sample lacks has the floor of the next longer one, or of the longest; columns of the input that have the output's names are
+length class that a language's sample lacks has the floor of the next longer one, or of the longest; a text of
+fewer than ``JUDGED_GRAMS`` n-grams is not rejected; columns of the input that have the output's names are
 replaced, other columns stay.
 """
 
@@ -35,6 +36,8 @@ DIMS = 1 << 13
 NGRAMS = (2, 3)
 # A text is rejected below MARGIN times the cosine that this share of its language's sample at its length stays below.
 MARGIN, LOW = 0.5, 0.01
+# Texts of fewer n-grams say too little to be rejected.
+JUDGED_GRAMS = 64
 CLASSES = 64
 UNKNOWN = "und"
 
@@ -121,7 +124,9 @@ def floors(classes: list[int], scores: np.ndarray) -> np.ndarray:
         low[c] = np.quantile(scores[np.array(classes) == c], LOW)
     longest = max(classes)
     low[longest + 1 :] = low[longest]
-    return np.fmin.accumulate(low[::-1])[::-1] * MARGIN
+    low = np.fmin.accumulate(low[::-1])[::-1] * MARGIN
+    low[: JUDGED_GRAMS.bit_length()] = 0
+    return low
 
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
