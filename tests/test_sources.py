@@ -63,6 +63,11 @@ def test_detail_specs(source, html, text):
     assert listings.read_detail(html, listings.DETAILS[source])[0] == text
 
 
+def test_references_without_semicolon_stay():
+    spec = listings.DetailSpec(["h1"])
+    assert listings.read_detail('<h1 id="a&lt">a&amp;b &copy;&#38; c &amp</h1>', spec)[0] == "a&b ©& c &amp"
+
+
 def test_detail_date():
     assert listings.read_detail('<time datetime="2026-02-03">x</time>', listings.DETAILS["jobbank"]) == ("", "2026-02-03")
 
