@@ -169,6 +169,11 @@ def test_page_text_decodes_and_drops(one):
     assert len(one(X.main_text(C), s="<p>" + "word " * 5000)) == 24_999
 
 
+def test_references_without_semicolon_stay(one):
+    page = "<h1>a &amp b &ampfoo; &#38 &copy=1</h1><p>x&amp;&amp;&#38;&lt;&amp</p>"
+    assert one(X.main_text(C), s=page) == "a &amp b &ampfoo; &#38 &copy=1 x&&&<&amp"
+
+
 def test_amounts_beyond_a_long_are_null(one):
     pay = one(M.salary_from_text(C), s="$9,000,000,000,000,000,000/hr")
     assert pay["min"] is None and pay["max"] is None
