@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,6 +203,13 @@ LISTING_SCHEMA = (
     "extra map<string,string>, error string"
 )
 DETAIL_SCHEMA = "page_id bigint, source string, url string, detail_text string, posted_at string, error string"
+LISTING_ARROW = pa.schema(
+    [("page_id", pa.int64()), ("source", pa.string()), ("pos", pa.int32())]
+    + [(n, pa.string()) for n in ("url", "title", "company", "location", "snippet", "posted_at", "listing_key")]
+    + [("extra", pa.map_(pa.string(), pa.string())), ("error", pa.string())]
+)
+# What a Python worker holds at once: bytes of a batch of pages, and pages whose cards leave together.
+BATCH_BYTES, PAGES_AT_ONCE = 8 << 20, 500
 _PLAIN = ("company", "location", "snippet", "posted_at")
 
 
@@ -235,6 +243,13 @@ def _read_field(node: Element, f: Field) -> str:
 
 def read_cards(html: str, page_url: str, spec: ListingSpec) -> Iterator[dict]:
     tree = parse(html)
+    try:
+        yield from _cards(tree, page_url, spec)
+    finally:
+        tree.drop()
+
+
+def _cards(tree: Element, page_url: str, spec: ListingSpec) -> Iterator[dict]:
     items = next((found for s in spec.items if (found := tree.find(s))), [])
     seen: set[str] = set()
     for item in items:
@@ -278,6 +293,13 @@ def read_cards(html: str, page_url: str, spec: ListingSpec) -> Iterator[dict]:
 
 def read_detail(html: str, spec: DetailSpec) -> tuple[str, str | None]:
     tree = parse(html)
+    try:
+        return _detail(tree, spec)
+    finally:
+        tree.drop()
+
+
+def _detail(tree: Element, spec: DetailSpec) -> tuple[str, str | None]:
     text = ""
     if spec.sections[0]:
         boxes = [n.ancestor(spec.sections[1]) for n in tree.find(spec.sections[0])]
@@ -305,25 +327,34 @@ def parse_listings(responses: DataFrame, specs: Mapping[str, ListingSpec] = LIST
     """Every card of every listing page, and a row with an ``error`` for a page that has no spec or
     cannot be read. One parser pass per page, pages stay where they are."""
     specs = dict(specs)
+    names = LISTING_ARROW.names
+
+    def read(page: tuple) -> Iterator[dict]:
+        page_id, source, url, body = page
+        try:
+            if source not in specs:
+                raise LookupError(NO_SPEC)
+            cards = list(read_cards(body or "", url or "", specs[source]))
+        except (LookupError, ValueError) as e:
+            yield {"page_id": page_id, "source": source, "url": url, "error": str(e)}
+            return
+        for pos, card in enumerate(cards, 1):
+            yield {"page_id": page_id, "source": source, "pos": pos, **card, "extra": list(card["extra"].items())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                pages = zip(*(c.to_pylist() for c in batch.slice(at, PAGES_AT_ONCE).columns))
+                rows = [row for page in pages for row in read(page)]
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], f.type) for n, f in zip(names, LISTING_ARROW)], schema=LISTING_ARROW)
+
+    return _pages(responses).mapInArrow(run, LISTING_SCHEMA)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in LISTING_SCHEMA.replace("map<string,string>", "map").split(",")]
-        for pages in batches:
-            rows = []
-            for page_id, source, url, body in pages.itertuples(index=False):
-                try:
-                    if source not in specs:
-                        raise LookupError(NO_SPEC)
-                    cards = [dict(c) for c in read_cards(body or "", url or "", specs[source])]
-                except (LookupError, ValueError) as e:
-                    rows.append({"page_id": page_id, "source": source, "url": url, "error": str(e)})
-                    continue
-                for pos, card in enumerate(cards, 1):
-                    rows.append({"page_id": page_id, "source": source, "pos": pos, **card})
-            rows = [tuple(r.get(n) for n in names) for r in rows]
-            yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return responses.select("page_id", "source", "url", "body").mapInPandas(run, LISTING_SCHEMA)
+def _pages(responses: DataFrame) -> DataFrame:
+    """The columns that the parsers read, in batches bounded by bytes, as pages may be long."""
+    responses.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return responses.select("page_id", "source", "url", "body")
 
 
 def extract_listings(responses: DataFrame, specs: Mapping[str, ListingSpec] = LISTINGS) -> DataFrame:
@@ -347,7 +378,7 @@ def parse_details(responses: DataFrame, specs: Mapping[str, DetailSpec] = DETAIL
                     rows.append((page_id, source, url, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["page_id", "source", "url", "detail_text", "posted_at", "error"])
 
-    return responses.select("page_id", "source", "url", "body").mapInPandas(run, DETAIL_SCHEMA)
+    return _pages(responses).mapInPandas(run, DETAIL_SCHEMA)
 
 
 def extract_detail_text(responses: DataFrame, specs: Mapping[str, DetailSpec] = DETAILS) -> DataFrame:

@@ -68,6 +68,29 @@ def test_references_without_semicolon_stay():
     assert listings.read_detail('<h1 id="a&lt">a&amp;b &copy;&#38; c &amp</h1>', spec)[0] == "a&b ©& c &amp"
 
 
+def test_plain_and_general_parser_agree():
+    from gleaner.sources import markup
+
+    def dump(n):
+        return n if isinstance(n, str) else (n.tag, n.attrs, [dump(c) for c in n.children])
+
+    plain = '<!doctype html><title>a &lt; b</title><!-- x - y --><ul class="a b"><LI ID="1" hidden>x &amp y<br/><p>z<a href="?q=1&amp;r">w</a></ul></b>end'
+    assert markup._parse_plain(plain) is not None
+    for page in (plain, plain.replace('"1"', "'1'"), plain + "<p", plain + "<script>if (a<b) 1</script>", plain.replace("</ul>", "</ul <i>"), "", "<title>x<b>y</title>"):
+        assert dump(markup.parse(page)) == dump(markup._parse_any(page))
+    tree = markup.parse(plain)
+    assert [e.tag for e in tree.find("a, li, .b")] == ["ul", "li", "a"] and tree.first("ul.a > li").find("ul") == []
+    assert tree.first("[href*=q]").attrs == {"href": "?q=1&r"}
+
+
+def test_listing_batches_are_bounded(spark):
+    page = "<nav>" + "".join(f'<li><a href="/{i}">t{i}</a></li>' for i in range(3)) + "</nav>" + "x" * 20_000
+    df = spark.range(1200).selectExpr("id AS page_id", "'web' AS source", "'https://a.example' AS url", f"'{page}' AS body").coalesce(1)
+    cards = listings.extract_listings(df, {"web": listings.ListingSpec(["nav li"])})
+    assert cards.count() == 3600
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
 def test_detail_date():
     assert listings.read_detail('<time datetime="2026-02-03">x</time>', listings.DETAILS["jobbank"]) == ("", "2026-02-03")
 
