@@ -15,6 +15,8 @@ from gleaner.session import stored
 
 # Queries whose weights for one term lie in one row of the query index.
 QUERY_BLOCK = 1_000
+# Terms that more than this part of all facts have are looked up without a shuffle.
+HOT_TERMS = 200_000
 
 
 def term_ids(words: Column) -> Column:
@@ -91,8 +93,13 @@ def tfidf_cosine(
 
     w = F.lit(1.0) + F.log("tf")
     vocabulary = stored(facts.groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
-    plain = F.pow(w * idf(F.coalesce("df", F.lit(1))), 2)
-    lengths = facts.join(vocabulary, "term", "left").groupBy(key).agg(F.sum(plain).alias("_base"))
+    plain = F.pow(w * idf(F.coalesce("df", F.lit(1))), 2).alias("_plain")
+    # fewer than HOT_TERMS by construction, so they can be broadcast: their facts are summed where they lie
+    limit = max(facts.count() // HOT_TERMS, 1)
+    marked = facts.join(F.broadcast(vocabulary.where(F.col("df") > limit)), "term", "left")
+    rare = marked.where("df IS NULL").drop("df").join(vocabulary.where(F.col("df") <= limit), "term", "left")
+    both = marked.where("df IS NOT NULL").select(key, plain).unionByName(rare.select(key, plain))
+    lengths = both.groupBy(key).agg(F.sum("_plain").alias("_base"))
 
     hits = stored(facts.join(stored(asked.select("term").distinct()), "term", "left_semi"))
     seen = hits.groupBy("term").agg(F.count("*").alias("df"))

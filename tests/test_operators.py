@@ -282,3 +282,15 @@ def test_boosts_are_capped(spark):
     blend = P.BlendRules(keywords=["lab"])
     out = scoring.apply_boosts(df, "base", blend, P.FocusRules(), P.PayRules(), P.PlaceRules())
     assert out.first()["score"] == pytest.approx(0.6 * 0.9 + 0.4 * 2 / 6)
+
+
+def test_frequent_terms_are_looked_up_not_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common words here w{i % 7} x{i}") for i in range(60)], "doc_id long, text string")
+    query = spark.createDataFrame([(0, "common w3 x5 other")], "query_id int, text string")
+
+    def scores(hot_terms: int) -> dict:
+        monkeypatch.setattr(scoring, "HOT_TERMS", hot_terms)
+        return {r["doc_id"]: round(r["score"], 12) for r in scoring.tfidf_cosine(docs, query).collect()}
+
+    none_hot, some_hot, all_hot = scores(1), scores(20), scores(10**9)
+    assert len(none_hot) == 60 and none_hot == some_hot == all_hot
