@@ -252,7 +252,7 @@ def _(t: Tables) -> DataFrame:
     hosts = t.pages.select(X.host_of(F.col("url")).alias("host"))
     robots = hosts.where(F.col("host").startswith("blog.")).withColumn("prefix", F.lit("/fr/"))
     known = t.responses.where(F.col("status") == 404).select("url")
-    out = feeds.crawl_frontier(t.pages.select("page_id", "url"), known, robots, 100, 2.0)
+    out = feeds.crawl_frontier(t.pages.select("page_id", "url"), known, robots, 100, 2.0, ties=["page_id"])
     return out.select("page_id", "host", "url", "slot", "start_after")
 
 

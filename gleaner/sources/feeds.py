@@ -196,12 +196,13 @@ def forbidden_paths(links: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def crawl_frontier(
-    links: DataFrame, known: DataFrame, disallowed: DataFrame, per_host: int, seconds: float
+    links: DataFrame, known: DataFrame, disallowed: DataFrame, per_host: int, seconds: float, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Detail URLs still to fetch with a start offset per host.
 
     Known ids go first, then paths a robots rule forbids; the cap keeps the first ``per_host``
-    urls of every host, and their rank gives the slot. A host is ranked in parts first, so that one with very many
+    urls of every host, and their rank gives the slot; ``ties`` are the columns that order equal urls, so that reruns
+    agree. A host is ranked in parts first, so that one with very many
     links sends ``per_host`` of each part to its last ranking.
     """
     from gleaner.operators.keyed import anti_join, top_per_group
@@ -215,6 +216,7 @@ def crawl_frontier(
     fresh = anti_join(staged, known, "url")
     allowed = anti_join(fresh, forbidden_paths(fresh, disallowed), ["host", "path"])
     part = F.pmod(F.xxhash64("url"), F.lit(HOST_PARTS))
-    first = top_per_group(allowed.withColumn("_part", part), ["host", "_part"], [F.col("url").asc()], per_host).drop("_part")
-    ranked = top_per_group(first, ["host"], [F.col("url").asc()], per_host, rank="slot")
+    order = [F.col(c).asc() for c in ("url", *ties)]
+    first = top_per_group(allowed.withColumn("_part", part), ["host", "_part"], order, per_host).drop("_part")
+    ranked = top_per_group(first, ["host"], order, per_host, rank="slot")
     return ranked.withColumn("start_after", (F.col("slot") - 1) * F.lit(float(seconds)))

@@ -226,3 +226,14 @@ def test_longest_rule_wins_and_a_hot_host_is_spread(spark):
     load = [r["count"] for r in paths.groupBy(F.pmod(F.xxhash64("path"), F.lit(feeds.HOST_PARTS))).count().collect()]
     assert len(load) == feeds.HOST_PARTS and max(load) < 2 * 3_000 / feeds.HOST_PARTS
     assert feeds.crawl_frontier(links, known, rules.where("false").drop("allow"), 40, 2.0).where("host = 'hot.org'").count() == 40
+
+
+def test_equal_urls_keep_one_order(spark):
+    from gleaner.sources import feeds
+
+    rows = [(i, "https://h.org/same") for i in range(40, 0, -1)]
+    none = spark.createDataFrame([], "url string"), spark.createDataFrame([], "host string, prefix string")
+    for parts in (1, 7):
+        links = spark.createDataFrame(rows, "page_id long, url string").repartition(parts)
+        got = feeds.crawl_frontier(links, *none, 10, 2.0, ties=["page_id"])
+        assert sorted((r.slot, r.page_id) for r in got.collect()) == [(n, n) for n in range(1, 11)]
