@@ -215,11 +215,13 @@ def render_resume(name: str, contact: str, profile: Column, summary: Column, cho
 
 def untraceable_count(chosen: Column, items: Sequence[Item]) -> Column:
     """Lines of the chosen items that no master item has, white space and case aside."""
-    master = {" ".join(x.lower().split()) for i in items for x in (i.title, i.sub, *i.bullets) if x}
+    exact = {x for i in items for x in (i.title, i.sub, *i.bullets) if x}
+    master = {" ".join(x.lower().split()) for x in exact}
     lines = F.flatten(
         F.transform(chosen, lambda e: F.concat(F.array(e["item"]["title"], e["item"]["sub"]), e["item"]["bullets"]))
     )
-    off = F.filter(lines, lambda x: (x != "") & ~F.array_contains(X.string_array(sorted(master)), X.fold_space(x)))
+    # most lines are unchanged, so few are folded
+    off = F.filter(lines, lambda x: (x != "") & ~(x.isin(sorted(exact)) | X.fold_space(x).isin(sorted(master))))
     return F.size(off).cast("bigint")
 
 
@@ -229,7 +231,8 @@ def tailored_resumes(
     """Adds ``resume`` from ``chosen``; a row with a line that no master item has is rejected."""
     known = F.create_map(*[F.lit(x) for kv in summaries.items() for x in kv])
     summary = F.coalesce(F.try_element_at(known, F.col(profile)), summary_for(known, "general"))
-    good = df.where(untraceable_count(F.col("chosen"), items) == 0)
+    counted = df.select("*", X.once(untraceable_count(F.col("chosen"), items).alias("_off"), F.col("chosen").alias("_chosen")))
+    good = counted.where(F.col("_once._off") == 0).withColumn("chosen", F.col("_once._chosen")).drop("_once")
     return good.withColumn("resume", render_resume(name, contact, F.col(profile), summary, F.col("chosen")))
 
 

@@ -294,3 +294,16 @@ def test_frequent_terms_are_looked_up_not_shuffled(spark, monkeypatch):
 
     none_hot, some_hot, all_hot = scores(1), scores(20), scores(10**9)
     assert len(none_hot) == 60 and none_hot == some_hot == all_hot
+
+
+def test_items_are_chosen_once_before_untraceable_ones_are_rejected(spark):
+    items = [DOC.Item("a", "skills", "Tools", "Here", ["Lathe work", "Mill work"], ["lab"], True)]
+    df = spark.createDataFrame([(1,), (2,), (3,)], "arrival long").withColumn("profile", F.lit("general"))
+    df = DOC.weigh_items(df.withColumn("covered", F.array().cast("array<string>")), items)
+    df = DOC.select_items(df)
+    title = F.when(F.col("arrival") == 2, "Invented").when(F.col("arrival") == 3, "tools ").otherwise(F.col("chosen")[0]["item"]["title"])
+    df = df.withColumn("chosen", F.transform("chosen", lambda e: e.withField("item", e["item"].withField("title", title))))
+    out = DOC.tailored_resumes(df, items, "N", "C", {}).select("arrival", "resume")
+    assert sorted(r.arrival for r in out.collect()) == [1, 3]
+    # the choice stands in the plan once: the condition on it is not moved below with a copy of it
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_sort") <= 2
