@@ -16,14 +16,12 @@ from gleaner.session import ensure_checkpoint_dir, stored
 
 
 def _string(v: Column, path: str) -> Column:
-    """The value at the path if it is a JSON string, else null."""
-    is_string = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
-    return F.when(is_string, F.try_variant_get(v, path, "string"))
+    """The value at the path if it is a JSON string, else null.
 
-
-def _filled(v: Column, path: str) -> Column:
-    s = _string(v, path)
-    return F.when(s != "", s)
+    Of the values that JSON has, only a string can be read as bytes; so this is one look-up and its type needs no other.
+    Look-ups are what reading a body costs: entries below are first turned into the texts that decide on them.
+    """
+    return F.try_variant_get(v, path, "binary").cast("string")
 
 
 def _array(body: Column, path: str) -> Column:
@@ -32,49 +30,51 @@ def _array(body: Column, path: str) -> Column:
 
 def ingest_results(responses: DataFrame, body: str = "body") -> DataFrame:
     """Search API: one row per entry of results[] that has a string title and url."""
-    e = F.col("_e")
-    out = responses.select(
-        *[c for c in responses.columns if c != body],
-        F.posexplode(_array(F.col(body), "$.results")).alias("pos", "_e"),
-    )
-    rows = out.select(
+    def titled(e: Column) -> Column:
+        return F.struct(_string(e, "$.title").alias("title"), e.alias("entry"))
+
+    def linked(r: Column) -> Column:
+        url = F.when(r["title"] != "", _string(r["entry"], "$.redirect_url"))
+        return F.struct(r["title"].alias("title"), url.alias("url"), r["entry"].alias("entry"))
+
+    e = F.col("_e.entry")
+    entries = F.transform(F.transform(_array(F.col(body), "$.results"), titled), linked)
+    out = responses.select(*[c for c in responses.columns if c != body], F.posexplode(entries).alias("pos", "_e"))
+    rows = out.where((F.col("_e.title") != "") & (F.col("_e.url") != "")).select(
         *[c for c in out.columns if c != "_e"],
-        _filled(e, "$.title").alias("title"),
-        _filled(e, "$.redirect_url").alias("_url"),
+        F.col("_e.title").alias("title"),
+        F.col("_e.url").alias("_url"),
         X.text_of(_string(e, "$.description")).alias("description"),
         X.text_of(_string(e, "$.company.display_name")).alias("company"),
         X.text_of(_string(e, "$.location.display_name")).alias("location"),
         _string(e, "$.created").alias("posted_at"),
-    ).where(F.col("title").isNotNull() & F.col("_url").isNotNull())
+    )
     return rows.withColumn("url", X.canonical_search_url(F.col("_url"))).drop("_url")
 
 
 def ingest_feed(responses: DataFrame, body: str = "body", limit: int | None = None) -> DataFrame:
     """Flat feed: element 0 is metadata; all acceptable entries of each body, or the first ``limit``."""
 
-    def wanted(e: Column) -> Column:
-        value = F.coalesce(F.try_variant_get(e, "$.id", "string"), F.lit(""))
-        has_id = _filled(e, "$.id").isNotNull() | (
-            _string(e, "$.id").isNull() & ~value.isin("", "0", "false")
-        )
-        return (
-            has_id
-            & _filled(e, "$.position").isNotNull()
-            & _filled(e, "$.url").isNotNull()
-            & R.location_allowed(_string(e, "$.location"))
-        )
-
-    entries = F.slice(_array(F.col(body), "$"), 2, 2_000_000_000)
-    kept = F.filter(entries, wanted)
+    def named(e: Column) -> Column:
+        return F.struct(_string(e, "$.position").alias("title"), _string(e, "$.url").alias("url"), e.alias("entry"))
+
+    def wanted(r: Column) -> Column:
+        e = r["entry"]
+        # a text of "0" is an id, a number 0 is none
+        has_id = ~F.try_variant_get(e, "$.id", "string").isin("", "0", "false") | (_string(e, "$.id") != "")
+        return has_id & R.location_allowed(_string(e, "$.location"))
+
+    entries = F.transform(F.slice(_array(F.col(body), "$"), 2, 2_000_000_000), named)
+    kept = F.filter(F.filter(entries, lambda r: (r["title"] != "") & (r["url"] != "")), wanted)
     kept = F.slice(kept, 1, limit) if limit else kept
-    e = F.col("_e")
+    e = F.col("_e.entry")
     return responses.select(
         *[c for c in responses.columns if c != body], F.posexplode(kept).alias("pos", "_e")
     ).select(
         *[c for c in responses.columns if c != body],
         "pos",
-        _string(e, "$.position").alias("title"),
-        _string(e, "$.url").alias("url"),
+        F.col("_e.title").alias("title"),
+        F.col("_e.url").alias("url"),
         X.snippet_text(_string(e, "$.description")).alias("description"),
         X.text_of(_string(e, "$.company")).alias("company"),
         X.text_of(_string(e, "$.location")).alias("location"),
@@ -93,7 +93,8 @@ def ingest_postings(responses: DataFrame, base_url: str, company: str, body: str
         postings.alias("_p"),
         ((F.size(postings) > 0) & (total.isNull() | (F.col("offset") + F.size(postings) < total))).alias("more"),
     )
-    out = staged.select(*others, "more", F.posexplode("_p").alias("pos", "_e"))
+    # outer, or the parsing would be done again to skip empty pages; their rows without entry go below
+    out = staged.select(*others, "more", F.posexplode_outer("_p").alias("pos", "_e"))
     e = F.col("_e")
     title = X.strip(_string(e, "$.title"))
     location = X.strip(X.text_of(_string(e, "$.locationsText")))
@@ -108,7 +109,7 @@ def ingest_postings(responses: DataFrame, base_url: str, company: str, body: str
         location.alias("location"),
         F.concat_ws(" — ", title, F.when(location != "", location)).alias("description"),
         _string(e, "$.postedOn").alias("posted_at"),
-    ).where(path.startswith("/") & (title != ""))
+    ).where(path.startswith("/") & _string(e, "$.title").rlike(r"(?U)\S"))
 
 
 def unreadable_bodies(responses: DataFrame, body: str = "body") -> DataFrame:

@@ -228,6 +228,22 @@ def test_longest_rule_wins_and_a_hot_host_is_spread(spark):
     assert feeds.crawl_frontier(links, known, rules.where("false").drop("allow"), 40, 2.0).where("host = 'hot.org'").count() == 40
 
 
+def test_fields_are_looked_up_once_and_only_strings_count(spark):
+    from gleaner.sources import feeds
+
+    values = ['"x"', '"5"', "5", "1.5", "true", '"true"', "null", '{"a": "x"}', '["x"]', '""']
+    rows = [(i, 0, f'{{"total": 9, "jobPostings": [{{"title": {v}, "externalPath": "/p"}}]}}') for i, v in enumerate(values)]
+    found = feeds.ingest_postings(spark.createDataFrame(rows, "arrival long, offset long, body string"), "b", "c")
+    assert {(r.arrival, r.title) for r in found.collect()} == {(0, "x"), (1, "5"), (5, "true")}
+    results = [(i, f'{{"results": [{{"title": {v}, "redirect_url": {v}}}]}}') for i, v in enumerate(values)]
+    got = feeds.ingest_results(spark.createDataFrame(results, "arrival long, body string"))
+    assert {r.arrival for r in got.collect()} == {0, 1, 5}
+    for df in (found, got):
+        plan = df.select("arrival", "title")._jdf.queryExecution().optimizedPlan().toString()
+        assert "schemaOfVariant" not in plan
+        assert plan.count("$.title") <= 2 and "Filter (size(" not in plan
+
+
 def test_equal_urls_keep_one_order(spark):
     from gleaner.sources import feeds
 
