@@ -5,9 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gleaner import params as P
 from gleaner.functions import text as X
@@ -17,40 +22,94 @@ from gleaner.session import stored
 QUERY_BLOCK = 1_000
 # Terms that more than this part of all facts have are looked up without a shuffle.
 HOT_TERMS = 200_000
+# Words beyond which facts are shuffled in slices of their terms, one after the other, and frequent terms are
+# sought in one of so many records.
+SLICE_WORDS = 4_000_000
+SLICES = 4
+SAMPLE = 16
+# Bytes of words in a batch, and of the list of different words in a file.
+BATCH_BYTES = 4 << 20
+WORD_LIST_BYTES = 16 << 20
+# Terms of the queries up to this number are a list that every task holds.
+QUERY_TERMS = 1_000_000
 
 
-def term_ids(words: Column) -> Column:
-    """Ids of the unigrams and bigrams of a text, sorted; a term's id is its hash of 64 bits."""
+def words_of(df: DataFrame, key: str, text: str, stop: Sequence[str] = P.STOP_WORDS) -> DataFrame:
+    """(key, _words): the words of each text in their order, as hashes of 64 bits."""
+    return df.select(key, F.transform(X.tokens(F.col(text), stop), lambda w: F.xxhash64(w)).alias("_words"))
 
-    def with_pairs(ids: Column) -> Column:
-        n = F.greatest(F.size(ids) - 1, F.lit(0))
-        pairs = F.zip_with(F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
-        return F.sort_array(F.concat(ids, pairs))
 
-    return X.let(F.transform(words, lambda w: F.xxhash64(w)), with_pairs)
+def term_facts(words: DataFrame, key: str, part: int = 0, parts: int = 1) -> DataFrame:
+    """(key, term, tf) of the unigrams and bigrams of each row's words; with ``parts`` only the terms of one part.
 
+    A row's words stay in its task: they are sorted and counted batch by batch.
+    """
 
-def term_facts(df: DataFrame, key: str, text: str, stop: Sequence[str] = P.STOP_WORDS) -> tuple[DataFrame, int]:
-    """((key, term, tf), number of records with terms): each text is read once, counted inside its row
-    and written as narrow numbers, which all later passes scan."""
-    s = F.col("_terms")
-    # positions where a new term starts in the sorted list; the first is found apart, as nothing is before it
-    new = F.filter(F.sequence(F.lit(1), F.size(s) - 1, F.lit(1)), lambda i: F.get(s, i) != F.get(s, i - 1))
-    starts = F.when(F.size(s) == 0, F.array().cast("array<int>")).when(F.size(s) == 1, F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), new))
-    pairs = F.transform(
-        "_starts",
-        lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get("_starts", k + 1), F.size(s)) - at).alias("tf")),
-    )
-    texts = Observation()
-    rows = df.select(key, term_ids(X.tokens(F.col(text), stop)).alias("_terms"))
-    rows = rows.observe(texts, F.count_if(F.size("_terms") > 0).alias("records"))
-    # outer: a plain explode makes the planner test the array before building it, twice over
-    facts = rows.withColumn("_starts", starts).select(key, F.explode_outer(pairs).alias("_p")).select(key, "_p.term", "_p.tf")
-    return stored(facts.where(F.col("term").isNotNull())), texts.get["records"]
+    # inside, so that workers need not import this package
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def pair_ids(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return mixed(mixed(first + np.uint64(0x9E3779B97F4A7C15)) + second)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1).flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).fill_null(0).to_numpy())
+            near = row[1:] == row[:-1]
+            term, row = np.concatenate([ids, pair_ids(ids[:-1][near], ids[1:][near])]), np.concatenate([row, row[1:][near]])
+            if parts > 1:
+                mine = term % np.uint64(parts) == part
+                term, row = term[mine], row[mine]
+            if not len(term):
+                continue
+            # one number holds the row and as many upper bits of the term as fit, which sorts much faster than two
+            bits = np.uint64(batch.num_rows.bit_length())
+            place = (row.astype(np.uint64) << (np.uint64(64) - bits)) | (term >> bits)
+            order = np.argsort(place)
+            term, row, place = term[order], row[order], place[order]
+            differ = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
+            if (differ & (place[1:] == place[:-1])).any():  # terms of a row that differ in the lower bits only
+                order = np.lexsort((term, row))
+                term, row = term[order], row[order]
+                differ = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
+            new = np.flatnonzero(np.append(True, differ))
+            tf = np.diff(np.append(new, len(term))).astype(np.int32)
+            facts = [batch.column(0).take(pa.array(row[new])), pa.array(term[new].view(np.int64)), pa.array(tf)]
+            yield pa.RecordBatch.from_arrays(facts, [key, "term", "tf"])
+
+    words.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    schema = StructType([words.schema[key], StructField("term", LongType()), StructField("tf", IntegerType())])
+    return words.select(key, "_words").mapInArrow(run, schema)
+
+
+def plain_lengths(words: DataFrame, key: str, idf: Callable[[Column], Column], slices: int, sample: int) -> DataFrame:
+    """(key, _plain), several rows a key: sums of squared weights, with the frequency of every term in all records.
+
+    Facts of frequent terms, found in one of ``sample`` records and counted in all, are summed where they lie.
+    Those of the other terms meet by term, counted and weighed in one shuffle, a slice of the terms at a time:
+    the files of a slice's shuffle are gone when the next one begins.
+    """
+    plain = F.pow((F.lit(1.0) + F.log("tf")) * idf(F.col("df")), 2).alias("_plain")
+    some = words.where(F.pmod(F.xxhash64(key), F.lit(sample)) == 0) if sample > 1 else words
+    # n words have fewer than 2 n facts, so there are fewer than HOT_TERMS by construction: they can be broadcast
+    limit = max(2 * (some.agg(F.sum(F.size("_words"))).first()[0] or 0) // HOT_TERMS, 1)
+    counts = term_facts(some, key).groupBy("term").agg(F.count("*").alias("df"))
+    hot = stored(counts.where(F.col("df") > limit).select("term"), cleanup=True)
+    frequent = stored(term_facts(words, key).join(F.broadcast(hot), "term").select(key, "term", "tf"))
+    known = frequent.groupBy("term").agg(F.count("*").alias("df"))
+    sums = [frequent.join(F.broadcast(known), "term").select(key, plain)]
+    for part in range(slices):
+        rare = term_facts(words, key, part, slices).join(F.broadcast(hot), "term", "left_anti")
+        rare = rare.withColumn("df", F.count("*").over(Window.partitionBy("term")))
+        sums.append(stored(rare.groupBy(key).agg(F.sum(plain).alias("_plain")), cleanup=True))
+    return reduce(DataFrame.unionByName, sums)
 
 
 def query_index(queries: DataFrame, seen: DataFrame, idf: Callable[[Column], Column], query_key: str, blocks: int) -> DataFrame:
-    """(term, _idf, _queries): for every term that records have, the unit weights of the queries that hold it.
+    """(term, _idf, _idf_q, _queries): for every term that records have, the unit weights of the queries that hold it.
 
     ``queries`` is (query_key, term, tf), ``seen`` (term, df) of the terms both sides have. A query counts as
     a record holding its terms. A term's queries are dealt to ``blocks`` rows, so that none is too long.
@@ -59,9 +118,10 @@ def query_index(queries: DataFrame, seen: DataFrame, idf: Callable[[Column], Col
     q = q.withColumn("_wq", (F.lit(1.0) + F.log("tf")) * F.col("_idf_q"))
     length = F.sqrt(F.sum(F.col("_wq") * F.col("_wq")).over(Window.partitionBy(query_key)))
     q = q.withColumn("_wq", F.col("_wq") / length).where(F.col("df").isNotNull())
-    entry = F.struct(F.col(query_key).alias("q"), "_idf_q", "_wq")
+    entry = F.struct(F.col(query_key).alias("q"), "_wq")
     block = F.pmod(F.xxhash64(query_key), F.lit(blocks))
-    return q.groupBy("term", "df", block.alias("_block")).agg(F.collect_list(entry).alias("_queries")).select("term", idf(F.col("df")).alias("_idf"), "_queries")
+    listed = q.groupBy("term", "df", block.alias("_block")).agg(F.collect_list(entry).alias("_queries"))
+    return listed.select("term", idf(F.col("df")).alias("_idf"), idf(F.col("df") + 1).alias("_idf_q"), "_queries")
 
 
 def tfidf_cosine(
@@ -79,39 +139,48 @@ def tfidf_cosine(
     1 + ln(tf), unit length. A record's length under a query differs from its plain length only in
     the shared terms, so lengths are summed once and corrected per pair.
 
-    Any number of queries takes one pass. Texts are tokenised once. Lengths need the frequency of every
-    term, but the vocabulary holds only terms of two or more records: one that is missing has one. Dot
-    products need only the facts whose term a query has, which meet the query index. No side is broadcast by
-    hand: the planner knows the sizes of the stored tables, and splits the partitions of frequent terms.
+    Any number of queries takes one pass. Texts are tokenised once and written as their words' hashes, from
+    which the facts (key, term, tf) are counted anew for each step, as they are many times as large. Dot
+    products need only the facts whose term a query has: these are dealt by record and meet the query index
+    there, so pairs are summed, and compared by what follows, where they arise. The index is held by every task
+    up to QUERY_TERMS entries; beyond, no side is broadcast by hand: the planner knows the sizes of the stored tables.
     """
-    facts, records = term_facts(docs.select(key, text), key, text, stop)
-    asked, _ = term_facts(queries.select(query_key, query_text), query_key, query_text, stop)
+    texts = Observation()
+    rows = words_of(docs, key, text, stop).observe(texts, F.count_if(F.size("_words") > 0).alias("records"), F.sum(F.size("_words")).alias("words"))
+    # words repeat, so a dictionary of them for each file is worth its place
+    words = stored(rows, **{"parquet.dictionary.page.size": str(WORD_LIST_BYTES)})
+    records, n_words = texts.get["records"], texts.get["words"] or 0
     n = records + 1
+    many = n_words > SLICE_WORDS
+    slices, sample = (SLICES, SAMPLE) if many else (1, 1)
 
     def idf(seen: Column) -> Column:
         return F.log(F.lit(1.0 + n) / (F.lit(1.0) + seen)) + F.lit(1.0)
 
-    w = F.lit(1.0) + F.log("tf")
-    vocabulary = stored(facts.groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
-    plain = F.pow(w * idf(F.coalesce("df", F.lit(1))), 2).alias("_plain")
-    # fewer than HOT_TERMS by construction, so they can be broadcast: their facts are summed where they lie
-    limit = max(facts.count() // HOT_TERMS, 1)
-    marked = facts.join(F.broadcast(vocabulary.where(F.col("df") > limit)), "term", "left")
-    rare = marked.where("df IS NULL").drop("df").join(vocabulary.where(F.col("df") <= limit), "term", "left")
-    both = marked.where("df IS NOT NULL").select(key, plain).unionByName(rare.select(key, plain))
-    lengths = both.groupBy(key).agg(F.sum("_plain").alias("_base"))
-
-    hits = stored(facts.join(stored(asked.select("term").distinct()), "term", "left_semi"))
+    sums = plain_lengths(words, key, idf, slices, sample)
+    lengths = stored(sums.groupBy(key).agg(F.sum("_plain").alias("_base")), cleanup=True)
+
+    asked = stored(term_facts(words_of(queries, query_key, query_text, stop), query_key))
+    terms = stored(asked.select("term").distinct())
+    few = asked.count() <= QUERY_TERMS
+    listed = F.broadcast if few else lambda df: df
+    # a long list meets the facts by term, so slice by slice
+    parts = 1 if few else slices
+    found = [stored(term_facts(words, key, part, parts).join(listed(terms), "term", "left_semi"), cleanup=True) for part in range(parts)]
+    hits = reduce(DataFrame.unionByName, found)
     seen = hits.groupBy("term").agg(F.count("*").alias("df"))
     blocks = -(-asked.select(query_key).distinct().count() // QUERY_BLOCK) or 1
     index = stored(query_index(asked, seen, idf, query_key, blocks))
-    pairs = hits.join(index, "term").select(key, w.alias("_w"), "_idf", F.explode("_queries").alias("_e"))
-    e, w = F.col("_e"), F.col("_w")
-    sums = pairs.groupBy(key, e["q"].alias(query_key)).agg(
-        F.sum(w * e["_idf_q"] * e["_wq"]).alias("dot"),
-        F.sum(w * w * (e["_idf_q"] * e["_idf_q"] - F.col("_idf") * F.col("_idf"))).alias("len2"),
+    w, e = F.lit(1.0) + F.log("tf"), F.col("_e")
+    # merged, so that both sides are dealt by record, which a broadcast of the smaller one would not do
+    mine = hits.join(lengths.hint("merge"), key).select(key, "_base", "term", w.alias("_w"))
+    pairs = mine.join(listed(index), "term").select(key, "_base", "_w", "_idf", "_idf_q", F.explode("_queries").alias("_e"))
+    w = F.col("_w")
+    scores = pairs.groupBy(key, "_base", e["q"].alias(query_key)).agg(
+        F.sum(w * F.col("_idf_q") * e["_wq"]).alias("dot"),
+        F.sum(w * w * (F.col("_idf_q") * F.col("_idf_q") - F.col("_idf") * F.col("_idf"))).alias("len2"),
     )
-    return sums.join(lengths, key).select(query_key, key, (F.col("dot") / F.sqrt(F.col("_base") + F.col("len2"))).alias("score"))
+    return scores.select(query_key, key, (F.col("dot") / F.sqrt(F.col("_base") + F.col("len2"))).alias("score"))
 
 
 def score_against(docs: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -438,7 +507,7 @@ def variant_summary(
     """
     if "zero" not in pairs.columns:
         pairs = pairs.withColumn("zero", F.lit(0.0))
-    pairs = stored(pairs)
+    pairs = stored(pairs, cleanup=True)
     reached, zero_reached = F.col("score") >= threshold, F.col("zero") >= threshold
     zeros = stored(zero_scores(docs, chain, key, digits).agg(
         F.count("*").alias("records"), F.coalesce(F.sum("zero"), F.lit(0.0)).alias("zeros"), F.count_if(zero_reached).alias("zeros_above")

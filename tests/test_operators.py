@@ -1,8 +1,10 @@
 """Keyed operators, state and scoring against brute force, hot keys included."""
 
 import math
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from datetime import datetime
 
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner import params as P
+from gleaner import session
 from gleaner.operators import documents as DOC
 from gleaner.operators import identity, keyed, reports, scoring, state
 
@@ -296,6 +299,66 @@ def test_frequent_terms_are_looked_up_not_shuffled(spark, monkeypatch):
     assert len(none_hot) == 60 and none_hot == some_hot == all_hot
 
 
+def test_facts_of_a_row_are_counted_in_its_task(spark):
+    """Also of terms that differ in their lowest bits only, in slices, and beside rows without words."""
+    rows = [(1, [5, 6, 5, 7, 6, 5]), (2, []), (3, None), (None, [7]), (1, [6, -1]), (4, [2**40, 2**40, 2**40])]
+    words = spark.createDataFrame(rows, "doc_id long, _words array<long>").coalesce(1)
+    whole = [tuple(r) for r in scoring.term_facts(words, "doc_id").collect()]
+    want = Counter((at, k, w) for at, (k, ws) in enumerate(rows) for w in ws or [])
+    assert sorted((repr(k), t, tf) for k, t, tf in whole if t in {w for _, ws in rows for w in ws or []}) == sorted((repr(k), w, n) for (_, k, w), n in want.items())
+    pairs = Counter(k for k, ws in rows for _ in (ws or [])[1:])
+    assert Counter({k: sum(tf for k2, t, tf in whole if k2 == k) for k in (1, 4)}) == Counter({1: 8 + pairs[1], 4: 3 + pairs[4]})
+    assert (4, 2) in {(k, tf) for k, _, tf in whole}  # the pair of a word with itself, twice
+    parts = [tuple(r) for part in range(3) for r in scoring.term_facts(words, "doc_id", part, 3).collect()]
+    assert sorted(map(repr, parts)) == sorted(map(repr, whole))
+
+
+def test_tfidf_in_slices_is_the_definition(spark, monkeypatch):
+    for name, value in {"SLICE_WORDS": 0, "SLICES": 3, "SAMPLE": 2, "QUERY_TERMS": 0, "HOT_TERMS": 20}.items():
+        monkeypatch.setattr(scoring, name, value)
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string").repartition(5)
+    qs = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, text string")
+    got = defaultdict(float, {(r["query_id"], r["doc_id"]): r["score"] for r in scoring.tfidf_cosine(docs, qs).collect()})
+    for q, text in enumerate(QUERIES):
+        for d, want in enumerate(cosine(text, DOCS)):
+            assert got[q, d] == pytest.approx(want, abs=1e-9)
+
+
+def test_best_variant_shuffles_no_pairs_and_keeps_no_facts(spark, monkeypatch):
+    """Disk of the whole job: written tables stay smaller than the facts, nothing is dealt by record and variant."""
+    written = []
+
+    def stored(df, **options):
+        out = session.stored(df, **options)
+        written.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(scoring, "stored", stored)
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(3_000)}" for _ in range(200))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    variants = spark.createDataFrame([(f"v{i}", f"w{i} w{i + 1} w7") for i in range(20)], "label string, text string")
+    best = scoring.best_variant(scoring.variant_scores(docs, variants), docs, variants)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", best._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all(len(keys.split(", ")) == 2 for keys in dealt)  # one key and the number of partitions
+    facts = sum(len(terms(r["text"])) for r in docs.collect())
+    assert sum(os.path.getsize(f.removeprefix("file:")) for f in written) < 8 * facts  # a fact's term alone
+    assert best.count() == 400
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    def files() -> int:
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before, setting = files(), spark.conf.get(session.CLEANUP)
+    out = session.stored(spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).count(), cleanup=True)
+    deadline = time.time() + 20
+    while files() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert files() <= before and out.count() == 997 and spark.conf.get(session.CLEANUP) == setting
+
+
 def test_items_are_chosen_once_before_untraceable_ones_are_rejected(spark):
     items = [DOC.Item("a", "skills", "Tools", "Here", ["Lathe work", "Mill work"], ["lab"], True)]
     df = spark.createDataFrame([(1,), (2,), (3,)], "arrival long").withColumn("profile", F.lit("general"))
